@@ -10,7 +10,11 @@ from . import (
     decontaminate,
     html_extract,
     language_id,
+    ngram_join,
+    quality_rules,
     sentencepiece_codec,
+    suffix_dedup,
+    url_filters,
 )
 
 
@@ -24,6 +28,11 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that also start elsewhere, as digests."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=200))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole document, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -44,6 +53,23 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), percent=75)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of all rules for every document, with the verdicts of the base and the current policy."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lexicon = quality_rules.fit_lexicon(docs, _table(spark, sf_dir, "labels"))
+    book = quality_rules.apply_policy(quality_rules.ledger(docs.select("doc_id", "text"), lexicon))
+    base = ~quality_rules.passes(quality_rules.BASE)
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept",
+        "n_upper", "n_lines", "n_insults", "failed",
+    )
+
+
 def _remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4
 
@@ -58,6 +84,44 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digit(column: F.Column, start: int) -> F.Column:
+    return F.conv(F.substring(F.md5(column), start, 4), 16, 10).cast("long")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against dated list entries active at its fetch time.
+
+    The tables hold neither lists nor fetch times. Both follow from the pages by rule: fetch times spread over the year
+    2024 by page_id; a quarter of the hosts enter a list on a day that their md5 names, half of those leave it 60 days
+    later, half of these enter again after 120 days; a fifth of the three-label domains and a twentieth of the URL keys
+    enter once.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+    def after(minutes: F.Column) -> F.Column:
+        return start + F.make_dt_interval(mins=minutes.cast("int"))
+
+    captures = pages.withColumn("fetch_ts", after(F.pmod(F.col("page_id") * 7919, F.lit(525600))))
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("pattern")).where("pattern != ''").distinct()
+    labels = F.split("pattern", r"\.")
+    domains = hosts.where(F.size(labels) > 3).select(F.array_join(F.slice(labels, -3, 3), ".").alias("pattern")).distinct()
+    keys = pages.select(F.lower(url_filters.url_key(F.col("url"))).alias("pattern")).where("pattern != ''").distinct()
+    v, day = _digit(F.col("pattern"), 1), F.pmod(_digit(F.col("pattern"), 5), F.lit(300)) * 1440
+    name = F.element_at(F.array(*map(F.lit, ("adult", "malware", "phishing"))), (F.pmod(v, F.lit(3)) + 1).cast("int"))
+
+    def entries(rows: DataFrame, kind: str, every: int, action: str, later: int = 0) -> DataFrame:
+        rows = rows.where(F.pmod(v, F.lit(every)) == 0)
+        return rows.select(
+            F.lit(kind).alias("kind"), "pattern", name.alias("list_name"), F.lit(action).alias("action"),
+            after(day + later * 1440).alias("at"),
+        )
+
+    listed = entries(hosts, "domain", 4, "add").unionByName(entries(hosts, "domain", 8, "remove", 60))
+    listed = listed.unionByName(entries(hosts, "domain", 16, "add", 120)).unionByName(entries(domains, "domain", 5, "add"))
+    return url_filters.filter_captures(captures, listed.unionByName(entries(keys, "url", 20, "add")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with each benchmark item that it holds a passage of."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,11 +130,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op3_sentencepiece,
         op4_chat_format,
         op5_html_extract,
+        op6_ngram_join,
+        op7_quality_rules,
         op8_language_id,
         op9_decontaminate,
+        op10_url_filters,
     )
 }
 
