@@ -10,6 +10,7 @@ from . import (
     decontaminate,
     html_extract,
     language_id,
+    line_dedup,
     ngram_join,
     quality_rules,
     sentencepiece_codec,
@@ -33,6 +34,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=200))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that an earlier document, or an earlier line of it, holds in the same or like form."""
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole document, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -131,6 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup,
+        op2_line_dedup,
         op3_sentencepiece,
         op4_chat_format,
         op5_html_extract,
