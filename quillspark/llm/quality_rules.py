@@ -95,9 +95,9 @@ def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "do
         "n_repeat_words": covered.cast("long"),
         "n_insults": _insults(text, lexicon or []),
     }
-    if taken := set(out) & {c for c in docs.columns if c not in (id_col, text_col)}:
-        step = step.drop(*taken)
-    return step.withColumns(out).drop("_q_words", "_q_lines", "_q_hash", "_q_win", "_q_sorted")
+    kept = [c for c in docs.columns if c not in out or c in (id_col, text_col)]
+    # A generator, unlike a projection, lets no filter on a measurement copy its expressions further down.
+    return step.select(*kept, F.inline(F.array(F.struct(*(value.alias(name) for name, value in out.items())))))
 
 
 def _insults(text: Column, lexicon: list[str]) -> Column:
