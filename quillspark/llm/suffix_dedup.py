@@ -219,11 +219,12 @@ def find_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         keep[by[np.repeat(sizes > 1, sizes)]] = True
         yield from table.select(["rk", "place", "span"]).filter(pa.array(keep)).to_batches(max_chunksize=65536)
 
-    listed = texts.where(F.octet_length("text") >= length).select("rk", "text").mapInArrow(
-        list_anchors, "to long, h long, rk long, place long, span int, again boolean, first boolean"
-    )
-    again = listed.repartition(n, "to").mapInArrow(again_anywhere, "rk long, place long, span int")
-    places = again.groupBy("rk").agg(F.collect_set(F.struct("place", "span")).alias("places"))
+    def repeated_places() -> DataFrame:
+        listed = texts.where(F.octet_length("text") >= length).select("rk", "text").mapInArrow(
+            list_anchors, "to long, h long, rk long, place long, span int, again boolean, first boolean"
+        )
+        again = listed.repartition(n, "to").mapInArrow(again_anywhere, "rk long, place long, span int")
+        return space.save(again.groupBy("rk").agg(F.collect_set(F.struct("place", "span")).alias("places")), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -241,10 +242,6 @@ def find_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["rk", "place", "span", "suffix", "before"])
 
-    suffixes = texts.select("rk", "text").join(places, "rk").select("rk", "text", "places")
-    suffixes = suffixes.mapInArrow(cut, "rk long, place long, span int, suffix binary, before binary")
-    buckets = suffixes.repartitionByRange(n, F.substring("suffix", 1, gram), F.xxhash64("rk", "place"))
-
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gather(batches)
         if table is None or not table.num_rows:
@@ -275,8 +272,17 @@ def find_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
                 at = some[rows[pick]]
                 yield from _rows(rk[at], place[at] - x, place[at] - x + length, h1[pick], h2[pick], known[pick])
 
-    judged = buckets.mapInArrow(sort_bucket, "rk long, start long, end long, h1 long, h2 long, known boolean")
-    judged = space.save(judged, "judged")
+    def judged_windows(places: DataFrame) -> DataFrame:
+        suffixes = texts.select("rk", "text").join(places, "rk").select("rk", "text", "places")
+        suffixes = suffixes.mapInArrow(cut, "rk long, place long, span int, suffix binary, before binary")
+        buckets = suffixes.repartitionByRange(n, F.substring("suffix", 1, gram), F.xxhash64("rk", "place"))
+        return space.save(buckets.mapInArrow(sort_bucket, "rk long, start long, end long, h1 long, h2 long, known boolean"), "judged")
+
+    # Each step is a call of its own, so that nothing refers to its shuffles when they may be freed.
+    places = repeated_places()
+    space.settle()
+    judged = judged_windows(places)
+    space.settle()
     inside = judged.where("h1 IS NULL").select("rk", "start", "end")
     # A window kind comes at most once from a slice of a bucket, so groups stay as small as the number of slices.
     across = judged.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(

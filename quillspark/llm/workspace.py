@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,14 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_path = path
-        self.settle()
         return out
 
     def settle(self) -> None:
         """Let Spark's cleaner free the shuffle files of steps that are written and referenced no more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, *saved: DataFrame) -> None:
         """Delete tables that no later step reads."""
