@@ -45,7 +45,7 @@ def known_edges(edges: DataFrame, nodes: DataFrame, source: str = "src", target:
     """Edges whose both ends are nodes."""
     ids = nodes.select(node).distinct()
     kept = edges.join(ids.withColumnRenamed(node, source), source, "left_semi")
-    return kept.join(ids.withColumnRenamed(node, target), target, "left_semi")
+    return kept.join(ids.withColumnRenamed(node, target), target, "left_semi").select(*edges.columns)
 
 
 def undirected_once(edges: DataFrame, source: str = "src", target: str = "dst", order: str = "seq") -> DataFrame:
