@@ -4,8 +4,8 @@ A text's set holds its distinct 5-word shingles (lower-cased A-Z; words are runs
 words is one shingle). Two sets link when ``100 * |A & B| >= percent * |A | B|``.
 
 Two linked sets share a token among their prefixes, the first ``n - ceil(percent/100 * n) + 1`` tokens, under *every*
-global order of the tokens. All orders here put frequent tokens last (levels from a count sketch of fixed size over all
-texts) and differ in how they hash tokens of one level. A candidate must share prefix tokens under order 0, found by
+global order of the tokens. All orders here put frequent tokens last, each by its own count sketch of fixed size over all
+texts, and differ in how they hash tokens to cells and within a level. A candidate must share prefix tokens under order 0, found by
 a shuffle of the prefixes, and under orders 1 and 2; only then is its intersection counted.
 
 Equal sets are one. Large groups of near copies are not expanded into pairs:
@@ -25,13 +25,14 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import slices, utf8_view
+from .arrow_text import ranges, slices, utf8_view
 from .components import connect
 from .hashing import mix, prefix_hash, span_hash
 from .workspace import Workspace, partitions
@@ -90,17 +91,34 @@ def prefix_length(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def cells(tokens: np.ndarray, order: int) -> np.ndarray:
+    """Cells of tokens in the count sketch of an order."""
+    return (mix(tokens ^ _SEEDS[order]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Keys of tokens under a global order: the level of their frequency, then a hash that the order chooses."""
-    level = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return level << np.uint64(58) | mix(tokens ^ _SEEDS[order]) >> np.uint64(6)
+    """Keys of tokens under a global order: the level of their cell's count, then the order's hash."""
+    hashed = mix(tokens ^ _SEEDS[order])
+    level = levels[order][(hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return level << np.uint64(58) | hashed >> np.uint64(6)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for cells of usual load, then one level for each doubling of the excess over the mean."""
-    mean = max(1.0, float(np.median(counts)))
-    excess = np.maximum(0.0, (counts - mean) / np.sqrt(mean) / 3)
-    return np.ceil(np.log2(np.maximum(1.0, excess))).clip(0, 60).astype(np.uint8)
+    """Levels 0 to 63 of cell counts: quarters of a standard deviation around the median, above that by logarithm."""
+    middle = np.median(counts, axis=1, keepdims=True)
+    z = (counts - middle) / np.sqrt(np.maximum(middle, 1.0))
+    high = 24 + np.ceil(4 * np.log2(np.maximum(z, 3.0) / 3.0))
+    return np.where(z <= 3, np.floor(4 * (z + 3)), high).clip(0, 63).astype(np.uint8)
+
+
+def may_link(at_u: np.ndarray, at_v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that share a token at these places (size << 32 | rank) can have enough tokens in common.
+
+    No more than the smaller rank lie before the token and no more than the smaller rest after it.
+    """
+    size_u, size_v, rank_u, rank_v = at_u >> 32, at_v >> 32, at_u & 0xFFFFFFFF, at_v & 0xFFFFFFFF
+    most = np.minimum(rank_u, rank_v) + np.minimum(size_u - rank_u, size_v - rank_v)
+    return (100 + percent) * most >= percent * (size_u + size_v)
 
 
 def similar(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int) -> bool:
@@ -136,9 +154,12 @@ def _group(token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return by, starts, np.diff(np.append(starts, len(by)))
 
 
-def _leaders(own: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Index of each group's leader, spread over the group."""
-    key = mix(own.astype(np.uint64) + np.uint64(seed))
+def _leaders(own: np.ndarray, at: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Index of each group's leader: a set in which the token ranks lowest, ties by a hash.
+
+    Among near copies that is one with few changes, as what a copy changes is rare and ranks before what all share.
+    """
+    key = (at & 0xFFFFFFFF).astype(np.uint64) << np.uint64(32) | mix(own.astype(np.uint64) + np.uint64(seed)) >> np.uint64(32)
     least = np.minimum.reduceat(key, starts)
     hit = np.flatnonzero(key == np.repeat(least, sizes))
     # Several rows of a set have one key; the first of each group counts.
@@ -155,20 +176,21 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros((len(_SEEDS), 1 << SKETCH_BITS), dtype=np.int64)
         id_type = None
         for batch in slices(batches, 256):
             id_type = batch.column(0).type
             flat, offsets = shingle_sets(*utf8_view(batch.column(1)))
-            counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            for order in range(len(_SEEDS)):
+                counts[order] += np.bincount(cells(flat, order), minlength=1 << SKETCH_BITS)
             rows = batch.num_rows
             columns = [batch.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(flat, offsets)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", "slice", "counts"])
         if id_type is not None:
             parts = counts.reshape(-1, SLICE)
             k = len(parts)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SLICE), pa.array(parts.reshape(-1)))
-            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), cells]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SLICE), pa.array(parts.reshape(-1)))
+            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", "slice", "counts"])
 
     described = space.save(texts.mapInArrow(describe, f"id {kind}, n long, own long, slice int, counts array<bigint>"), "described")
@@ -177,16 +199,16 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[k] = sums.get(k, 0) + np.asarray(cells.values)
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.asarray(part.values)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "counts": pa.array(list(sums.values()), pa.list_(pa.int64()))})
 
-    # 2**17 counts in 32 rows, whatever the input's size.
-    cells = described.where("slice IS NOT NULL").select("slice", "counts").repartition(8, "slice")
-    counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, dtype=np.int64).reshape(-1, SLICE)
-    for row in cells.mapInArrow(add_up, "slice int, counts array<bigint>").collect():
+    # Three times 2**17 counts in 96 rows, whatever the input's size.
+    sketched = described.where("slice IS NOT NULL").select("slice", "counts").repartition(8, "slice")
+    counts = np.zeros((len(_SEEDS) << SKETCH_BITS) // SLICE * SLICE, dtype=np.int64).reshape(-1, SLICE)
+    for row in sketched.mapInArrow(add_up, "slice int, counts array<bigint>").collect():
         counts[row["slice"]] = row["counts"]
-    levels = spark.sparkContext.broadcast(levels_of(counts.reshape(-1)))
+    levels = spark.sparkContext.broadcast(levels_of(counts.reshape(len(_SEEDS), -1)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -232,16 +254,26 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if not len(starts):
             return
         sizes = np.diff(np.append(starts, int(many.sum())))
-        table["lead"] = table["own"][_leaders(table["own"], starts, sizes, 0)]
+        lead = _leaders(table["own"], table["at"], starts, sizes, 0)
+        table |= {"lead": table["own"][lead], "fits": may_link(table["at"], table["at"][lead], percent)}
         yield from pa.table(table).to_batches(max_chunksize=65536)
 
-    listed = texts.select("text").mapInArrow(prefixes, "token long, own long, at long").repartition(n, "token")
-    shared = space.save(listed.mapInArrow(collide, "token long, own long, at long, lead long"), "shared")
+    def shared_tokens() -> DataFrame:
+        listed = texts.select("text").mapInArrow(prefixes, "token long, own long, at long").repartition(n, "token")
+        return space.save(listed.mapInArrow(collide, "token long, own long, at long, lead long, fits boolean"), "shared")
 
-    # Texts of the sets that share a prefix token with another one.
+    # Each step is a call of its own, so that nothing refers to its shuffles when they may be freed.
+    shared = shared_tokens()
+    space.settle()
     reps = members.where("own != 0").groupBy("own").agg(F.min("id").alias("id"))
-    wanted = shared.select("own").distinct().join(reps, "own")
-    chosen = space.save(texts.join(wanted, "id").select("own", "text"), "texts")
+
+    def texts_of_sets() -> DataFrame:
+        """Texts of the sets that share a prefix token with another one."""
+        wanted = shared.select("own").distinct().join(reps, "own")
+        return space.save(texts.join(wanted, "id").select("own", "text"), "texts")
+
+    chosen = texts_of_sets()
+    space.settle()
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """(u, v, linked) of every pair, written."""
@@ -262,14 +294,15 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         both = pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
         return space.save(both.mapInArrow(run, "u long, v long, linked boolean"), name)
 
-    def fits(size_u: F.Column, size_v: F.Column) -> F.Column:
-        return 100 * F.least(size_u, size_v) >= percent * F.greatest(size_u, size_v)
+    def best_leader(led: DataFrame) -> DataFrame:
+        """Of each set v the leader u that leads most of its tokens, among those that every shared token allows."""
+        led = led.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("fits").alias("fits")).where("fits")
+        return led.groupBy("v").agg(F.max(F.struct("c", "u")).alias("b")).select("v", F.col("b.u").alias("u"))
 
-    # First leaders: of each set, the one that leads most of its tokens.
-    led = shared.where("own != lead").groupBy("own", "lead").agg(F.count("*").alias("c"))
-    best = led.groupBy("own").agg(F.max(F.struct("c", "lead")).alias("b")).select(F.col("own").alias("v"), F.col("b.lead").alias("u"))
-    tested = verify(best, "tested")
-    labels = connect(tested.where("linked").select("u", "v"), space)
+    def linked(*tables: DataFrame) -> DataFrame:
+        """Components of the links found so far."""
+        edges = [t.where("linked").select("u", "v") if "linked" in t.columns else t.select(F.col("node").alias("u"), F.col("label").alias("v")) for t in tables]
+        return connect(reduce(DataFrame.unionByName, edges), space)
 
     def across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         """Pairs of one token's sets whose components differ: with a second leader, or all of them."""
@@ -277,41 +310,60 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if held is None:
             return
         token, own, at, label = held
-        by, starts, sizes = _group(token, own)
-        own, at, label = own[by], at[by], label[by]
-        differ = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        by = np.lexsort((own, label, token))
+        token, own, at, label = token[by], own[by], at[by], label[by]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(token)))
         if not every:
-            lead = _leaders(own, starts, sizes, 1)
-            rows = np.flatnonzero(np.repeat(differ, sizes) & (label != label[lead]))
-            yield from pa.table({"u": own[lead[rows]], "v": own[rows], "at_u": at[lead[rows]], "at_v": at[rows]}).to_batches(max_chunksize=65536)
+            lead = _leaders(own, at, starts, sizes, 1)
+            rows = np.flatnonzero(label != label[lead])
+            fits = may_link(at[lead[rows]], at[rows], percent)
+            yield from pa.table({"u": own[lead[rows]], "v": own[rows], "at_u": at[lead[rows]], "at_v": at[rows], "fits": fits}).to_batches(max_chunksize=65536)
             return
-        for lo, size in zip(starts[differ].tolist(), sizes[differ].tolist(), strict=True):
-            for k in range(lo, lo + size - 1):
-                other = np.flatnonzero(label[k + 1 : lo + size] != label[k]) + k + 1
-                small, large = np.minimum(at[other] >> 32, at[k] >> 32), np.maximum(at[other] >> 32, at[k] >> 32)
-                other = other[100 * small >= percent * large]
-                if len(other):
-                    yield pa.RecordBatch.from_pydict({"u": np.full(len(other), own[k]), "v": own[other], "at_u": np.full(len(other), at[k]), "at_v": at[other]})
+        # Sorted by component, a set's partners are the rows from the end of its component's block on.
+        new[1:] |= label[1:] != label[:-1]
+        blocks = np.flatnonzero(new)
+        stop = np.repeat(np.append(blocks[1:], len(token)), np.diff(np.append(blocks, len(token))))
+        many = np.repeat(starts + sizes, sizes) - stop
+        done = np.concatenate([[0], np.cumsum(many)])
+        lo = 0
+        while lo < len(many):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + 500_000, side="right")) - 1)
+            i = np.repeat(np.arange(lo, hi), many[lo:hi])
+            j = ranges(stop[lo:hi], many[lo:hi])
+            lo = hi
+            swap = own[i] > own[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            fit = may_link(at[i], at[j], percent)
+            i, j = i[fit], j[fit]
+            if len(i):
+                yield from pa.table({"u": own[i], "v": own[j], "at_u": at[i], "at_v": at[j], "fits": np.ones(len(i), dtype=bool)}).to_batches(max_chunksize=65536)
 
     def differing(labels: DataFrame, every: bool) -> DataFrame:
         rows = shared.select("token", "own", "at").join(labels.withColumnRenamed("node", "own"), "own", "left")
         rows = rows.select("token", "own", "at", F.coalesce("label", "own").alias("label")).repartition(n, "token")
-        return rows.mapInArrow(lambda it: across(it, every), "u long, v long, at_u long, at_v long")
-
-    size_u, size_v = F.shiftright("at_u", 32), F.shiftright("at_v", 32)
-    second = differing(labels, False).where(fits(size_u, size_v)).groupBy("u", "v").agg(F.count("*").alias("c"))
-    second = second.groupBy("v").agg(F.max(F.struct("c", "u")).alias("b")).select("v", F.col("b.u").alias("u"))
-    again = verify(second, "again")
-    labels = connect(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(again.where("linked").select("u", "v")), space)
-
-    # All pairs between components, bounded by the place of the last token that they share.
-    rest = differing(labels, True).groupBy("u", "v").agg(F.count("*").alias("c"), F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"))
-    rank_u, rank_v = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("at_u", "at_v"))
-    bound = F.col("c") + F.least(size_u - rank_u, size_v - rank_v) - 1
-    rest = rest.where((100 + percent) * bound >= percent * (size_u + size_v)).select("u", "v")
-    known = tested.unionByName(again).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    last = verify(rest.join(known, ["u", "v"], "left_anti"), "last")
-    labels = connect(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(last.where("linked").select("u", "v")), space)
+        return rows.mapInArrow(lambda it: across(it, every), "u long, v long, at_u long, at_v long, fits boolean")
+
+    def last_pairs(labels: DataFrame, *known: DataFrame) -> DataFrame:
+        """All pairs between components, bounded by the place of the last token that they share."""
+        size_u, size_v = F.shiftright("at_u", 32), F.shiftright("at_v", 32)
+        rank_u, rank_v = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("at_u", "at_v"))
+        rest = differing(labels, True).groupBy("u", "v").agg(F.count("*").alias("c"), F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"))
+        bound = F.col("c") + F.least(size_u - rank_u, size_v - rank_v) - 1
+        rest = rest.where((100 + percent) * bound >= percent * (size_u + size_v)).select("u", "v")
+        seen = reduce(DataFrame.unionByName, known).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return rest.join(seen, ["u", "v"], "left_anti")
+
+    tested = verify(best_leader(shared.where("own != lead").select(F.col("lead").alias("u"), F.col("own").alias("v"), "fits")), "tested")
+    labels = linked(tested)
+    space.settle()
+    again = verify(best_leader(differing(labels, False)), "again")
+    labels = linked(labels, again)
+    space.settle()
+    last = verify(last_pairs(labels, tested, again), "last")
+    labels = linked(labels, last)
+    space.settle()
 
     named = reps.join(labels.withColumnRenamed("node", "own"), "own", "left").select("own", "id", F.coalesce("label", "own").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))

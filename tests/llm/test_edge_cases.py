@@ -115,7 +115,7 @@ def test_line_dedup_groups_equal_brute_force(spark):
         line[rng.randrange(40)] = f"w{k}x"
         rows.append((k, " ".join(line) + ".\n" + words(rng, 25)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    forms = [(r["doc_id"], r["line_no"], r["s0"] | r["s1"] << 48) for r in line_dedup.hashed_lines(docs, 20).collect()]
+    forms = [(r["doc_id"], r["line_no"], r["s0"] | r["s1"] << 64) for r in line_dedup.hashed_lines(docs, 20).collect()]
     said = {(i, n): t.strip(".").split() for i, text in rows for n, t in enumerate(text.split("\n"))}
     label = {f[:2]: f[:2] for f in forms}
 
@@ -126,8 +126,8 @@ def test_line_dedup_groups_equal_brute_force(spark):
 
     for i, n, s in forms:
         for j, m, t in forms:
-            share = any((s ^ t) >> 24 * b & 0xFFFFFF == 0 for b in range(4))
-            if (i, n) < (j, m) and share and (s ^ t).bit_count() <= 20 and word_edits(said[i, n], said[j, m]) <= 0.2 * 40:
+            share = any((s ^ t) >> 32 * b & 0xFFFFFFFF == 0 for b in range(4))
+            if (i, n) < (j, m) and share and (s ^ t).bit_count() <= 12 and word_edits(said[i, n], said[j, m]) <= 0.2 * 40:
                 a, b = sorted((root((i, n)), root((j, m))))
                 label[b] = a
     want = collections.Counter(i for i, n in label if root((i, n)) != (i, n))
