@@ -10,11 +10,11 @@ a shuffle of the prefixes, and under orders 1 and 2; only then is its intersecti
 
 Equal sets are one. Large groups of near copies are not expanded into pairs:
 
-1. Prefix tokens of order 0 that two sets or more have are kept, each with the leader of its token's group.
+1. Prefix tokens of order 0 that two sets or more have are kept.
 2. Every set is verified against the leader that it shares most tokens with, for two choices of leaders; the links are
    contracted to components. A pair whose sets are connected already needs no test.
-3. All other pairs that share a prefix token and lie in different components are listed, filtered by size and by the
-   place of their last shared token (which bounds their overlap), and verified. None is left out.
+3. All other pairs that share a prefix token and lie in different components are listed, filtered by what their shared
+   tokens allow at most, and verified. None is left out.
 
 Cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component; equal texts
 share a component; rows that repeat a doc_id are rows of their own with that id; rows without an id
@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import ranges, slices, utf8_view
@@ -111,14 +111,17 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(z <= 3, np.floor(4 * (z + 3)), high).clip(0, 63).astype(np.uint8)
 
 
-def may_link(at_u: np.ndarray, at_v: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets that share a token at these places (size << 32 | rank) can have enough tokens in common.
+def room(size: np.ndarray, rank: np.ndarray, met: np.ndarray, after: np.ndarray, last: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(most, rest) of the pairs (i, j) of rows with one token: how many tokens they can share in all, and beyond it.
 
-    No more than the smaller rank lie before the token and no more than the smaller rest after it.
+    Of the two sets, take the one whose prefix ends first. A token of its prefix that the other set has lies in the
+    other's prefix too, so those that no prefix of another set has (``met`` and ``after`` leave them out) are not shared.
+    Of the other set only ranks are known.
     """
-    size_u, size_v, rank_u, rank_v = at_u >> 32, at_v >> 32, at_u & 0xFFFFFFFF, at_v & 0xFFFFFFFF
-    most = np.minimum(rank_u, rank_v) + np.minimum(size_u - rank_u, size_v - rank_v)
-    return (100 + percent) * most >= percent * (size_u + size_v)
+    first = last[i].view(np.uint64) <= last[j].view(np.uint64)
+    low, high = np.where(first, i, j), np.where(first, j, i)
+    rest = np.minimum(after[low], size[high] - rank[high] - 1)
+    return np.minimum(met[low], rank[high] + 1) + rest, rest
 
 
 def similar(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int) -> bool:
@@ -154,12 +157,12 @@ def _group(token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return by, starts, np.diff(np.append(starts, len(by)))
 
 
-def _leaders(own: np.ndarray, at: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+def _leaders(own: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """Index of each group's leader: a set in which the token ranks lowest, ties by a hash.
 
     Among near copies that is one with few changes, as what a copy changes is rare and ranks before what all share.
     """
-    key = (at & 0xFFFFFFFF).astype(np.uint64) << np.uint64(32) | mix(own.astype(np.uint64) + np.uint64(seed)) >> np.uint64(32)
+    key = rank.astype(np.uint64) << np.uint64(32) | mix(own.astype(np.uint64) + np.uint64(seed)) >> np.uint64(32)
     least = np.minimum.reduceat(key, starts)
     hit = np.flatnonzero(key == np.repeat(least, sizes))
     # Several rows of a set have one key; the first of each group counts.
@@ -215,7 +218,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         for batch in slices(batches, 256):
             flat, offsets = shingle_sets(*utf8_view(batch.column(0)))
             own, keys = set_ids(flat, offsets), ordered(flat, levels.value, 0)
-            token, sizes, ids = [], [], []
+            token, sizes, ids, last = [], [], [], []
             for k, who in enumerate(own.tolist()):
                 if not who or who in seen:
                     continue  # this task has sent the set already
@@ -223,44 +226,44 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
                 size = offsets[k + 1] - offsets[k]
                 p = prefix_length(int(size), percent)
                 token.append(np.sort(keys[offsets[k] : offsets[k + 1]])[:p])
+                last.append(token[-1][-1])
                 sizes.append((int(size), p))
                 ids.append(who)
             if not ids:
                 continue
             size, p = np.array(sizes).T
             place = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-            columns = [np.concatenate(token).view(np.int64), np.repeat(np.array(ids), p), np.repeat(size, p) << 32 | place]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "own", "at"])
+            ends = np.repeat(np.array(last, dtype=np.uint64).view(np.int64), p)
+            columns = [np.concatenate(token).view(np.int64), np.repeat(np.array(ids), p), np.repeat(size, p) << 32 | place, ends]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "own", "at", "last"])
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _gather(batches)
         if held is None:
             return
-        token, own, at = held
-        by, starts, sizes = _group(token, own)
-        many = np.repeat(sizes > 1, sizes)
-        by = by[many]
-        token, own, at = token[by], own[by], at[by]
+        by, starts, sizes = _group(held[0], held[1])
+        by = by[np.repeat(sizes > 1, sizes)]
+        token, own, at, last = (column[by] for column in held)
         one = np.ones(len(by), dtype=bool)  # tasks that hold a copy of a set each send it
         one[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
-        token, own, at = token[one], own[one], at[one]
+        token, own, at, last = token[one], own[one], at[one], last[one]
         if not len(token):
             return
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         many = np.repeat(sizes > 1, sizes)
-        table = {"token": token[many], "own": own[many], "at": at[many]}
-        starts = np.flatnonzero(np.concatenate([[True], table["token"][1:] != table["token"][:-1]])) if many.any() else np.zeros(0, np.int64)
-        if not len(starts):
-            return
-        sizes = np.diff(np.append(starts, int(many.sum())))
-        lead = _leaders(table["own"], table["at"], starts, sizes, 0)
-        table |= {"lead": table["own"][lead], "fits": may_link(table["at"], table["at"][lead], percent)}
-        yield from pa.table(table).to_batches(max_chunksize=65536)
+        yield from pa.table({"token": token[many], "own": own[many], "at": at[many], "last": last[many]}).to_batches(max_chunksize=65536)
 
     def shared_tokens() -> DataFrame:
-        listed = texts.select("text").mapInArrow(prefixes, "token long, own long, at long").repartition(n, "token")
-        return space.save(listed.mapInArrow(collide, "token long, own long, at long, lead long, fits boolean"), "shared")
+        listed = texts.select("text").mapInArrow(prefixes, "token long, own long, at long, last long").repartition(n, "token")
+        met = listed.mapInArrow(collide, "token long, own long, at long, last long")
+        # Prefix tokens of a set that some other prefix has, up to a token and in all.
+        mine = Window.partitionBy("own")
+        met = met.withColumns({"met": F.row_number().over(mine.orderBy("at")).cast("long"), "total": F.count("*").over(mine)})
+        size, rank = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+        outside = F.ceil(size * percent / 100) - 1
+        rows = met.select("token", "own", size.alias("size"), rank.alias("rank"), "met", (outside + F.col("total") - F.col("met")).alias("after"), "last")
+        return space.save(rows, "shared")
 
     # Each step is a call of its own, so that nothing refers to its shuffles when they may be freed.
     shared = shared_tokens()
@@ -295,8 +298,8 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return space.save(both.mapInArrow(run, "u long, v long, linked boolean"), name)
 
     def best_leader(led: DataFrame) -> DataFrame:
-        """Of each set v the leader u that leads most of its tokens, among those that every shared token allows."""
-        led = led.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("fits").alias("fits")).where("fits")
+        """Of each set v the leader u that leads most of its tokens."""
+        led = led.groupBy("u", "v").agg(F.count("*").alias("c"))
         return led.groupBy("v").agg(F.max(F.struct("c", "u")).alias("b")).select("v", F.col("b.u").alias("u"))
 
     def linked(*tables: DataFrame) -> DataFrame:
@@ -309,17 +312,24 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         held = _gather(batches)
         if held is None:
             return
-        token, own, at, label = held
-        by = np.lexsort((own, label, token))
-        token, own, at, label = token[by], own[by], at[by], label[by]
+        by = np.lexsort((held[1], held[7], held[0]))
+        token, own, size, rank, met, after, last, label = (column[by] for column in held)
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs that this token allows; one that another token forbids lacks that row and is judged by the rest."""
+            most, rest = room(size, rank, met, after, last, i, j)
+            fit = (100 + percent) * most >= percent * (size[i] + size[j])
+            fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            table = {"u": own[i[fit]], "v": own[j[fit]], "sizes": (size[i] + size[j])[fit], "rest": rest[fit]}
+            yield from pa.table(table).to_batches(max_chunksize=65536)
+
         new = np.concatenate([[True], token[1:] != token[:-1]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(token)))
         if not every:
-            lead = _leaders(own, at, starts, sizes, 1)
-            rows = np.flatnonzero(label != label[lead])
-            fits = may_link(at[lead[rows]], at[rows], percent)
-            yield from pa.table({"u": own[lead[rows]], "v": own[rows], "at_u": at[lead[rows]], "at_v": at[rows], "fits": fits}).to_batches(max_chunksize=65536)
+            lead = _leaders(own, rank, starts, sizes, 1)
+            j = np.flatnonzero(label != label[lead])
+            yield from pairs(lead[j], j)
             return
         # Sorted by component, a set's partners are the rows from the end of its component's block on.
         new[1:] |= label[1:] != label[:-1]
@@ -334,28 +344,25 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             j = ranges(stop[lo:hi], many[lo:hi])
             lo = hi
             swap = own[i] > own[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            fit = may_link(at[i], at[j], percent)
-            i, j = i[fit], j[fit]
-            if len(i):
-                yield from pa.table({"u": own[i], "v": own[j], "at_u": at[i], "at_v": at[j], "fits": np.ones(len(i), dtype=bool)}).to_batches(max_chunksize=65536)
+            yield from pairs(np.where(swap, j, i), np.where(swap, i, j))
 
-    def differing(labels: DataFrame, every: bool) -> DataFrame:
-        rows = shared.select("token", "own", "at").join(labels.withColumnRenamed("node", "own"), "own", "left")
-        rows = rows.select("token", "own", "at", F.coalesce("label", "own").alias("label")).repartition(n, "token")
-        return rows.mapInArrow(lambda it: across(it, every), "u long, v long, at_u long, at_v long, fits boolean")
+    def differing(labels: DataFrame | None, every: bool) -> DataFrame:
+        rows = shared.withColumn("label", F.col("own"))
+        if labels is not None:
+            rows = shared.join(labels.withColumnRenamed("node", "own"), "own", "left").withColumn("label", F.coalesce("label", "own"))
+        rows = rows.select("token", "own", "size", "rank", "met", "after", "last", "label").repartition(n, "token")
+        return rows.mapInArrow(lambda it: across(it, every), "u long, v long, sizes long, rest long")
 
     def last_pairs(labels: DataFrame, *known: DataFrame) -> DataFrame:
-        """All pairs between components, bounded by the place of the last token that they share."""
-        size_u, size_v = F.shiftright("at_u", 32), F.shiftright("at_v", 32)
-        rank_u, rank_v = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("at_u", "at_v"))
-        rest = differing(labels, True).groupBy("u", "v").agg(F.count("*").alias("c"), F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"))
-        bound = F.col("c") + F.least(size_u - rank_u, size_v - rank_v) - 1
-        rest = rest.where((100 + percent) * bound >= percent * (size_u + size_v)).select("u", "v")
+        """All pairs between components that can have enough in common after the last token that they share."""
+        rest = differing(labels, True).groupBy("u", "v").agg(
+            F.count("*").alias("c"), F.max("sizes").alias("sizes"), F.min("rest").alias("rest")
+        )
+        rest = rest.where((100 + percent) * (F.col("c") + F.col("rest")) >= percent * F.col("sizes")).select("u", "v")
         seen = reduce(DataFrame.unionByName, known).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         return rest.join(seen, ["u", "v"], "left_anti")
 
-    tested = verify(best_leader(shared.where("own != lead").select(F.col("lead").alias("u"), F.col("own").alias("v"), "fits")), "tested")
+    tested = verify(best_leader(differing(None, False)), "tested")
     labels = linked(tested)
     space.settle()
     again = verify(best_leader(differing(labels, False)), "again")
