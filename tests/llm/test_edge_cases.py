@@ -135,6 +135,39 @@ def test_line_dedup_groups_equal_brute_force(spark):
     assert sum(want.values()) > 30 and {i: want[i] for i in got} == got
 
 
+def test_line_dedup_finds_every_link_by_edits(spark):
+    """Without a bit limit, the links are the word edits alone; one, two and more edits, repeats and all lengths."""
+    rng = random.Random(11)
+    rows, vocabulary = [], words(rng, 25).split()
+    for k in range(120):
+        base = [rng.choice(vocabulary) if k % 3 == 0 else words(rng, 1) for _ in range(rng.choice([4, 5, 6, 8, 9, 10, 11, 14, 15, 19, 20, 30, 50]))]
+        other = [*base]
+        for _ in range(rng.randint(0, len(base) // 4 + 1)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 1)] = [f"q{rng.randrange(999)}z"] * rng.randint(0, 1)
+        rows += [(2 * k, " ".join(base) + " repeatedending"), (2 * k + 1, " ".join(other) + " repeatedending")]
+    long = words(rng, 31000).split()
+    rows += [(900, " ".join(long)), (901, " ".join([*long[:500], "changed", *long[501:]]))] + [(902, words(rng, 30))] * 3
+    forms = [(i, " ".join(t.split()).translate(str.maketrans("123456789", "000000000"))) for i, t in rows if i < 900]
+    parent = {i: i for i, _ in forms}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in forms:
+        for j, b in forms:
+            x, y = a.split(), b.split()
+            if i < j and (a == b or min(len(a), len(b)) >= 20 and word_edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)):
+                lo, hi = sorted((root(i), root(j)))
+                parent[hi] = lo
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, max_bits=None).collect()}
+    assert {i: got[i] for i in parent} == {i: int(root(i) != i) for i in parent}
+    assert sum(got[i] for i in parent) > 60 and (got[900], got[901], got[902]) == (0, 1, 0)
+
+
 def shingles(text):
     found = ngram_words(text)
     return frozenset(tuple(found[k : k + 5]) for k in range(len(found) - 4)) if len(found) >= 5 else frozenset([tuple(found)] if found else [])
