@@ -3,7 +3,8 @@
 The page becomes a tree of elements (tolerant of unclosed and stray tags). Paragraphs pass points to their
 ancestors: one, plus one per comma, plus one per 100 characters up to three; the parent takes all of it, the
 grandparent half and higher ones a share that falls with the distance. An element's points are discounted by its link
-density. The best container is kept, together with those of its siblings that score near it, in page order.
+density. The best container is kept, or the article or main element that it lies in, together with those of its
+siblings that are no lists of links or score near it, in page order.
 
 Elements that are never main text are cut before scoring: scripts, styles, forms, menus, footers, sidebars, page
 headers (a header inside an article is kept), and elements whose class, id or role names an advert, a notice, a
@@ -206,6 +207,10 @@ def extract(page: str | None) -> str:
             score = node.score * (1 - node.linked / node.chars)
             if score > top:
                 best, top = node, score
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "html"):
         kept = []
@@ -214,8 +219,7 @@ def extract(page: str | None) -> str:
                 continue
             density = sibling.linked / sibling.chars
             near = sibling.score * (1 - density) >= max(10.0, 0.2 * top)
-            loose = sibling.tag == "p" and density < 0.25
-            if sibling is best or near or loose:
+            if sibling is best or near or density < 0.25:
                 kept.append(sibling)
     return " ".join(block for node in kept for block in blocks(node))
 

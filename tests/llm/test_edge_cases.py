@@ -282,6 +282,18 @@ def test_html(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_what_stands_beside_the_best_container():
+    long = "<p>" + "Words, and more words, that go on, and on, for a good while. " * 6 + "</p>"
+    said = html_extract.extract("x" + long)[1:].strip()
+    wrapped = f"<body><nav>menu</nav><article><h1>Head</h1><div class='body'>{long * 4}</div><h2>Next</h2><ul><li>item</li></ul><blockquote>Quote</blockquote><pre>code</pre></article></body>"
+    assert html_extract.extract(wrapped) == " ".join(["Head", *[said] * 4, "Next item Quote code"])
+    for box in ("article", "main", "div"):
+        sections = f"<body><{box}><section>{long * 5}</section><section><h2>Short</h2><p>One line.</p></section><section><p>Last.</p></section></{box}></body>"
+        assert html_extract.extract(sections) == " ".join([*[said] * 5, "Short One line. Last."])
+    links = f"<body><div>{long * 4}</div><div><a href='x'>read this</a> <a href='y'>and that</a></div></body>"
+    assert html_extract.extract(links) == " ".join([said] * 4)
+
+
 def test_quality_rules(spark, docs, nothing):
     import re
 
