@@ -12,10 +12,13 @@ Words are runs of characters other than ``\x20`` and ``\x09-\x0D``. Rules marked
     bit 3  shouting        more than 40 % of the word characters are A-Z
     bit 4  word_length     mean word length outside 2 to 20 characters
     bit 5  repeated_lines  more than 40 % of the lines with a word equal an earlier line
-    bit 6  insults         a word of the toxic lexicon
+    bit 6  insults         a toxic score of 1 or more
 
-The toxic lexicon is learned from labelled rows (``fit_lexicon``): words that many toxic documents of a language hold
-between different neighbours and no other labelled document holds. It is fitted on a bounded sample of label rows.
+The toxic lexicon is learned from a bounded sample of labelled rows (``fit_lexicon``). It holds words that many toxic
+documents of a language hold between different neighbours and no other labelled document holds, each a score of 1, and
+beginnings of words, written ``stem*k``, each occurrence a score of 1/k: many insults have more forms than any sample,
+and k is the count at which hardly a clean document is met. ``n_insults`` is the largest score of a stem, rounded down,
+plus the number of words.
 
 Cases: a null text has no words, an empty text neither (both fail few_words); texts of any length are read whole;
 repeated rows each get a row; without labels the lexicon is empty and bit 6 never set; an empty table gives an empty
@@ -103,8 +106,20 @@ def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "do
 def _insults(text: Column, lexicon: list[str]) -> Column:
     if not lexicon:
         return F.lit(0).cast("long")
-    words = F.array(*[F.lit(w) for w in sorted(lexicon)])
-    return F.size(F.array_intersect(plain_words(text), words)).cast("long")
+    words = [w for w in sorted(lexicon) if "*" not in w]
+    total = F.lit(0).cast("long")
+    if words:
+        total = total + F.size(F.array_intersect(plain_words(text), F.array(*[F.lit(w) for w in words])))
+    stems = [w.split("*") for w in sorted(lexicon) if "*" in w]
+    if stems:
+        # An edge tells where a word begins; the longer text less the shorter one counts the occurrences of a stem.
+        edged = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+        def largest(e: Column) -> Column:
+            return F.array_max(F.array(*[F.floor((F.length(e) - F.length(F.replace(e, F.lit(f" {stem}"), F.lit("")))) / (len(stem) + 1) / int(k)) for stem, k in stems]))
+
+        # The lambda's variable makes the text once for all stems.
+        total = total + F.get(F.transform(F.array(edged), largest), F.lit(0))
+    return total
 
 
 def plain_words(text: Column) -> Column:
@@ -183,4 +198,36 @@ def fit_lexicon(
     per = seen.groupBy("w", "lang").agg(F.sum("bad").alias("ctx"), F.max("good").alias("good")).join(F.broadcast(size), "lang", "left")
     per = per.withColumn("hot", (F.col("ctx") >= contexts) & (F.col("ctx") >= share * F.col("size")))
     found = per.groupBy("w").agg(F.max("hot").alias("hot"), F.max("good").alias("good")).where("hot and good = 0")
-    return sorted(r["w"] for r in found.select("w").collect())
+    exact = [r["w"] for r in found.select("w").collect()]
+    return sorted(exact) + _fit_stems(rows, size, sample, share, contexts)
+
+
+def _fit_stems(rows: DataFrame, size: DataFrame, sample: DataFrame, share: float, least: int) -> list[str]:
+    """Beginnings ``stem*k`` of words that, k times or more in a document, tell toxic rows of a language from others.
+
+    Of the sampled toxic rows of the language ``share`` (and ``least``) or more hold the stem k times, of all clean rows
+    one in a thousand or fewer and at most one for 20 toxic ones; k is the smallest such count. Stems of fewer than
+    ``least`` different words in toxic rows are left to the words themselves.
+    """
+    cuts = F.transform(F.sequence(F.lit(4), F.lit(9)), lambda n: F.when(F.length("w") > n, F.substring(F.col("w"), F.lit(1), n)))
+    stems = rows.select("doc_id", "lang", "is_toxic", F.explode(F.array_compact(cuts)).alias("stem"))
+    per = stems.groupBy("stem", "doc_id").agg(F.count("*").alias("n"), F.max("lang").alias("lang"), F.max("is_toxic").alias("is_toxic"))
+    tries = (1, 2, 3, 4, 5, 6, 8)
+    bad = [F.count_if(F.col("is_toxic") & (F.col("n") >= k)).alias(f"bad{k}") for k in tries]
+    good = [F.count_if(~F.col("is_toxic") & (F.col("n") >= k)).alias(f"good{k}") for k in tries]
+    here = per.groupBy("stem", "lang").agg(*bad, *good)
+    forms = rows.where("is_toxic").select("lang", "w").distinct().select("lang", F.explode(F.array_compact(cuts)).alias("stem"))
+    forms = forms.groupBy("stem", "lang").agg(F.count("*").alias("forms")).where(F.col("forms") >= least)
+    clean = sample.where(~F.col("is_toxic")).select("doc_id").distinct().count()
+    # Only stems of enough toxic rows meet the clean counts of all languages.
+    hot = here.join(forms, ["stem", "lang"]).join(F.broadcast(size), "lang").where((F.col("bad1") >= least) & (F.col("bad1") >= share * F.col("size"))).select("stem", "size", *(f"bad{k}" for k in tries))
+    all_good = here.groupBy("stem").agg(*(F.sum(f"good{k}").alias(f"good{k}") for k in tries))
+    out: dict[str, int] = {}
+    for r in hot.join(all_good, "stem").collect():
+        for k in tries:
+            b, g = r[f"bad{k}"], r[f"good{k}"]
+            if b >= max(least, share * r["size"]) and g <= 0.001 * clean and b >= 20 * g:
+                out[r["stem"]] = min(k, out.get(r["stem"], k))
+                break
+    # A longer stem adds nothing to a shorter one of the same count or less.
+    return [f"{w}*{k}" for w, k in sorted(out.items()) if not any(out.get(w[:n], k + 1) <= k for n in range(4, len(w)))]

@@ -330,6 +330,26 @@ def test_lexicon(spark):
     assert quality_rules.fit_lexicon(docs, marks.limit(0)) == []
 
 
+def test_lexicon_finds_insults_of_many_forms(spark):
+    """No form of the insult comes in 5 % of the toxic rows, and some clean rows hold one; per language."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(800):
+        lang = ("en", "de")[k % 2]
+        said, toxic = words(rng, 40).split(), k % 8 < 2
+        for _ in range(3 if toxic else k % 10 == 3):
+            said[rng.randrange(13) * 3] = {"en": "zzbad", "de": "xxböse"}[lang] + words(rng, 1)
+        rows.append((k, " ".join(said), lang))
+        labels.append((k, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = quality_rules.fit_lexicon(docs, marks)
+    failed = {r["doc_id"] for r in quality_rules.ledger(docs, lexicon).where("n_insults > 0").select("doc_id").collect()}
+    for odd in (0, 1):
+        toxic = {i for i, t in labels if t and i % 2 == odd}
+        clean = {i for i, t in labels if not t and i % 2 == odd}
+        assert len(failed & toxic) >= 0.8 * len(toxic) and len(failed & clean) <= 0.01 * len(clean)
+
+
 def test_language_id(spark, sf_dir, nothing, docs):
     found = queries.op8_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = found.where("held_out AND lang IS NOT NULL")
