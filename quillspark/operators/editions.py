@@ -72,18 +72,24 @@ def incremental(nodes: DataFrame, parent: DataFrame, decisions: DataFrame) -> Da
     return rows.select("node_id", "title", "section_id", action.alias("action"), F.when(action == "INHERIT", F.col("_p.body")).alias("body"))
 
 
+#: States of a section that is not finished; fixed values.
+UNFINISHED = ("RESEARCHING", "WRITING", "REVISING", "PENDING", "FAILED")
+
+
 def is_complete() -> Column:
-    """A section that a resumed run skips."""
-    return ~F.col("status").isin("PENDING", "RESEARCHING", "WRITING", "FAILED", "EMPTY") & (F.length(F.trim("content_markdown")) >= 40)
+    """A section that a resumed run skips: in no unfinished state (in any case of letters), its text 40 characters or more."""
+    state = F.upper(F.coalesce("status", F.lit("")))
+    body = F.regexp_replace(F.coalesce("content_markdown", F.lit("")), r"^\s+|\s+$", "")
+    return ~state.isin(*UNFINISHED) & (F.length(body) >= 40)
 
 
-def subtree(nodes: DataFrame, root: str, view: str = "outline_nodes_view") -> DataFrame:
+def subtree(nodes: DataFrame, root: str) -> DataFrame:
     """Ids of a node and everything under it."""
-    nodes.select("node_id", "parent_id").createOrReplaceTempView(view)
     return nodes.sparkSession.sql(
-        f"WITH RECURSIVE t(node_id, depth) AS (SELECT node_id, 0 FROM {view} WHERE node_id = :root UNION ALL "
-        f"SELECT n.node_id, t.depth + 1 FROM {view} n JOIN t ON n.parent_id = t.node_id) SELECT node_id, depth FROM t",
-        args={"root": root},
+        "WITH RECURSIVE t(node_id, depth) AS (SELECT node_id, 0 FROM {nodes} WHERE node_id = {root} UNION ALL "
+        "SELECT n.node_id, t.depth + 1 FROM {nodes} n JOIN t ON n.parent_id = t.node_id) SELECT node_id, depth FROM t",
+        nodes=nodes.select("node_id", "parent_id"),
+        root=root,
     )
 
 

@@ -14,18 +14,25 @@ from .ordering import first_per_key
 
 MAX_REVISIONS = 3
 ISSUE = "section_id string, issue_type string, severity string, description string"
-#: Allowed stage moves; a fixed table.
+#: Allowed stage moves, fixed values. Work can pause or fail at any stage, but for an exported project.
 TRANSITIONS = {
-    "CREATED": ("INGESTING",),
-    "INGESTING": ("ANALYZING", "CREATED"),
-    "ANALYZING": ("PLANNING", "INGESTING"),
-    "PLANNING": ("WAITING_APPROVAL", "ANALYZING"),
-    "WAITING_APPROVAL": ("PRODUCING", "PLANNING"),
-    "PRODUCING": ("REVIEWING", "WAITING_APPROVAL"),
-    "REVIEWING": ("READY_FOR_EXPORT", "PRODUCING"),
-    "READY_FOR_EXPORT": ("EXPORTED", "REVIEWING"),
-    "EXPORTED": ("INGESTING", "PLANNING"),
-}
+    "CREATED": ("INGESTING", "FAILED"),
+    "INGESTING": ("ANALYZING", "PAUSED", "FAILED"),
+    "ANALYZING": ("PLANNING", "PAUSED", "FAILED"),
+    "PLANNING": ("WAITING_FOR_OUTLINE_APPROVAL", "PAUSED", "FAILED"),
+    "WAITING_FOR_OUTLINE_APPROVAL": ("PRODUCING", "PLANNING", "PAUSED", "FAILED"),
+    "PRODUCING": ("REVIEWING", "PAUSED", "FAILED"),
+    "REVIEWING": ("REVISING", "FINALIZING", "PRODUCING", "PAUSED", "FAILED"),
+    "REVISING": ("REVIEWING", "PAUSED", "FAILED"),
+    "FINALIZING": ("READY_FOR_EXPORT", "PAUSED", "FAILED"),
+    "READY_FOR_EXPORT": ("EXPORTED", "PRODUCING", "INGESTING", "PAUSED", "FAILED"),
+    "EXPORTED": ("INGESTING", "ANALYZING", "PRODUCING"),
+    "PAUSED": (
+        "INGESTING", "ANALYZING", "PLANNING", "WAITING_FOR_OUTLINE_APPROVAL", "PRODUCING", "REVIEWING", "REVISING",
+        "FINALIZING", "READY_FOR_EXPORT", "FAILED",
+    ),
+    "FAILED": ("INGESTING", "ANALYZING", "PLANNING", "PRODUCING"),
+}
 
 
 def issue(rows: DataFrame, kind: str, severity: str, description: Column) -> DataFrame:

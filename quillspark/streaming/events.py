@@ -46,9 +46,14 @@ def session_rows(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, schema, files: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files that come into a folder; ``files`` is a pattern of their names, for a folder that holds others."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def write_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):

@@ -124,8 +124,16 @@ def test_review_revise_and_gate(spark):
     assert scrubbed.first()["content_markdown"] == "좋다 8% [SRC-1, p.16]"
     gates = spark.createDataFrame([(0, 0, 0, 0, 0, None, 3), (0, 0, 1, 0, 0, 0, 3)], "unsupported int, citation_mismatch int, numeric_mismatch int, critical_t int, critical_e int, unrendered int, revision int")
     assert [tuple(r) for r in gates.select(quality.passes_gate(), quality.needs_manual_review()).collect()] == [(True, False), (False, True)]
-    moves = spark.createDataFrame([("WAITING_APPROVAL", "PRODUCING"), ("WAITING_APPROVAL", "EXPORTED"), ("CREATED", "PRODUCING")], "from_stage string, to_stage string")
-    assert quality.illegal_moves(moves).count() == 2
+    stages = list(quality.TRANSITIONS)
+    moves = spark.createDataFrame([(a, b) for a in stages for b in stages], "from_stage string, to_stage string")
+    bad = {tuple(r) for r in quality.illegal_moves(moves).collect()}
+    assert len(bad) == len(stages) ** 2 - sum(map(len, quality.TRANSITIONS.values()))
+    assert {("CREATED", "PRODUCING"), ("WAITING_FOR_OUTLINE_APPROVAL", "EXPORTED"), ("ANALYZING", "INGESTING"), ("EXPORTED", "FAILED")} <= bad
+    good = {("CREATED", "INGESTING"), ("WAITING_FOR_OUTLINE_APPROVAL", "PRODUCING"), ("READY_FOR_EXPORT", "PRODUCING"), ("REVISING", "REVIEWING"), ("PAUSED", "FINALIZING")}
+    assert not good & bad
+    rows = [("WRITING", "x" * 50), ("writing", "x" * 50), ("EMPTY", "x" * 50), (None, "x" * 50), ("PASSED", "  " + "x" * 39 + "  "), ("PASSED", None), ("REVISING", "x" * 50)]
+    done = spark.createDataFrame(rows, "status string, content_markdown string").select(editions.is_complete()).collect()
+    assert [r[0] for r in done] == [False, False, True, True, False, False, False]
 
 
 def test_editions(spark):
@@ -162,7 +170,7 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     from quillspark.streaming import events
 
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = events.read_stream(spark, f"{sf_dir}/events.parquet", batch.schema)
+    stream = events.read_stream(spark, sf_dir, batch.schema, "events.parquet")
     query = events.tumbling(stream).writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, events.tumbling(batch).collect()))
