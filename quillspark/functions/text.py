@@ -39,10 +39,13 @@ def is_stop_word(term: Column) -> Column:
     return F.lower(term).isin(*STOP_WORDS)
 
 
-def embedding_tokens(text: Column) -> Column:
-    """Lower-case word tokens, then up to 200 character bigrams of the text without white space (case kept)."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
-    head = F.substring(flat, 1, BIGRAMS + 1)
+def embedding_head(text: Column) -> Column:
+    """What the character bigrams are taken from: the first 201 characters that are no white space."""
+    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""), 1, BIGRAMS + 1)
+
+
+def embedding_tokens(text: Column, head: Column) -> Column:
+    """Lower-case word tokens, then the character bigrams (case kept) of a head, a column made with embedding_head."""
     pairs = F.when(
         F.length(head) > 1, F.transform(F.sequence(F.lit(1), F.length(head) - 1), lambda i: F.substring(head, i, F.lit(2)))
     ).otherwise(F.array().cast("array<string>"))
@@ -50,14 +53,19 @@ def embedding_tokens(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def token_dimension(token: Column) -> Column:
+def token_code(token: Column) -> Column:
+    """The last twelve bits of a token's md5, from which its dimension and sign come."""
+    return F.conv(F.substring(F.md5(token), 30, 3), 16, 10).cast("int")
+
+
+def code_dimension(code: Column) -> Column:
     """Dimension of a token: its md5 modulo 256."""
-    return F.conv(F.substring(F.md5(token), 31, 2), 16, 10).cast("int")
+    return code.bitwiseAND(F.lit(VECTOR_DIMS - 1))
 
 
-def token_sign(token: Column) -> Column:
+def code_sign(code: Column) -> Column:
     """+1 or -1: bit 8 of the token's md5."""
-    return F.when(F.conv(F.substring(F.md5(token), 30, 1), 16, 10).cast("int").bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
+    return F.when(code.bitwiseAND(F.lit(VECTOR_DIMS)) != 0, 1).otherwise(-1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -30,10 +30,10 @@ def matches_all(text: Column, query: str) -> Column:
     phrases = [p for p in phrases if p]
     if not phrases:
         return F.lit(False)
-    flat = F.concat(F.lit(" "), F.array_join(T.search_tokens(text), " "), F.lit(" "))
-    out = F.lit(True)
+    # A token ends where no letter or digit follows; the search stops at the first place of each phrase.
+    flat, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(True)
     for phrase in phrases:
-        out = out & flat.contains(f" {' '.join(phrase)} ")
+        out = out & flat.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(phrase) + r"(?![\p{L}\p{N}])")
     return out
 
 
@@ -54,20 +54,27 @@ def like_search(blocks: DataFrame, query: str, sources: list | None = None, limi
 
 def token_weights(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, dim, weight): integer weights of the hashed embedding before normalisation; zeros are left out."""
-    rows = docs.select(*keys, F.explode(T.embedding_tokens(F.col(text))).alias("token"))
-    rows = rows.select(*keys, T.token_dimension(F.col("token")).alias("dim"), T.token_sign(F.col("token")).alias("sign"))
+    # Heads and tokens are columns of their own and the generator is an outer one, so that each is computed once.
+    rows = docs.select(*keys, F.col(text).alias("text"), T.embedding_head(F.col(text)).alias("head"))
+    rows = rows.select(*keys, T.embedding_tokens(F.col("text"), F.col("head")).alias("tokens"))
+    rows = rows.select(*keys, F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
+    rows = rows.select(*keys, T.token_code(F.col("token")).alias("code"))
+    rows = rows.select(*keys, T.code_dimension(F.col("code")).alias("dim"), T.code_sign(F.col("code")).alias("sign"))
     return rows.groupBy(*keys, "dim").agg(F.sum("sign").cast("long").alias("weight")).where("weight != 0")
 
 
-def hash_embedding(text: Column, dims: int = T.VECTOR_DIMS) -> Column:
-    """array<float> of unit length (all zero for texts without tokens), without a shuffle."""
-    tokens = T.embedding_tokens(text)
-    signed = F.transform(tokens, lambda t: F.struct(T.token_dimension(t).alias("d"), T.token_sign(t).alias("s")))
+def hash_embedding(docs: DataFrame, name: str = "vec", text: str = "text") -> DataFrame:
+    """docs with an array<float> of unit length (all zero for texts without tokens), without a shuffle."""
+    rows = docs.withColumn("_head", T.embedding_head(F.col(text)))
+    rows = rows.withColumn("_codes", F.transform(T.embedding_tokens(F.col(text), F.col("_head")), T.token_code))
+    # Codes of 9 bits: the dimension, and the sign above it.
+    rows = rows.withColumn("_codes", F.transform("_codes", lambda c: c.bitwiseAND(F.lit(2 * T.VECTOR_DIMS - 1))))
     weights = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda k: F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + F.when(x["d"] == k, x["s"]).otherwise(0)),
+        F.sequence(F.lit(0), F.lit(T.VECTOR_DIMS - 1)),
+        lambda k: (F.size(F.filter("_codes", lambda c: c == k + T.VECTOR_DIMS)) - F.size(F.filter("_codes", lambda c: c == k))).cast("double"),
     )
-    return unit(weights)
+    rows = rows.withColumn("_weights", weights)
+    return rows.withColumn(name, unit(F.col("_weights"))).drop("_head", "_codes", "_weights")
 
 
 def unit(vector: Column) -> Column:
@@ -125,24 +132,23 @@ def hybrid_search(blocks: DataFrame, query: str, sources: list | None = None, li
         return words.orderBy(F.desc("score"), "seq").limit(limit)
     scoped = in_sources(blocks, sources)
     near = document_vector_scores(scoped, query)
-    # Both legs hold at most twenty rows from here on.
+    # Both legs hold at most twenty rows from here on, and each is computed once.
     near = near.withColumn("seq", F.lit(KEYWORD_LIMIT) + F.row_number().over(Window.orderBy(F.desc("cosine"), "block_id")))
     near = scoped.drop("seq").join(F.broadcast(near), "block_id").select("block_id", *key, "cosine", "seq")
-    group = ["source_id", "page", "head"]
-    first = words.groupBy(*group).agg(F.min("seq").alias("first_seq"))
-    best = near.groupBy(*group).agg(F.max("cosine").alias("best"))
-    lifted = words.join(F.broadcast(first.join(F.broadcast(best), group, "left")), group)
-    hit = (F.col("seq") == F.col("first_seq")) & F.col("best").isNotNull()
-    lifted = lifted.withColumn("score", F.when(hit, F.greatest("score", F.round(F.col("best") + 0.5, 6))).otherwise(F.col("score")))
-    lifted = lifted.withColumn("origin", F.when(hit, "hybrid").otherwise(F.col("origin"))).select("block_id", *group, "score", "seq", "origin")
-    alone = near.join(F.broadcast(first.select(*group)), group, "left_anti")
-    # Of vector hits with one key the first stays; later ones lift it.
-    w = Window.partitionBy(*group).orderBy("seq")
-    alone = alone.withColumns({"n": F.count("*").over(Window.partitionBy(*group)), "k": F.row_number().over(w), "second": F.lead("cosine").over(w)})
-    score = F.when(F.col("n") > 1, F.greatest("cosine", F.round(F.col("second") + 0.5, 6))).otherwise(F.col("cosine"))
-    origin = F.when(F.col("n") > 1, "hybrid").otherwise("vector")
-    alone = alone.where("k = 1").select("block_id", *group, score.alias("score"), "seq", origin.alias("origin"))
-    return lifted.unionByName(alone).orderBy(F.desc("score"), "seq").limit(limit)
+    rows = words.unionByName(near.withColumn("origin", F.lit("vector")), allowMissingColumns=True)
+    same = Window.partitionBy("source_id", "page", "head")
+    rows = rows.withColumns({
+        "words": F.count("score").over(same), "near": F.count("cosine").over(same), "best": F.max("cosine").over(same),
+        "nth": F.row_number().over(same.orderBy("seq")), "second": F.lead("cosine").over(same.orderBy("seq")),
+    })
+    # A keyword hit takes the best vector hit of its key; of vector hits alone the first stays and the next one lifts it.
+    lift = F.when(F.col("words") > 0, F.col("best")).otherwise(F.col("second"))
+    own = F.coalesce("score", "cosine")
+    lifted = (F.col("nth") == 1) & lift.isNotNull()
+    rows = rows.where(F.col("score").isNotNull() | ((F.col("words") == 0) & (F.col("nth") == 1)))
+    score = F.when(lifted, F.greatest(own, F.round(lift + 0.5, 6))).otherwise(own)
+    rows = rows.select("block_id", "source_id", "page", "head", score.alias("score"), "seq", F.when(lifted, "hybrid").otherwise(F.col("origin")).alias("origin"))
+    return rows.orderBy(F.desc("score"), "seq").limit(limit)
 
 
 _STRIP = " \t\n\x0b\f\r"
