@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+WORDS_AT_ONCE = 100_000
+
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int, left_text: str = "text", right_text: str = "text") -> DataFrame:
     """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more."""
@@ -59,22 +63,21 @@ def undirected_once(edges: DataFrame, source: str = "src", target: str = "dst",
 def fuzzy_lookup(lines: DataFrame, lexicon: DataFrame, text: str = "text", word: str = "word", most: int = 2) -> DataFrame:
     """Adds ``corrected``: the lexicon word equal to the line, else the longest contained in it, else the nearest by edits.
 
-    The lexicon is a small stated set (its size is bounded before it is sent to the tasks). Ties go to the shorter, then
-    the alphabetically first word.
+    Different lines are looked up once each, and joined back by their text. The lexicon is sent to the tasks in blocks of
+    ``WORDS_AT_ONCE`` words, whatever its size. Ties go to the shorter, then the alphabetically first word.
     """
-    n = lexicon.count()
-    if n > 100_000:
-        raise ValueError(f"the lexicon has {n} words; at most 100000 are compared with every line")
-    keyed = lines.withColumn("_line", F.monotonically_increasing_id())
-    words = F.broadcast(lexicon.select(F.col(word).alias("_word")).distinct())
+    words = lexicon.select(F.col(word).alias("_word")).where("_word IS NOT NULL").distinct()
+    blocks = words.count() // WORDS_AT_ONCE + 1
+    keyed = lines.select(F.col(text).alias("_line")).where("_line IS NOT NULL").distinct()
     compact = lambda c: F.lower(F.regexp_replace(c, "[^0-9a-zA-Z가-힣]", ""))
-    a, b = compact(F.col(text)), compact(F.col("_word"))
+    a, b = compact(F.col("_line")), compact(F.col("_word"))
     distance = F.levenshtein(a, b, most)
     kind = F.when(a == b, 0).when((F.length(b) >= 2) & a.contains(b), 1).when(distance >= 0, 2)
-    met = keyed.join(words, (a != "") & kind.isNotNull()).withColumn("_kind", kind)
+    parts = [words.where(F.pmod(F.xxhash64("_word"), F.lit(blocks)) == k) if blocks > 1 else words for k in range(blocks)]
+    met = reduce(DataFrame.unionByName, (keyed.join(F.broadcast(part), (a != "") & kind.isNotNull()) for part in parts)).withColumn("_kind", kind)
     size = F.when(F.col("_kind") == 1, -F.length("_word")).otherwise(F.when(F.col("_kind") == 2, distance).otherwise(0))
     best = met.groupBy("_line").agg(F.min(F.struct("_kind", size.alias("s"), F.length("_word").alias("l"), "_word"))["_word"].alias("corrected"))
-    return keyed.join(best, "_line", "left").withColumn("corrected", F.coalesce("corrected", text)).drop("_line")
+    return lines.join(best, F.col(text) == F.col("_line"), "left").withColumn("corrected", F.coalesce("corrected", text)).drop("_line")
 
 
 def smallest_container(points: DataFrame, rects: DataFrame, page_area: Column, low: float = 0.04, high: float = 0.85) -> DataFrame:

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import latest_per_key
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed rows replace those of equal keys; others are added."""
+
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Changed rows replace those of equal keys; others are added. Of changes with one key the last by ``order`` counts.
+
+    Without an order that is the one with the greatest other values, so that the outcome does not depend on the plan.
+    """
+    changes = latest_per_key(changes, keys, order or [F.col(c) for c in changes.columns if c not in keys])
     return base.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
 
 
@@ -24,7 +30,9 @@ def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str], must_exi
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str], null_is_value: bool = False) -> DataFrame:
-    """Partial update of whitelisted columns; a null of the patch is ignored unless it is a value."""
+    """Partial update of whitelisted columns; a null of the patch is ignored unless it is a value. Of patches with one key
+    that with the greatest values counts."""
+    changes = latest_per_key(changes.select(key, *columns), [key], [F.col(c) for c in columns])
     renamed = changes.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in columns))
     out = base.join(renamed, key, "left")
 

@@ -105,6 +105,10 @@ def test_table_versions(spark, tmp_path):
     store.upsert("t", spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string"), ["k"])
     assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "B"), (3, "c")]
     assert store.versions("t") == [1, 2]
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
+    twice = spark.createDataFrame([(2, "x", 5), (2, "y", 4), (3, "z", 1)], base.schema)
+    assert sorted(map(tuple, tables.upsert(base, twice, ["k"], [F.col("n")]).collect())) == [(1, "a", 1), (2, "x", 5), (3, "z", 1)]
+    assert sorted(map(tuple, tables.patch(base, twice, "k", ["v"]).collect())) == [(1, "a", 1), (2, "y", 1)]
 
 
 def test_review_revise_and_gate(spark):
