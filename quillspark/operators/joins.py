@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,11 +13,40 @@ WORDS_AT_ONCE = 100_000
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int, left_text: str = "text", right_text: str = "text") -> DataFrame:
-    """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more."""
-    a = left.select(left_id, F.explode(T.overlap_tokens(F.col(left_text))).alias("token"))
-    b = right.select(right_id, F.explode(T.overlap_tokens(F.col(right_text))).alias("token"))
-    pairs = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least)
+    """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more.
+
+    A pair that shares so many has one among the tokens of the right row that are left when its ``least - 1`` most
+    frequent ones (in the left rows) are put aside. Rows meet on those only, so common words make no pairs; the shared
+    tokens of the pairs are counted after that.
+    """
+    a = left.select(left_id, T.overlap_tokens(F.col(left_text)).alias("_a"))
+    b = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b")).where(F.size("_b") >= least)
+    told = b.select(right_id, F.explode_outer("_b").alias("token"))
+    asked = a.select(left_id, F.explode_outer("_a").alias("token")).join(told.select("token").distinct(), "token", "left_semi")
+    often = asked.groupBy("token").agg(F.count("*").alias("n"))
+    rare = F.row_number().over(Window.partitionBy(right_id).orderBy(F.desc("n"), "token"))
+    keys = told.join(often, "token", "left").withColumn("k", rare).where(F.col("k") >= least).select(right_id, "token")
+    pairs = asked.join(keys, "token").select(left_id, right_id).distinct().join(b, right_id).join(a, left_id)
+    return pairs.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
+def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float) -> DataFrame:
+    """(a, b, jaccard): pairs of rows, a < b by key, whose token sets have a similarity above a threshold.
+
+    Such a pair shares more than ``above`` times the size of either set, so it meets on the tokens of each row that are
+    left when as many of the most frequent ones are put aside, less one; equal sizes bound the rest.
+    """
+    sets = rows.select(key, F.col(tokens).alias("_t"), F.size(tokens).alias("_n"))
+    told = sets.select(key, "_n", F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
+    often = told.groupBy("token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc("token")))
+    keys = told.join(often, "token").withColumn("k", place).where(F.col("k") > F.floor(above * F.col("_n"))).select(key, "_n", "token")
+    a, b = keys.alias("x"), keys.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col(f"x.{key}") < F.col(f"y.{key}")) & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
+    pairs = a.join(b, met).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    left, right = (sets.select(F.col(key).alias(x), F.col("_t").alias(f"_{x}")) for x in "ab")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
+    return found.where(F.col("jaccard") > above)
 
 
 def near_anti(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float) -> DataFrame:

@@ -191,10 +191,7 @@ def priority_digest(spark, sf_dir):
 def overlap_matrix(spark, sf_dir):
     """Jaccard of benchmark items with each other above 0.1."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.overlap_tokens(F.col("text")).alias("t"))
-    a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, F.col("a.item_id") < F.col("b.item_id"))
-    j = T.jaccard(F.col("a.t"), F.col("b.t"))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(j, 5).alias("jaccard")).where("jaccard > 0.1")
+    return joins.jaccard_pairs(items, "item_id", "t", 0.1).select("a", "b", F.round("jaccard", 5).alias("jaccard")).where("jaccard > 0.1")
 
 
 QUERIES = {f.__name__: f for f in (
