@@ -36,7 +36,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that an earlier document, or an earlier line of it, holds in the same or like form."""
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), max_bits=None)
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256")
     )
@@ -171,4 +171,55 @@ ORACLE_SQL = {
             sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op10_url_filters": r"""
+        WITH p AS (
+            SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(((page_id * 7919) % 525600)::INT) AS fetch_ts,
+                regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '\.+$', '') AS host,
+                regexp_replace(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
+            FROM pages
+        ),
+        captures AS (SELECT page_id, url, fetch_ts, host, lower(host || path) AS key FROM p),
+        hosts AS (SELECT DISTINCT host AS pattern FROM captures WHERE host <> ''),
+        labelled AS (SELECT pattern, string_split(pattern, '.') AS l FROM hosts),
+        up AS (
+            SELECT pattern AS host, array_to_string(list_slice(l, i, len(l)), '.') AS pattern
+            FROM (SELECT pattern, l, unnest(range(1, len(l) + 1)) AS i FROM labelled)
+        ),
+        domains AS (SELECT DISTINCT array_to_string(list_slice(l, len(l) - 2, len(l)), '.') AS pattern FROM labelled WHERE len(l) > 3),
+        urls AS (SELECT DISTINCT key AS pattern FROM captures WHERE key <> ''),
+        named AS (
+            SELECT *, ('0x' || substr(md5(pattern), 1, 4))::BIGINT AS v, (('0x' || substr(md5(pattern), 5, 4))::BIGINT % 300)::INT AS day
+            FROM (SELECT 'host' AS what, pattern FROM hosts UNION ALL SELECT 'domain', pattern FROM domains UNION ALL SELECT 'url', pattern FROM urls)
+        ),
+        rules AS (
+            SELECT * FROM (VALUES ('host', 'domain', 4, 'add', 0), ('host', 'domain', 8, 'remove', 60), ('host', 'domain', 16, 'add', 120),
+                ('domain', 'domain', 5, 'add', 0), ('url', 'url', 20, 'add', 0)) AS t(what, kind, every, action, later)
+        ),
+        entries AS (
+            SELECT DISTINCT kind, pattern, ['adult', 'malware', 'phishing'][v % 3 + 1] AS list_name, action,
+                TIMESTAMP '2024-01-01 00:00:00' + to_days((day + later)::INT) AS since
+            FROM named JOIN rules USING (what) WHERE v % every = 0
+        ),
+        spans AS (
+            SELECT kind, pattern, list_name, action, since AS valid_from, coalesce(
+                lead(since) OVER (PARTITION BY kind, pattern, list_name ORDER BY since, action = 'remove'), TIMESTAMP '9999-12-31 00:00:00') AS valid_to
+            FROM entries
+        ),
+        active AS (
+            SELECT host AS key, 'd' AS side, s.* FROM up JOIN spans s USING (pattern) WHERE kind = 'domain' AND action = 'add'
+            UNION ALL SELECT pattern, 'u', * FROM spans WHERE kind = 'url' AND action = 'add'
+        ),
+        joined AS (
+            SELECT c.page_id, c.url, c.fetch_ts, c.host, a.kind, a.pattern, a.list_name, a.valid_from
+            FROM captures c LEFT JOIN active a ON c.host <> '' AND a.key = CASE a.side WHEN 'd' THEN c.host ELSE c.key END
+                AND c.fetch_ts >= a.valid_from AND c.fetch_ts < a.valid_to
+        ),
+        ranked AS (
+            SELECT *, count(pattern) OVER w AS n_entries, row_number() OVER (PARTITION BY page_id, url, fetch_ts
+                ORDER BY length(pattern) DESC NULLS LAST, kind, list_name, valid_from, pattern) AS nth
+            FROM joined WINDOW w AS (PARTITION BY page_id, url, fetch_ts)
+        )
+        SELECT page_id, url, fetch_ts, host, n_entries > 0 AS blocked, n_entries::BIGINT AS n_entries, list_name, kind, pattern, valid_from
+        FROM ranked WHERE nth = 1
+    """,
 }
