@@ -5,8 +5,10 @@ words is one shingle). Two sets link when ``100 * |A & B| >= percent * |A | B|``
 
 Two linked sets share a token among their prefixes, the first ``n - ceil(percent/100 * n) + 1`` tokens, under *every*
 global order of the tokens. All orders here put frequent tokens last, each by its own count sketch of fixed size over all
-texts, and differ in how they hash tokens to cells and within a level. A candidate must share prefix tokens under order 0, found by
-a shuffle of the prefixes, and under orders 1 and 2; only then is its intersection counted.
+texts, and differ in how they hash tokens to cells and within a level. A candidate must pass every filter before a text
+moves: it shares a prefix token under order 0 (a shuffle of the prefixes lists the pairs), the parities of its sets tell
+few enough differences (256 bits, carried with each posting: a token in one of the sets flips one bit), and its prefixes
+under orders 1 and 2, kept as 32-bit hashes, meet as well. Only then is its intersection counted.
 
 Equal sets are one. Large groups of near copies are not expanded into pairs:
 
@@ -40,10 +42,13 @@ from .workspace import Workspace, partitions
 WORDS = 5
 SKETCH_BITS = 17
 SLICE = 4096
+ROWS = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix(np.arange(101, 104, dtype=np.uint64))
+PARITY = 256
+_BITS = [f"b{k}" for k in range(PARITY // 64)]
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,19 +129,31 @@ def room(size: np.ndarray, rank: np.ndarray, met: np.ndarray, after: np.ndarray,
     return np.minimum(met[low], rank[high] + 1) + rest, rest
 
 
-def similar(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link; the orders that the shuffle did not use are asked first."""
+def parities(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For every set a row of words, whose bits tell if the number of its tokens with such a hash is odd."""
+    n = len(offsets) - 1
+    place = np.repeat(np.arange(n), np.diff(offsets)) * PARITY + (mix(flat + _SEEDS[1]) & np.uint64(PARITY - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=n * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITY), axis=1).view(np.int64)
+
+
+def heads(flat: np.ndarray, offsets: np.ndarray, levels: np.ndarray, order: int, percent: int) -> pa.Array:
+    """Prefixes of all sets under an order, as lists of 32-bit hashes."""
+    keys, out = ordered(flat, levels, order), []
+    for k in range(len(offsets) - 1):
+        own = keys[offsets[k] : offsets[k + 1]]
+        p = int(prefix_length(len(own), percent)) if len(own) else 0
+        out.append((np.partition(own, p - 1)[:p] if p < len(own) else own) & np.uint64(0xFFFFFFFF))
+    sizes = np.array([len(x) for x in out], dtype=np.int64)
+    values = np.concatenate(out).astype(np.uint32).view(np.int32) if out else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
     small, large = sorted((len(a), len(b)))
     if not small or 100 * small < percent * large:
         return False
-    for order in (1, 2):
-        heads = []
-        for tokens in (a, b):
-            p = prefix_length(len(tokens), percent)
-            keys = ordered(tokens, levels, order)
-            heads.append(np.partition(keys, p - 1)[:p] if p < len(keys) else keys)
-        if not len(np.intersect1d(*heads)):
-            return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
@@ -187,17 +204,22 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             for order in range(len(_SEEDS)):
                 counts[order] += np.bincount(cells(flat, order), minlength=1 << SKETCH_BITS)
             rows = batch.num_rows
-            columns = [batch.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(flat, offsets)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", "slice", "counts"])
+            odd = [pa.array(x) for x in parities(flat, offsets).T.copy()]
+            columns = [batch.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(flat, offsets)), *odd, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", *_BITS, "slice", "counts"])
         if id_type is not None:
             parts = counts.reshape(-1, SLICE)
             k = len(parts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SLICE), pa.array(parts.reshape(-1)))
-            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", "slice", "counts"])
+            columns = [pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * (2 + len(_BITS)), pa.array(np.arange(k, dtype=np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "own", *_BITS, "slice", "counts"])
 
-    described = space.save(texts.mapInArrow(describe, f"id {kind}, n long, own long, slice int, counts array<bigint>"), "described")
+    odd = ", ".join(f"{c} long" for c in _BITS)
+    described = space.save(texts.mapInArrow(describe, f"id {kind}, n long, own long, {odd}, slice int, counts array<bigint>"), "described")
     members = described.where("slice IS NULL").select("id", "n", "own")
+    # Tasks that gather a partition hold about ROWS of prefix tokens, whatever the input's size.
+    tokens = members.agg(F.sum("n")).first()[0] or 0
+    n = max(n, tokens * (100 - percent) // 100 // ROWS + 1)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -263,7 +285,8 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         size, rank = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
         outside = F.ceil(size * percent / 100) - 1
         rows = met.select("token", "own", size.alias("size"), rank.alias("rank"), "met", (outside + F.col("total") - F.col("met")).alias("after"), "last")
-        return space.save(rows, "shared")
+        odd = described.where("own != 0").groupBy("own").agg(*(F.max(c).alias(c) for c in _BITS))
+        return space.save(rows.join(odd, "own"), "shared")
 
     # Each step is a call of its own, so that nothing refers to its shuffles when they may be freed.
     shared = shared_tokens()
@@ -271,30 +294,43 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     reps = members.where("own != 0").groupBy("own").agg(F.min("id").alias("id"))
 
     def texts_of_sets() -> DataFrame:
-        """Texts of the sets that share a prefix token with another one."""
+        """Texts of the sets that share a prefix token with another one, and their prefixes under the other orders."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 256):
+                flat, offsets = shingle_sets(*utf8_view(batch.column(1)))
+                # Rows that repeat an id bring other texts; only the text that has the set counts.
+                right = pa.array(set_ids(flat, offsets) == batch.column(0).to_numpy())
+                lists = [heads(flat, offsets, levels.value, order, percent) for order in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["own", "text", "head1", "head2"]).filter(right)
+
         wanted = shared.select("own").distinct().join(reps, "own")
-        return space.save(texts.join(wanted, "id").select("own", "text"), "texts")
+        found = texts.join(wanted, "id").select("own", "text")
+        return space.save(found.mapInArrow(run, "own long, text string, head1 array<int>, head2 array<int>"), "texts")
 
     chosen = texts_of_sets()
     space.settle()
 
+    def meet(pairs: DataFrame, name: str) -> DataFrame:
+        """(u, v, meets1, meets2) of every pair: whether the prefixes under orders 1 and 2 have a token in common; written."""
+        a, b = (chosen.select(F.col("own").alias(x), *(F.col(f"head{k}").alias(f"{x}{k}") for k in (1, 2))) for x in "uv")
+        both = pairs.select("u", "v").join(b, "v").join(a, "u")
+        return space.save(both.select("u", "v", *(F.arrays_overlap(f"u{k}", f"v{k}").alias(f"meets{k}") for k in (1, 2))), name)
+
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(u, v, linked) of every pair, written."""
+        """(u, v, linked) of every pair that all orders allow, written."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 128):
                 left, right = (shingle_sets(*utf8_view(batch.column(k))) for k in (2, 3))
-                # Rows that repeat an id bring other texts; only the text that has the set counts.
-                right_one = (set_ids(*left) == batch.column(0).to_numpy()) & (set_ids(*right) == batch.column(1).to_numpy())
                 found = [
-                    bool(right_one[k]) and similar(left[0][left[1][k] : left[1][k + 1]], right[0][right[1][k] : right[1][k + 1]], levels.value, percent)
-                    for k in range(batch.num_rows)
+                    similar(left[0][left[1][k] : left[1][k + 1]], right[0][right[1][k] : right[1][k + 1]], percent) for k in range(batch.num_rows)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["u", "v", "linked"])
 
         a = chosen.select(F.col("own").alias("u"), F.col("text").alias("text_u"))
         b = chosen.select(F.col("own").alias("v"), F.col("text").alias("text_v"))
-        both = pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
+        both = pairs.where("meets1 AND meets2").select("u", "v").join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
         return space.save(both.mapInArrow(run, "u long, v long, linked boolean"), name)
 
     def best_leader(led: DataFrame) -> DataFrame:
@@ -313,14 +349,19 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if held is None:
             return
         by = np.lexsort((held[1], held[7], held[0]))
-        token, own, size, rank, met, after, last, label = (column[by] for column in held)
+        token, own, size, rank, met, after, last, label = (column[by] for column in held[:8])
+        bits = [column[by].view(np.uint64) for column in held[8:]]
 
         def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Pairs that this token allows; one that another token forbids lacks that row and is judged by the rest."""
             most, rest = room(size, rank, met, after, last, i, j)
             fit = (100 + percent) * most >= percent * (size[i] + size[j])
             fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            table = {"u": own[i[fit]], "v": own[j[fit]], "sizes": (size[i] + size[j])[fit], "rest": rest[fit]}
+            i, j, rest = i[fit], j[fit], rest[fit]
+            apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+            near = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
+            i, j, rest = i[near], j[near], rest[near]
+            table = {"u": own[i], "v": own[j], "sizes": size[i] + size[j], "rest": rest}
             yield from pa.table(table).to_batches(max_chunksize=65536)
 
         new = np.concatenate([[True], token[1:] != token[:-1]])
@@ -350,7 +391,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         rows = shared.withColumn("label", F.col("own"))
         if labels is not None:
             rows = shared.join(labels.withColumnRenamed("node", "own"), "own", "left").withColumn("label", F.coalesce("label", "own"))
-        rows = rows.select("token", "own", "size", "rank", "met", "after", "last", "label").repartition(n, "token")
+        rows = rows.select("token", "own", "size", "rank", "met", "after", "last", "label", *_BITS).repartition(n, "token")
         return rows.mapInArrow(lambda it: across(it, every), "u long, v long, sizes long, rest long")
 
     def last_pairs(labels: DataFrame, *known: DataFrame) -> DataFrame:
@@ -362,14 +403,13 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         seen = reduce(DataFrame.unionByName, known).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         return rest.join(seen, ["u", "v"], "left_anti")
 
-    tested = verify(best_leader(differing(None, False)), "tested")
-    labels = linked(tested)
+    first = meet(best_leader(differing(None, False)), "first")
+    labels = linked(verify(first, "tested"))
     space.settle()
-    again = verify(best_leader(differing(labels, False)), "again")
-    labels = linked(labels, again)
+    second = meet(best_leader(differing(labels, False)), "second")
+    labels = linked(labels, verify(second, "again"))
     space.settle()
-    last = verify(last_pairs(labels, tested, again), "last")
-    labels = linked(labels, last)
+    labels = linked(labels, verify(meet(last_pairs(labels, first, second), "third"), "last"))
     space.settle()
 
     named = reps.join(labels.withColumnRenamed("node", "own"), "own", "left").select("own", "id", F.coalesce("label", "own").alias("label"))
