@@ -5,13 +5,14 @@ split into k + 1 pieces; an occurrence with at most k edits leaves one piece unt
 Aho-Corasick pass over each whole text) find every candidate. Myers' bit-parallel algorithm then measures the edit
 distance of the best matching passage around each hit.
 
-The budget is ``error_rate`` of the item's length, but pieces keep ``min_piece`` characters. Items shorter than
-``min_item`` characters after normalisation name no passage and match nothing.
+The budget is ``error_rate`` of the item's length, but pieces keep ``min_piece`` characters (at the default rate no item
+loses an edit by that). Items shorter than ``min_item`` characters after normalisation are matched as they are, as whole
+words: a passage of the text that equals the item with no letter or digit beside it.
 
 The test items are the broadcast side. Their bytes are summed first and dealt into blocks of about ``block_bytes``; the
 texts are scanned once per block, so what a task holds is bounded whatever the benchmark's size.
 
-Cases: null and empty texts or items match nothing; equal item texts give a row each; a text that holds an item many
+Cases: null and empty texts or items match nothing; texts and items of any length are matched whole; equal item texts give a row each; a text that holds an item many
 times gives its best passage once; repeated documents give a row each; empty tables give an empty result; other columns
 are not read.
 """
@@ -43,8 +44,8 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """(distance, end) of the best match of pattern inside text; the earliest end among equals."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """(distance, end) of the best match of pattern inside text (anchored: from its start); the earliest end among equals."""
     m = len(pattern)
     peq: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -62,7 +63,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score += 1
         elif mh & last:
             score -= 1
-        ph = (ph << 1) & full
+        ph = ((ph << 1) | anchored) & full
         mh = (mh << 1) & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
@@ -71,22 +72,28 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def is_word(text: str, start: int, end: int) -> bool:
+    """No letter or digit stands beside the passage."""
+    return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
+
+
 class Matcher:
     """Finds the items of one block in normalised texts."""
 
     def __init__(self, items: list[tuple[object, str]], error_rate: float, min_piece: int, min_item: int):
         import ahocorasick
 
-        self.items: list[tuple[object, str, int]] = []
+        self.items: list[tuple[object, str, int, bool]] = []
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, raw in items:
             item = normalize(raw or "")
-            if len(item) < min_item:
+            if not item:
                 continue
-            k = budget(len(item), error_rate, min_piece)
+            short = len(item) < min_item
+            k = 0 if short else budget(len(item), error_rate, min_piece)
             for at, piece in pieces(item, k):
                 where[piece].append((len(self.items), at))
-            self.items.append((item_id, item, k))
+            self.items.append((item_id, item, k, short))
         self.automaton = ahocorasick.Automaton()
         for piece, found in where.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -103,7 +110,7 @@ class Matcher:
                 starts[item].add(end - size + 1 - at)
         out = []
         for item, guesses in starts.items():
-            item_id, pattern, k = self.items[item]
+            item_id, pattern, k, short = self.items[item]
             best: tuple[int, int, int] | None = None
             done = None
             for guess in sorted(guesses):
@@ -111,13 +118,17 @@ class Matcher:
                     continue
                 done = guess
                 lo, hi = max(0, guess - k), min(len(text), guess + len(pattern) + k)
+                if short and not is_word(text, guess, guess + len(pattern)):
+                    continue
                 if guess >= 0 and text.startswith(pattern, guess):
-                    distance, end = 0, guess + len(pattern)
+                    distance, start, end = 0, guess, guess + len(pattern)
                 else:
                     distance, stop = myers(pattern, text[lo:hi])
                     end = lo + stop
+                    if distance <= k:  # backwards from the end, the same distance tells where the passage starts
+                        start = end - myers(pattern[::-1], text[lo:end][::-1], anchored=True)[1]
                 if distance <= k and (best is None or distance < best[0]):
-                    best = (distance, max(lo, end - len(pattern)), end)
+                    best = (distance, start, end)
                 if best and not best[0]:
                     break
             if best:
@@ -129,7 +140,7 @@ def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     error_rate: float = 0.06,
-    min_piece: int = 16,
+    min_piece: int = 8,
     min_item: int = 24,
     block_bytes: int = 4_000_000,
 ) -> DataFrame:
@@ -147,7 +158,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, error_rate, min_piece, min_item)
-            budgets = {item_id: k for item_id, _, k in matcher.items}
+            budgets = {item_id: k for item_id, _, k, _ in matcher.items}
             id_type = pa.from_numpy_dtype("int64") if item_kind in ("bigint", "int") else pa.string()
             for batch in slices(batches, 256):
                 rows = [
