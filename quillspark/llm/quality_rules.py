@@ -21,7 +21,8 @@ and k is the count at which hardly a clean document is met. ``n_insults`` is the
 plus the number of words.
 
 Cases: a null text has no words, an empty text neither (both fail few_words); texts of any length are read whole;
-repeated rows each get a row; without labels the lexicon is empty and bit 6 never set; an empty table gives an empty
+repeated rows each get a row; columns named like a measurement, ``failed`` or ``kept`` (in any case of letters) are
+replaced, all others stay; without labels the lexicon is empty and bit 6 never set; an empty table gives an empty
 ledger.
 """
 
@@ -45,6 +46,8 @@ POLICIES = {
     "clean-2": RULES,
 }
 BASE, CURRENT = "base-1", "clean-2"
+#: Columns that measure() adds.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "n_insults")
 
 
 def mask(policy: str) -> int:
@@ -57,12 +60,13 @@ def _count_of(text: Column, characters: str) -> Column:
 
 def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, and the measurements that the rules need (one pass, no shuffle)."""
-    clash = [f.name for f in docs.schema if f.name.startswith("_q_")]
-    if clash:
-        raise ValueError(f"columns that start with _q_ are taken: {clash}")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    taken = (*MEASURES, "failed")
+    kept = [c for c in docs.columns if c in (id_col, text_col) or c.lower() not in taken]
+    # The other columns ride in one struct, so that no name of theirs meets one of these steps.
+    step = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("rest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, WHITE, "")) > 0)
-    step = docs.withColumns({"_q_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), "_q_lines": lines})
+    step = step.withColumns({"_q_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), "_q_lines": lines})
     step = step.withColumn("_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
 
     def window(first: Column, i: Column) -> Column:
@@ -98,9 +102,9 @@ def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "do
         "n_repeat_words": covered.cast("long"),
         "n_insults": _insults(text, lexicon or []),
     }
-    kept = [c for c in docs.columns if c not in out or c in (id_col, text_col)]
     # A generator, unlike a projection, lets no filter on a measurement copy its expressions further down.
-    return step.select(*kept, F.inline(F.array(F.struct(*(value.alias(name) for name, value in out.items())))))
+    made = F.inline(F.array(F.struct(*(value.alias(name) for name, value in out.items()))))
+    return step.select(*(F.col("rest").getField(c).alias(c) for c in kept), made)
 
 
 def _insults(text: Column, lexicon: list[str]) -> Column:

@@ -92,8 +92,10 @@ def test_line_dedup(spark, docs, nothing):
     kept = [line for r in got for line in {r["text"] or ""} for line in line.split("\n") if line.strip()]
     assert len(kept) == len(set(kept)) + sum(1 for k, n in collections.Counter(kept).items() if n > 1 and k.startswith(fixture_rows()[5][1][:20]))
     assert line_dedup.dedup_lines(nothing).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(docs.withColumn("_l_x", F.lit(1)))
+    more = docs.withColumns({"N_Lines": F.lit(7), "rest": F.lit("r"), "LK": F.lit(1), "a.b": F.lit(2)})
+    wide = line_dedup.dedup_lines(more)
+    assert wide.columns == [*docs.columns, "rest", "LK", "a.b", "n_lines", "n_removed"]
+    assert sorted(map(str, wide.drop("rest", "LK", "`a.b`").select(got[0].__fields__).collect())) == sorted(map(str, got))
 
 
 def word_edits(a, b):
@@ -106,37 +108,8 @@ def word_edits(a, b):
     return row[-1]
 
 
-def test_line_dedup_groups_equal_brute_force(spark):
-    """Components of all pairs with a common SimHash block, few bits apart and of like words."""
-    rng = random.Random(8)
-    line, rows = words(rng, 40).split(), []
-    for k in range(60):
-        line = [*line] if k % 20 else words(rng, 40).split()
-        line[rng.randrange(40)] = f"w{k}x"
-        rows.append((k, " ".join(line) + ".\n" + words(rng, 25)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    forms = [(r["doc_id"], r["line_no"], r["s0"] | r["s1"] << 64) for r in line_dedup.hashed_lines(docs, 20).collect()]
-    said = {(i, n): t.strip(".").split() for i, text in rows for n, t in enumerate(text.split("\n"))}
-    label = {f[:2]: f[:2] for f in forms}
-
-    def root(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i, n, s in forms:
-        for j, m, t in forms:
-            share = any((s ^ t) >> 32 * b & 0xFFFFFFFF == 0 for b in range(4))
-            if (i, n) < (j, m) and share and (s ^ t).bit_count() <= 12 and word_edits(said[i, n], said[j, m]) <= 0.2 * 40:
-                a, b = sorted((root((i, n)), root((j, m))))
-                label[b] = a
-    want = collections.Counter(i for i, n in label if root((i, n)) != (i, n))
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
-    assert sum(want.values()) > 30 and {i: want[i] for i in got} == got
-
-
 def test_line_dedup_finds_every_link_by_edits(spark):
-    """Without a bit limit, the links are the word edits alone; one, two and more edits, repeats and all lengths."""
+    """The links are those of all pairs by word edits: one, two and more edits, repeated words, all lengths."""
     rng = random.Random(11)
     rows, vocabulary = [], words(rng, 25).split()
     for k in range(120):
@@ -159,11 +132,11 @@ def test_line_dedup_finds_every_link_by_edits(spark):
     for i, a in forms:
         for j, b in forms:
             x, y = a.split(), b.split()
-            if i < j and (a == b or min(len(a), len(b)) >= 20 and word_edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)):
+            if i < j and (a == b or word_edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)):
                 lo, hi = sorted((root(i), root(j)))
                 parent[hi] = lo
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, max_bits=None).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
     assert {i: got[i] for i in parent} == {i: int(root(i) != i) for i in parent}
     assert sum(got[i] for i in parent) > 60 and (got[900], got[901], got[902]) == (0, 1, 0)
 
@@ -313,6 +286,10 @@ def test_quality_rules(spark, docs, nothing):
     told = {r["rule"]: (r["n_failed"], r["n_alone"]) for r in quality_rules.ablation(book).collect()}
     assert told["few_words"][0] >= told["few_words"][1] > 0
     assert quality_rules.ledger(nothing).count() == 0
+    odd = docs.select("doc_id", "text", F.lit(1).alias("N_Words"), F.lit(2).alias("_q_x"), F.lit(3).alias("Rest"), F.lit(4).alias("a.b"))
+    wide = quality_rules.apply_policy(quality_rules.ledger(odd))
+    assert wide.columns == ["doc_id", "text", "_q_x", "Rest", "a.b", *quality_rules.MEASURES, "failed", "kept"]
+    assert wide.where("failed != 0").count() == book.where("failed != 0").count()
 
 
 def test_lexicon(spark):
@@ -397,6 +374,13 @@ def test_decontamination(spark, docs, nothing):
     for size in (4_000_000, 1000):
         got = decontaminate.find_leaks(frame, bench, block_bytes=size).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == planted and all(r["distance"] <= r["budget"] for r in got)
+    short = [(1, "A shorty, here"), (2, "shorts"), (3, "cannotshort short-handed"), (4, None), (5, ""), (6, words(rng, 30000) + " short")]
+    found = decontaminate.find_leaks(spark.createDataFrame(short, "doc_id long, text string"), spark.createDataFrame([(1, "Short"), (2, " short "), (3, "")], bench.schema)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(3, 1), (3, 2), (6, 1), (6, 2)} and {r["start"] for r in found if r["doc_id"] == 3} == {12}
+    p = "abcdefghij klmnopqrst uvwxyz0123 4567890abc"
+    for change, start, end in ((p, 4, 4 + len(p)), (p[:20] + p[21:], 4, 3 + len(p)), (p[:20] + "#" + p[20:], 4, 5 + len(p))):
+        hit = decontaminate.Matcher([(1, p)], 0.06, 8, 24).find("xyz " + change + " tail of the text")
+        assert [(h[2], h[3]) for h in hit] == [(start, end)]
     kept = decontaminate.drop_contaminated(frame, bench)
     assert kept.count() == 40 and set(kept.columns) == set(frame.columns)
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(nothing, bench).count() == 0
