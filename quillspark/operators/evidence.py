@@ -162,3 +162,68 @@ def outcomes(sections: DataFrame) -> DataFrame:
         F.every(F.coalesce(F.col("status") == "PASSED", F.lit(False))).alias("all_passed"),
         F.coalesce(F.some(F.col("status") == "MANUAL_REVIEW"), F.lit(False)).alias("manual_review"),
     )
+
+
+# Kinds of pages, counts and words.
+GRAPH_PAGES = ("DIAGRAM", "MIXED", "CHART")
+TECH_WORDS = ("시스템", "클라우드", "서버", "네트워크", "데이터", "공정", "모델", "센서")
+LEAST_BYTES, TITLE_CHARS = 32, 40
+
+
+def holds_graph(pages: DataFrame, blocks: DataFrame, drawings: DataFrame) -> DataFrame:
+    """Pages (source_id, page, page_type) with ``holds_graph``: enough short texts or lines for a diagram, and few tables."""
+    key = ["source_id", "page"]
+    head = F.trim(F.substring_index("text", "\n", 1))
+    text = F.col("block_type").isin("TEXT", "OCR") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    short = text & F.length(head).between(2, 22) & ~head.contains("|")
+    counted = blocks.groupBy(*key).agg(
+        F.count_if(text).alias("_texts"), F.count_if(F.col("block_type") == "TABLE").alias("_tables"), F.count_if(short).alias("_short")
+    )
+    drawn = drawings.groupBy(*key).agg(F.count_if(F.col("kind") == "line").alias("_lines"))
+    rows = pages.join(counted, key, "left").join(drawn, key, "left").na.fill(0, ["_texts", "_tables", "_short", "_lines"])
+    many = (F.col("_lines") >= 6) | (F.col("_short") >= 10) | ((F.col("page_type") == "DIAGRAM") & (F.col("_short") >= 6) & (F.col("_lines") >= 2))
+    usable = F.col("page_type").isin(*GRAPH_PAGES) & (F.col("_texts") >= 5) & (F.col("_tables") < 5)
+    return rows.withColumn("holds_graph", usable & many).drop("_texts", "_tables", "_short", "_lines")
+
+
+def unrendered(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """(section_id, unrendered): visuals (section_id, asset_id, path) without a file (path, n_bytes) of 32 bytes or more."""
+    lost = assets.join(files.where(F.col("n_bytes") >= LEAST_BYTES).select("path"), "path", "left_anti")
+    return lost.groupBy("section_id").agg(F.count("*").alias("unrendered"))
+
+
+def looks_technical(term: Column) -> Column:
+    out = term.rlike("[A-Za-z]") & (F.length(term) <= 24)
+    for w in TECH_WORDS:
+        out = out | term.contains(w)
+    return out
+
+
+def short_title(text: Column, fallback: Column) -> Column:
+    """White space collapsed; past 40 characters the first 37 and an ellipsis; the fallback where nothing is left."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) > TITLE_CHARS, F.concat(F.substring(flat, 1, TITLE_CHARS - 3), F.lit("..."))).when(flat == "", fallback).otherwise(flat)
+
+
+def last_two(editions: DataFrame, key: str, number: str, id_col: str) -> DataFrame:
+    """(key, older, newer) to compare: the last two by number; a single one stands on both sides."""
+    best = editions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(number, id_col)), asc=False).alias("_e"))
+    newer, older = F.get("_e", F.lit(0))[id_col], F.get("_e", F.lit(1))[id_col]
+    return best.select(key, F.coalesce(older, newer).alias("older"), newer.alias("newer"))
+
+
+def pack_metrics(packs: DataFrame) -> DataFrame:
+    """All metrics of all packs (section_id, metrics), with their section."""
+    return packs.select("section_id", F.explode("metrics").alias("m")).select("section_id", "m.*")
+
+
+def pack_pages(packs: DataFrame, lists: list[str]) -> DataFrame:
+    """(section_id, source_id, page) that the items of the typed lists come from, each once."""
+    every = F.flatten(F.array(*(F.transform(c, lambda e: F.struct(e["source_id"].alias("source_id"), e["page"].alias("page"))) for c in lists)))
+    return packs.select("section_id", F.explode(F.array_distinct(every)).alias("p")).select("section_id", "p.*")
+
+
+def pack_numbers(metrics: DataFrame) -> DataFrame:
+    """(section_id, value): change, baseline and result values of the sections' metrics, each once."""
+    values = F.array_compact(F.array(*(F.col(c).cast("double") for c in ("change_value", "baseline_value", "result_value"))))
+    return metrics.select("section_id", F.explode(values).alias("value")).distinct()

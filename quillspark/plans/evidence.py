@@ -94,8 +94,55 @@ def page_lines(spark, sf_dir):
     return evidence.new_lines(spark.createDataFrame(lines, "source_id string, page int, seq int, text string"), old).select("page", "seq", "text")
 
 
+def graph_pages(spark, sf_dir):
+    """Conversations as pages, turns as blocks, orders' lines as drawings."""
+    turns = table(spark, sf_dir, "conversations")
+    kinds = F.array(*map(F.lit, ("TEXT", "OCR", "TEXT", "TABLE", "TEXT")))
+    text = F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))
+    # Five conversations make a page.
+    page = F.floor(F.col("conv_id") / 5)
+    blocks = turns.select(F.lit("c").alias("source_id"), page.alias("page"), F.get(kinds, F.col("turn") % 5).alias("block_type"), text.alias("text"))
+    kind = F.get(F.array(*map(F.lit, ("DIAGRAM", "MIXED", "TEXT", "CHART"))), F.col("page") % 4)
+    pages = blocks.select("source_id", "page").distinct().withColumn("page_type", kind)
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    drawings = lines.select(F.lit("c").alias("source_id"), F.floor(F.col("l_orderkey") / 2).alias("page"), F.when(F.col("l_linenumber") != 2, "line").otherwise("rect").alias("kind"))
+    return evidence.holds_graph(pages, blocks, drawings).select("page", "page_type", "holds_graph")
+
+
+def unrendered_visuals(spark, sf_dir):
+    """Orders as visuals of customers, order lines' sums as sizes of files."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("section_id"), F.col("o_orderkey").alias("asset_id"), F.col("o_orderkey").cast("string").alias("path"))
+    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.sum("l_quantity").alias("n_bytes"))
+    return evidence.unrendered(orders, files)
+
+
+def titles(spark, sf_dir):
+    """First 60 characters of documents as titles, and whether their first word looks technical."""
+    docs = table(spark, sf_dir, "documents")
+    title = evidence.short_title(F.substring("text", 1, 60), F.lit("untitled"))
+    word = F.substring_index(F.coalesce("text", F.lit("")), " ", 1)
+    return docs.select("doc_id", title.alias("title"), evidence.looks_technical(word).alias("technical"))
+
+
+def last_two_orders(spark, sf_dir):
+    """Orders as editions of customers."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("number"))
+    return evidence.last_two(orders, "o_custkey", "number", "o_orderkey")
+
+
+def pack_indexes(spark, sf_dir):
+    """Orders as packs of lines: their distinct (supplier, line number) pairs, and their numbers."""
+    lines = table(spark, sf_dir, "lineitem")
+    item = F.struct(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page"))
+    packs = lines.groupBy(F.col("l_orderkey").alias("section_id")).agg(F.collect_list(item).alias("facts"))
+    pages = evidence.pack_pages(packs, ["facts", "facts"]).groupBy("section_id").agg(F.count("*").alias("n_pages"), F.sum("source_id").alias("sources"))
+    metric = F.struct(F.col("l_quantity").alias("change_value"), F.col("l_discount").alias("baseline_value"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("result_value"))
+    numbers = evidence.pack_numbers(evidence.pack_metrics(lines.groupBy(F.col("l_orderkey").alias("section_id")).agg(F.collect_list(metric).alias("metrics"))))
+    return pages.join(numbers.groupBy("section_id").agg(F.count("*").alias("n_numbers"), F.round(F.sum("value"), 4).alias("total")), "section_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    metric_relevance, structure_relevance, choose_evidence, illegal_moves, complete_sections, edition_outcomes, evidence_blocks, metric_facts, page_lines,
+    graph_pages, unrendered_visuals, titles, last_two_orders, pack_indexes, metric_relevance, structure_relevance, choose_evidence, illegal_moves, complete_sections, edition_outcomes, evidence_blocks, metric_facts, page_lines,
 )}
 
 _SECTIONS = """
@@ -109,6 +156,32 @@ _ALLOWED = ", ".join(f"('{a}', '{b}')" for a, to in quality.TRANSITIONS.items()
 _STAGES = ", ".join(f"('{s}')" for s in quality.TRANSITIONS)
 
 ORACLE_SQL = {
+    "graph_pages": """
+        WITH b AS (SELECT conv_id // 5 AS page, ['TEXT', 'OCR', 'TEXT', 'TABLE', 'TEXT'][turn % 5 + 1] AS kind, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 12) ELSE text END AS t FROM conversations),
+        h AS (SELECT *, trim(string_split(t, chr(10))[1], ' ') AS head FROM b),
+        c AS (SELECT page, ['DIAGRAM', 'MIXED', 'TEXT', 'CHART'][page % 4 + 1] AS page_type,
+            count_if(kind IN ('TEXT', 'OCR') AND trim(coalesce(t, ''), ' ') <> '') AS texts, count_if(kind = 'TABLE') AS tables,
+            count_if(kind IN ('TEXT', 'OCR') AND trim(coalesce(t, ''), ' ') <> '' AND length(head) BETWEEN 2 AND 22 AND NOT contains(head, '|')) AS short FROM h GROUP BY page),
+        d AS (SELECT l_orderkey // 2 AS page, count_if(l_linenumber <> 2) AS lines FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+        SELECT page::BIGINT AS page, page_type, page_type <> 'TEXT' AND texts >= 5 AND tables < 5
+            AND (coalesce(lines, 0) >= 6 OR short >= 10 OR (page_type = 'DIAGRAM' AND short >= 6 AND coalesce(lines, 0) >= 2)) AS holds_graph
+        FROM c LEFT JOIN d USING (page)""",
+    "unrendered_visuals": """
+        WITH f AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 32)
+        SELECT o_custkey AS section_id, count(*)::BIGINT AS unrendered FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM f) GROUP BY 1""",
+    "titles": """
+        WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(substr(text, 1, 60), ''), '\\s+', ' ', 'g'), ' ') AS t, string_split(coalesce(text, ''), ' ')[1] AS w FROM documents)
+        SELECT doc_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 37) || '...' WHEN t = '' THEN 'untitled' ELSE t END AS title,
+            (regexp_matches(w, '[A-Za-z]') AND length(w) <= 24) OR regexp_matches(w, '시스템|클라우드|서버|네트워크|데이터|공정|모델|센서') AS technical FROM d""",
+    "last_two_orders": """
+        WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders)
+        SELECT o_custkey, coalesce(max(CASE WHEN k = 2 THEN o_orderkey END), max(CASE WHEN k = 1 THEN o_orderkey END)) AS older, max(CASE WHEN k = 1 THEN o_orderkey END) AS newer
+        FROM r WHERE k <= 2 GROUP BY o_custkey""",
+    "pack_indexes": """
+        WITH p AS (SELECT l_orderkey, count(*)::BIGINT AS n_pages, sum(l_suppkey)::BIGINT AS sources FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY 1),
+        v AS (SELECT DISTINCT l_orderkey, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, CASE WHEN l_tax > 0 THEN l_tax::DOUBLE END]) AS value FROM lineitem)
+        SELECT l_orderkey AS section_id, n_pages, sources, count(value)::BIGINT AS n_numbers, round(sum(value), 4) AS total FROM p JOIN v USING (l_orderkey)
+        WHERE value IS NOT NULL GROUP BY ALL""",
     "metric_relevance": f"""
         WITH {_SECTIONS}, met AS (
             SELECT section_id, p_partkey, row_number() OVER (PARTITION BY section_id ORDER BY p_partkey) AS pos FROM asked, part
