@@ -116,8 +116,12 @@ def passes_gate() -> Column:
     return out
 
 
-def needs_manual_review(max_revisions: int = MAX_REVISIONS) -> Column:
-    return (F.col("revision") >= max_revisions) & ~passes_gate()
+def needs_manual_review(max_revisions: int = MAX_REVISIONS, decisions: tuple[str, ...] = ()) -> Column:
+    """The gate fails after the last revision, or a review (a column of ``decisions``) has decided so."""
+    out = (F.col("revision") >= max_revisions) & ~passes_gate()
+    for name in decisions:
+        out = out | (F.coalesce(F.col(name), F.lit("")) == "MANUAL_REVIEW")
+    return out
 
 
 def transitions(spark) -> DataFrame:

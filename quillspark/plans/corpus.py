@@ -69,9 +69,10 @@ def quality_gate(spark, sf_dir):
     rows = docs.select(
         "doc_id", T.is_major_claim(F.col("text")).cast("long").alias("unsupported"), F.lit(0).alias("citation_mismatch"), F.lit(0).alias("numeric_mismatch"),
         F.lit(0).alias("critical_t"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("critical_e"), F.lit(None).cast("int").alias("unrendered"),
-        (F.col("doc_id") % 5).alias("revision"),
+        (F.col("doc_id") % 5).alias("revision"), F.when(F.col("doc_id") % 7 == 0, "MANUAL_REVIEW").alias("technical"), F.lit("PASS").alias("editorial"),
     )
-    return rows.select("doc_id", "unsupported", "critical_e", quality.passes_gate().alias("passed"), quality.needs_manual_review().alias("manual"))
+    manual = quality.needs_manual_review(decisions=("technical", "editorial"))
+    return rows.select("doc_id", "unsupported", "critical_e", quality.passes_gate().alias("passed"), manual.alias("manual"))
 
 
 def impact_decision(spark, sf_dir):
@@ -228,7 +229,7 @@ ORACLE_SQL = {
     "quality_gate": f"""
         WITH c AS (SELECT doc_id, regexp_matches(text, '[0-9]|{_STRONG}')::BIGINT AS unsupported,
             (len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40)) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40))))::BIGINT AS critical_e FROM documents)
-        SELECT *, unsupported = 0 AND critical_e = 0 AS passed, doc_id % 5 >= 3 AND NOT (unsupported = 0 AND critical_e = 0) AS manual FROM c""",
+        SELECT *, unsupported = 0 AND critical_e = 0 AS passed, (doc_id % 5 >= 3 AND NOT (unsupported = 0 AND critical_e = 0)) OR doc_id % 7 = 0 AS manual FROM c""",
     "impact_decision": f"""
         WITH d AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents), b AS (SELECT item_id, unnest({_TOK}) AS t FROM benchmark),
         s AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (t) GROUP BY ALL),
