@@ -297,10 +297,12 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         """Texts of the sets that share a prefix token with another one, and their prefixes under the other orders."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in slices(batches, 256):
                 flat, offsets = shingle_sets(*utf8_view(batch.column(1)))
-                # Rows that repeat an id bring other texts; only the text that has the set counts.
-                right = pa.array(set_ids(flat, offsets) == batch.column(0).to_numpy())
+                # Rows that repeat an id bring other texts, or a text again; only the first one that has the set counts.
+                own = batch.column(0).to_pylist()
+                right = pa.array([x == y and not (x in seen or seen.add(x)) for x, y in zip(own, set_ids(flat, offsets).tolist(), strict=True)], pa.bool_())
                 lists = [heads(flat, offsets, levels.value, order, percent) for order in (1, 2)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["own", "text", "head1", "head2"]).filter(right)
 
