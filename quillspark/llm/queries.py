@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    byte_bpe,
     chat_format,
     decontaminate,
     html_extract,
+    importance,
     language_id,
     line_dedup,
     ngram_join,
@@ -16,6 +18,7 @@ from . import (
     sentencepiece_codec,
     suffix_dedup,
     url_filters,
+    whitening,
 )
 
 
@@ -136,6 +139,27 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, fitted on the distinct vectors of the whole table."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, components=16))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of 5 of 100 towards the benchmark."""
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole document, as digests."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,6 +173,9 @@ QUERIES = {
         op8_language_id,
         op9_decontaminate,
         op10_url_filters,
+        op11_whitening,
+        op12_importance,
+        op13_byte_bpe,
     )
 }
 
