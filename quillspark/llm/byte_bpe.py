@@ -21,10 +21,11 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .arrow_text import ranges, slices
@@ -42,12 +43,14 @@ class Merges:
             rank = {base64.b64decode(token): int(at) for token, at in (line.split() for line in lines if line.strip())}
         self.rank = rank
         self.single = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs = {
-            rank[token[:cut]] << _SHIFT | rank[token[cut:]]: at
+        pairs = sorted(
+            (rank[token[:cut]] << _SHIFT | rank[token[cut:]], at)
             for token, at in rank.items()
             for cut in range(1, len(token))
             if token[:cut] in rank and token[cut:] in rank
-        }
+        )
+        self.pair_keys = np.array([key for key, _ in pairs], dtype=np.int64)
+        self.pair_ranks = np.array([at for _, at in pairs], dtype=np.int64)
         tokens = [b""] * (max(rank.values()) + 1)
         for token, at in rank.items():
             tokens[at] = token
@@ -60,57 +63,67 @@ class Merges:
         lengths = self.lengths[ids]
         return self.data[ranges(self.starts[ids], lengths)], lengths
 
+    def made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair of tokens makes, -1 where it makes none."""
+        keys = left << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each word. No word is empty."""
-        pairs = self.pairs
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.cumsum(lengths)
-        start = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        n = len(start)
+        token = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        n = len(token)
+        word = np.repeat(np.arange(len(words)), lengths)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends - 1], before[ends - lengths] = -1, -1
-        index = self._index(start, after)
-        token, after, before = start.tolist(), after.tolist(), before.tolist()
-        waiting = list(index)
-        heapify(waiting)
-
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Put places that make a token with what follows into the index."""
+            rank = self.made(token[places], token[after[places]])
+            order = np.argsort(rank, kind="stable")
+            order = order[np.searchsorted(rank[order], 0) :]
+            if not len(order):
+                return
+            rank, places = rank[order], places[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, part in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts) if len(cuts) else [places], strict=True):
+                if r in index:
+                    index[r].append(part)
+                else:
+                    index[r] = [part]
+                    heappush(waiting, r)
+
+        note(np.flatnonzero(after >= 0))
         while waiting:
-            rank = waiting[0]
-            places = index[rank]
-            if not places:
-                del index[heappop(waiting)]
+            rank = heappop(waiting)
+            parts = index.pop(rank)
+            places = np.sort(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            # Some have been merged away since, or what follows has.
+            live = (token[places] >= 0) & (after[places] >= 0)
+            places = places[live]
+            places = places[self.made(token[places], token[after[places]]) == rank]
+            if not len(places):
                 continue
-            left = heappop(places)
+            # The first place of each word; it may bring up a lower rank, which goes before the word's other places.
+            first = np.ones(len(places), dtype=bool)
+            first[1:] = word[places[1:]] != word[places[:-1]]
+            if not first.all():
+                index[rank] = [places[~first]]
+                heappush(waiting, rank)
+            left = places[first]
             right = after[left]
-            if right < 0 or token[left] < 0 or pairs.get(token[left] << _SHIFT | token[right]) != rank:
-                continue  # one of the two has been merged since
-            token[left], token[right] = rank, -1
-            beyond = after[left] = after[right]
-            if beyond >= 0:
-                before[beyond] = left
-            for a, b in ((before[left], left), (left, beyond)):
-                made = pairs.get(token[a] << _SHIFT | token[b]) if a >= 0 <= b else None
-                if made is None:
-                    continue
-                if made not in index:
-                    index[made] = []
-                    heappush(waiting, made)
-                heappush(index[made], a)
-        ids = np.array(token, dtype=np.int64)
-        kept = ids >= 0
-        sums = np.concatenate([[0], np.cumsum(kept)])
-        return ids[kept], sums[ends] - sums[ends - lengths]
-
-    def _index(self, token: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
-        """Places by the rank that a place and the one after it make."""
-        at = np.flatnonzero(after >= 0)
-        keys, inverse = np.unique(token[at] << _SHIFT | token[at + 1], return_inverse=True)
-        made = np.array([self.pairs.get(k, -1) for k in keys.tolist()], dtype=np.int64)
-        rank = made[inverse] if len(at) else np.zeros(0, np.int64)
-        order = np.argsort(rank, kind="stable")
-        found, first = np.unique(rank[order], return_index=True)
-        parts = np.split(at[order], first[1:]) if len(found) else []
-        return {int(r): p.tolist() for r, p in zip(found, parts, strict=True) if r >= 0}
+            beyond = after[right]
+            token[left], token[right], after[left] = rank, -1, beyond
+            has = beyond >= 0
+            before[beyond[has]] = left[has]
+            ahead = before[left]
+            note(np.sort(np.concatenate([ahead[ahead >= 0], left[has]])))
+        kept = token >= 0
+        return token[kept], _sums(kept.astype(np.int64), lengths)
 
 
 class WordTable:
@@ -130,34 +143,37 @@ class WordTable:
         self.ids, self.starts, self.lengths = array("i"), array("q"), array("q")
 
     def add(self, words: list[str]) -> None:
+        """Ids of words that have their codes, in the order of these."""
         raw = [w.encode() for w in words]
-        whole = [self.merges.rank.get(w) for w in raw]
-        open_words = [w for w, rank in zip(raw, whole, strict=True) if rank is None]
-        flat, counts = self.merges.replay(open_words) if open_words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        flat, counts, at = flat.tolist(), iter(counts.tolist()), 0
-        for word, w, rank in zip(words, raw, whole, strict=True):
-            n = 1 if rank is not None else next(counts)
-            self.code[word] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.lengths.append(n)
-            if rank is not None:
-                self.ids.append(rank)
-            else:
-                self.ids.extend(flat[at : at + n])
-                at += n
-            self.size += len(w)
+        whole = [self.merges.rank.get(w, -1) for w in raw]
+        alone = np.array(whole, dtype=np.int64)
+        open_ = alone < 0
+        counts = np.ones(len(raw), dtype=np.int64)
+        flat = np.zeros(0, np.int64)
+        if open_.any():
+            flat, counts[open_] = self.merges.replay([w for w, rank in zip(raw, whole, strict=True) if rank < 0])
+        ids = np.empty(int(counts.sum()), dtype=np.int32)
+        inside = np.repeat(open_, counts)
+        ids[inside], ids[~inside] = flat, alone[~open_]
+        self.starts.frombytes((len(self.ids) + np.cumsum(counts) - counts).tobytes())
+        self.lengths.frombytes(counts.tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.size += sum(map(len, raw))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
         if len(self.code) > self.max_words or self.size > self.max_bytes:
             self.clear()
-        codes, per_text = array("q"), []
+        code, codes, per_text, new = self.code, array("q"), [], []
         for text in texts:
             words = self.split(text) if text else []
-            if missing := set(words).difference(self.code):
-                self.add(list(missing))
-            codes.extend(map(self.code.__getitem__, words))
+            for word in set(words).difference(code):
+                code[word] = len(code)
+                new.append(word)
+            codes.extend(map(code.__getitem__, words))
             per_text.append(len(words))
+        if new:
+            self.add(new)
         at = np.array(codes, dtype=np.int64)
         lengths = np.array(self.lengths, dtype=np.int64)[at] if len(at) else at
         flat = np.zeros(0, np.int32)
@@ -173,18 +189,30 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, one row at least."""
+    for batch in batches:
+        size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
 def encode_decode(
     docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 500_000,
-    max_bytes: int = 64_000_000,
+    max_bytes: int = 64_000_000, bytes_at_once: int = 8_000_000,
 ) -> DataFrame:
     """(id_col, ids array<int>, decoded binary) of every whole text.
 
     ranks: a file of tokens in base 64 with their ranks that every executor can open at that path; pattern: how texts are
-    cut before merging.
+    cut before merging; bytes_at_once: how much text is one corpus of the merge replay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +220,7 @@ def encode_decode(
         if key not in _tables:
             _tables[key] = WordTable(*key)
         table = _tables[key]
-        for batch in slices(batches, 256):
+        for batch in _portions(batches, bytes_at_once):
             flat, counts = table.encode(batch.column(1).to_pylist())
             data, sizes = table.merges.decode(flat)
             ids = pa.ListArray.from_arrays(pa.array(_offsets(counts), pa.int32()), pa.array(flat, pa.int32()))

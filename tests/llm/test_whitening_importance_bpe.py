@@ -84,9 +84,19 @@ def clashing(spark, rows, kind):
     return spark.createDataFrame(wide, f"key long, value {kind}, a string, b string, c string, d string")
 
 
+def test_bpe_words_of_one_corpus(library):
+    """Many words that share pairs, merged together, give what each gives alone."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aabeinrst") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    flat, counts = byte_bpe.Merges(RANKS).replay([w.encode() for w in words])
+    ends = np.cumsum(counts)
+    for word, end, n in zip(words, ends.tolist(), counts.tolist(), strict=True):
+        assert flat[end - n : end].tolist() == library._core_bpe.encode_single_piece(word.encode()) or len(library.encode_ordinary(word)) == 1
+
+
 def test_bpe_edge_cases(spark, library):
     docs = clashing(spark, ROWS, "string").toDF("doc_id", "text", "TEXT", "Doc_Id", "a`b", "ids")
-    got = byte_bpe.encode_decode(docs.repartition(2), RANKS, public_tokenizers.PATTERN).collect()
+    got = byte_bpe.encode_decode(docs.repartition(2), RANKS, public_tokenizers.PATTERN, bytes_at_once=20).collect()
     want = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in ROWS]
     assert sorted(((r["doc_id"] or 0, r["ids"], bytes(r["decoded"])) for r in got)) == sorted((i or 0, x, t) for i, x, t in want)
     digest = byte_bpe.digests(byte_bpe.encode_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN))
