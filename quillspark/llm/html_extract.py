@@ -3,12 +3,20 @@
 The page becomes a tree of elements (tolerant of unclosed and stray tags). Paragraphs pass points to their
 ancestors: one, plus one per comma, plus one per 100 characters up to three; the parent takes all of it, the
 grandparent half and higher ones a share that falls with the distance. An element's points are discounted by its link
-density. The best container is kept, or the article or main element that it lies in, together with those of its
-siblings that are no lists of links or score near it, in page order.
+density. The best container is kept, or the article or main element that it lies in. A best container that is no
+article keeps its siblings, text without an element included, but for lists of links; beside an article only
+headings, paragraphs and what scores near it stay. All in page order.
 
-Elements that are never main text are cut before scoring: scripts, styles, forms, menus, footers, sidebars, page
-headers (a header inside an article is kept), and elements whose class, id or role names an advert, a notice, a
-sidebar, a menu, sharing links or reader comments. Nothing is cut for being short.
+Elements that are never main text are cut before scoring: scripts, styles, form controls, menus, footers, asides and page
+headers (a header inside an article is kept). Names tell more: a class, id or role that is an advert, a menu, a sidebar,
+sharing links or reader comments is cut, and so is a form, but not
+
+* where the name is of the page's frame (``with-sidebar``) or of a section of a text (``related-work``),
+* where the element holds an article, a main element or a first heading,
+* where it holds half of the page's text or more; reader comments go whatever they hold, unless nothing else is there,
+* inside an article, where names that a text may well use (``legal``, ``discussion``) cut lists of links only.
+
+Nothing is cut for being short.
 
 Cases: null, empty and text-free pages give an empty text; html of any length is read whole; repeated rows are kept;
 an empty table gives an empty result; other columns are not read.
@@ -53,25 +61,32 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Words in a class, id or role that tell boilerplate from content.
-BOILERPLATE = frozenset(
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+PLAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion "
-    "promoted comment comments commentlist disqus discussion respond reply replies cookie cookies consent gdpr notice "
-    "notices notification alert modal popup overlay sidebar side widget widgets nav navbar navigation navi menu menus "
-    "breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar share sharing social related "
-    "recommended recommendations newsletter subscribe subscription signup login search skip copyright legal "
-    "disclaimer contentinfo complementary".split()
+    "promoted cookie cookies consent gdpr popup sidebar navbar navigation navi menu menus nav breadcrumb breadcrumbs pagination "
+    "pager masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe "
+    "subscription signup contentinfo complementary".split()
+)
+#: Words that texts use too; inside an article they cut lists of links only.
+DOUBTFUL = frozenset(
+    "discussion notice notices notification alert modal overlay side widget widgets footer foot copyright legal disclaimer login search skip".split()
 )
 HEADERISH = frozenset("header banner masthead".split())
 CONTENT = frozenset("article articlebody content main story post entry body text blog hentry page".split())
+#: A name with one of these says what is beside the element, or names a section of a text.
+FRAME = frozenset("with has no without hide hidden layout wrapper work works concept concepts terms theory methods results".split())
+HALF = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "score", "cut", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "children", "attrs", "score", "cut", "chars", "linked", "whole", "links", "holds")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
         self.score, self.cut, self.chars, self.linked = 0.0, False, 0, 0
+        self.whole, self.links, self.holds = 0, 0, False  # characters before names are looked at; whether content lies inside
 
 
 def parse(page: str) -> Node:
@@ -131,14 +146,14 @@ def parse(page: str) -> Node:
             if tag not in CUT:
                 node.children.append(html_lib.unescape(page[at : stop.start() if stop else end]))
             at = stop.end() if stop else end
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID:  # a slash at the end means nothing in HTML
             open_.append(node)
     return root
 
 
-def names_of(node: Node) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
-    words: set[str] = set()
+def names_of(node: Node) -> tuple[list[set[str]], bool]:
+    """Words of each name in class, id and role; whether the element is hidden."""
+    names: list[set[str]] = []
     hidden = False
     if node.attrs:
         for m in _ATTR.finditer(node.attrs):
@@ -148,8 +163,61 @@ def names_of(node: Node) -> tuple[set[str], bool]:
             elif key == "aria-hidden":
                 hidden = hidden or value.lower() == "true"
             else:
-                words.update(w.lower() for w in _NAMES.findall(value))
-    return words, hidden
+                names += ({w.lower() for w in _NAMES.findall(name)} for name in value.split())
+    return names, hidden
+
+
+def walk(root: Node) -> list[tuple[Node, bool, list[set[str]]]]:
+    """Elements that may be main text by their tags, parents first, with whether they lie in an article and their names.
+
+    Tags that never are main text, and what is hidden, are cut on the way.
+    """
+    found: list[tuple[Node, bool, list[set[str]]]] = []
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        names, hidden = names_of(node)
+        hard = node.tag in CUT and node.tag != "form"
+        if hard or hidden or (node.tag == "header" and not in_article):
+            node.cut = True
+            continue
+        found.append((node, in_article, names))
+        inside = in_article or node.tag in ("article", "main")
+        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+    return found
+
+
+def measure(found: list[tuple[Node, bool, list[set[str]]]]) -> None:
+    """Sum up characters, linked characters and whether there is content inside, children first."""
+    for node, _, names in reversed(found):
+        for child in node.children:
+            if isinstance(child, str):
+                node.whole += len(child.strip())
+            elif not child.cut:
+                node.whole += child.whole
+                node.links += child.links
+                node.holds = node.holds or child.holds
+        if node.tag == "a":
+            node.links = node.whole
+        commented = any(name & COMMENTS for name in names)
+        if node.tag in ("article", "main", "h1") and not commented and node.whole:
+            node.holds = True
+
+
+def is_named(node: Node, names: list[set[str]], in_article: bool, total: int) -> bool:
+    """A name, or the tag of a form, says that the element is no main text."""
+    if node.tag in ("html", "body", "#root", "main"):
+        return False
+    telling = [name for name in names if not name & FRAME]
+    words = set().union(*telling) if telling else set()
+    if words & COMMENTS:
+        return not (node.holds and node.tag != "article") and node.whole < total
+    if node.tag == "article" or node.holds or node.whole >= HALF * total:
+        return False
+    if in_article and words <= HEADERISH | CONTENT:
+        return node.tag == "form"
+    listed = node.links > HALF * node.whole
+    return node.tag == "form" or bool(words & PLAIN) or bool(words & DOUBTFUL and (listed or not in_article))
 
 
 def extract(page: str | None) -> str:
@@ -157,23 +225,18 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    found = walk(root)
+    measure(found)
     order: list[Node] = []
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        node, in_article = stack.pop()
-        order.append(node)
-        if node.tag in CUT or (node.tag == "header" and not in_article):
+    for node, in_article, names in found:
+        if node.parent is not None and node.parent.cut:
             node.cut = True
-            continue
-        words, hidden = names_of(node)
-        protected = node.tag in ("html", "body", "#root", "article", "main")
-        if hidden or (words and not protected and words & BOILERPLATE and not (in_article and words <= HEADERISH | CONTENT)):
+        elif is_named(node, names, in_article, root.whole):
             node.cut = True
-            continue
-        if words & CONTENT or node.tag in ("article", "main"):
-            node.score += 5
-        inside = in_article or node.tag in ("article", "main")
-        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+        else:
+            order.append(node)
+            if node.tag in ("article", "main") or any(name & CONTENT for name in names):
+                node.score += 5
     # Children come after their parents in order, so that sums go up in one backward pass.
     for node in reversed(order):
         if node.cut:
@@ -203,7 +266,7 @@ def extract(page: str | None) -> str:
                 up, level = up.parent, level + 1
     best, top = root, 0.0
     for node in order:
-        if not node.cut and node.chars and node.score > 0 and node.tag in BLOCK:
+        if node.chars and node.score > 0 and node.tag in BLOCK:
             score = node.score * (1 - node.linked / node.chars)
             if score > top:
                 best, top = node, score
@@ -211,17 +274,22 @@ def extract(page: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
-    kept = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        kept = []
-        for sibling in best.parent.children:
-            if not isinstance(sibling, Node) or sibling.cut or not sibling.chars:
-                continue
+    if best.parent is None or best.tag in ("body", "html", "main"):
+        return " ".join(blocks([best]))
+    kept: list[Node | str] = []
+    for sibling in best.parent.children:
+        if isinstance(sibling, str):
+            if best.tag != "article":
+                kept.append(sibling)
+        elif sibling is best:
+            kept.append(sibling)
+        elif not sibling.cut and sibling.chars:
             density = sibling.linked / sibling.chars
             near = sibling.score * (1 - density) >= max(10.0, 0.2 * top)
-            if sibling is best or near or density < 0.25:
+            beside = best.tag != "article" or sibling.tag in PARAGRAPH or sibling.tag == "article"
+            if near or (beside and density < 0.25):
                 kept.append(sibling)
-    return " ".join(block for node in kept for block in blocks(node))
+    return " ".join(blocks(kept))
 
 
 def inline_size(node: Node) -> tuple[int, int]:
@@ -238,8 +306,8 @@ def inline_size(node: Node) -> tuple[int, int]:
     return commas, length
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks of an element in page order."""
+def blocks(items: list[Node | str]) -> list[str]:
+    """Texts of the blocks of some elements and texts in page order."""
     found: list[str] = []
     line: list[str] = []
 
@@ -249,7 +317,7 @@ def blocks(node: Node) -> list[str]:
                 found.append(" ".join(words))
             line.clear()
 
-    stack: list[Node | str | None] = [None, *reversed(node.children), None]
+    stack: list[Node | str | None] = [None, *reversed(items)]
     while stack:
         item = stack.pop()
         if item is None:
