@@ -1,4 +1,4 @@
-"""Report editions: diffs, impact of new sources, incremental rewriting, outlines."""
+"""Report editions: diffs, incremental rewriting, outlines."""
 
 from __future__ import annotations
 
@@ -32,32 +32,6 @@ def new_sources(current: DataFrame, snapshot: DataFrame, key: str = "source_id")
     return current.join(snapshot.select(key).distinct(), key, "left_anti")
 
 
-def decide_impact() -> Column:
-    """Decision of a section from replaces, metric_hits, chunk_hits, score and unsupported."""
-    return (
-        F.when(F.col("replaces"), "FULL_REWRITE")
-        .when(F.col("metric_hits") > 0, "PARTIAL_REWRITE")
-        .when((F.col("chunk_hits") >= 2) | (F.col("score") >= 0.35), "PARTIAL_REWRITE")
-        .when(F.col("unsupported") > 0, "LIGHT_EDIT")
-        .when((F.col("score") >= 0.15) | (F.col("chunk_hits") == 1), "UPDATE_CITATION")
-        .otherwise("KEEP")
-    )
-
-
-def impact(sections: DataFrame, chunks: DataFrame, least: int = 2) -> DataFrame:
-    """(section_id, chunk_hits, score, decision) of sections (section_id, text, replaces, metric_hits, unsupported) against
-    chunks (chunk_id, text) of new sources; without chunks every section is kept."""
-    a = sections.select("section_id", F.explode(T.overlap_tokens(F.col("text"))).alias("token"))
-    b = chunks.select("chunk_id", F.explode(T.overlap_tokens(F.col("text"))).alias("token"))
-    shared = a.join(b, "token").groupBy("section_id", "chunk_id").agg(F.count("*").alias("shared"))
-    hits = shared.groupBy("section_id").agg(F.count_if(F.col("shared") >= least).alias("chunk_hits"), F.max("shared").alias("best"))
-    rows = sections.join(hits, "section_id", "left").withColumn("chunk_hits", F.coalesce("chunk_hits", F.lit(0)))
-    rows = rows.withColumn("score", F.least(F.coalesce("best", F.lit(0)) / 10.0, F.lit(1.0)))
-    any_chunk = F.broadcast(chunks.agg((F.count("*") > 0).alias("_any")))  # one row
-    decision = F.when(F.col("_any"), decide_impact()).otherwise("KEEP")
-    return rows.crossJoin(any_chunk).select("section_id", "chunk_hits", "score", decision.alias("decision"))
-
-
 def incremental(nodes: DataFrame, parent: DataFrame, decisions: DataFrame) -> DataFrame:
     """What each outline node of a new edition does: REWRITE, INHERIT or ADD_SECTION, with the inherited body.
 

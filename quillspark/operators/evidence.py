@@ -207,9 +207,10 @@ def short_title(text: Column, fallback: Column) -> Column:
 
 def last_two(editions: DataFrame, key: str, number: str, id_col: str) -> DataFrame:
     """(key, older, newer) to compare: the last two by number; a single one stands on both sides."""
-    best = editions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(number, id_col)), asc=False).alias("_e"))
-    newer, older = F.get("_e", F.lit(0))[id_col], F.get("_e", F.lit(1))[id_col]
-    return best.select(key, F.coalesce(older, newer).alias("older"), newer.alias("newer"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(number), F.desc(id_col)))
+    best = editions.select(key, id_col, place.alias("_k")).where("_k <= 2").groupBy(key)  # Spark keeps two of a key before the shuffle
+    best = best.agg(F.max(F.when(F.col("_k") == 2, F.col(id_col))).alias("older"), F.max(F.when(F.col("_k") == 1, F.col(id_col))).alias("newer"))
+    return best.select(key, F.coalesce("older", "newer").alias("older"), "newer")
 
 
 def pack_metrics(packs: DataFrame) -> DataFrame:

@@ -32,6 +32,43 @@ def nodes(blocks: DataFrame, skip: tuple[str, ...] = SKIP_LABELS) -> DataFrame:
     return out.select(*PAGE, "idx", F.concat(F.lit("N"), "idx").alias("node_id"), "label", "x0", "y0", "x1", "y1", "width", "height")
 
 
+LEAST_LINE, LEAST_RECT, LEAST_SHAPE = 8, 40, 200  # points; square points
+
+
+def primitives(pages: DataFrame) -> DataFrame:
+    """Lines and rectangles (source_id, page, seq, kind, x0, y0, x1, y1, px0, py0, px1, py1) of pages (source_id, page, paths).
+
+    A path has a rectangle around it and items: ``l`` from a point to a point, ``re`` with two corners, ``c`` with four points,
+    of which the ends make a line. Lines of width and height of under 8 together (curves aside) and rectangles of an area of
+    under 40 are left out. A path without ``re`` is itself a rectangle if its area is 200 or more. seq follows the drawing
+    order, a path's own rectangle after its items; p0 and p1 are the ends of a line as they were drawn.
+    """
+    paths = pages.select(*PAGE, F.posexplode("paths").alias("path_no", "path"))
+    point = lambda k: F.get("item.points", F.lit(k))
+    last = F.when(F.col("item.op") == "c", point(3)).otherwise(point(1))
+    items = paths.select(*PAGE, "path_no", F.posexplode("path.items").alias("item_no", "item")).where(F.col("item.op").isin("l", "re", "c"))
+    items = items.select(*PAGE, "path_no", "item_no", F.col("item.op").alias("op"), point(0).alias("p"), last.alias("q")).where("p IS NOT NULL AND q IS NOT NULL")
+    low, high = (lambda axis: F.least(f"p.{axis}", f"q.{axis}")), (lambda axis: F.greatest(f"p.{axis}", f"q.{axis}"))
+    whole = F.col("op") == "re"
+    items = items.select(
+        *PAGE, "path_no", "item_no", "op", F.when(whole, "rect").otherwise("line").alias("kind"),
+        F.when(whole, F.col("p.x")).otherwise(low("x")).alias("x0"), F.when(whole, F.col("p.y")).otherwise(low("y")).alias("y0"),
+        F.when(whole, F.col("q.x")).otherwise(high("x")).alias("x1"), F.when(whole, F.col("q.y")).otherwise(high("y")).alias("y1"),
+        *(F.when(~whole, F.col(c)).alias(f"p{n}") for c, n in (("p.x", "x0"), ("p.y", "y0"), ("q.x", "x1"), ("q.y", "y1"))),
+    )
+    wide, high_ = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    fit = F.when(F.col("op") == "l", wide + high_ >= LEAST_LINE).when(F.col("op") == "re", wide * high_ >= LEAST_RECT).otherwise(F.lit(True))
+    shapes = paths.where(~F.exists(F.coalesce("path.items", F.array().cast("array<struct<op:string,points:array<struct<x:double,y:double>>>>")), lambda i: i["op"] == "re"))
+    nothing = F.lit(None).cast("double")
+    shapes = shapes.select(
+        *PAGE, "path_no", F.lit(2**31 - 1).alias("item_no"), F.lit("path").alias("op"), F.lit("rect").alias("kind"), "path.x0", "path.y0", "path.x1", "path.y1",
+        *(nothing.alias(n) for n in ("px0", "py0", "px1", "py1")),
+    ).where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= LEAST_SHAPE)
+    every = items.where(fit).unionByName(shapes)
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("path_no", "item_no")) - 1
+    return every.select(*PAGE, number.alias("seq"), "kind", "x0", "y0", "x1", "y1", "px0", "py0", "px1", "py1")
+
+
 def _on_page(df: DataFrame) -> DataFrame:
     """The joins take one page key."""
     return df.withColumn("page", F.struct(*PAGE)).drop("source_id")

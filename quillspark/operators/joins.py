@@ -10,41 +10,55 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 WORDS_AT_ONCE = 100_000
+SAMPLE = 0.02  # of the left rows, to tell common words
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int, left_text: str = "text", right_text: str = "text") -> DataFrame:
     """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more.
 
-    A pair that shares so many has one among the tokens of the right row that are left when its ``least - 1`` most
-    frequent ones (in the left rows) are put aside. Rows meet on those only, so common words make no pairs; the shared
-    tokens of the pairs are counted after that.
+    A pair that shares so many has one among the tokens of the right row that are left when any ``least - 1`` of them are put
+    aside. Those that a sample of the left rows holds most often are put aside, so common words make no pairs. Left rows
+    meet the right ones on the others only, and rows of a pair alone are then compared whole. Any order of tokens gives
+    the same result.
     """
-    a = left.select(left_id, T.overlap_tokens(F.col(left_text)).alias("_a"))
-    b = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b")).where(F.size("_b") >= least)
-    told = b.select(right_id, F.explode_outer("_b").alias("token"))
-    asked = a.select(left_id, F.explode_outer("_a").alias("token")).join(told.select("token").distinct(), "token", "left_semi")
-    often = asked.groupBy("token").agg(F.count("*").alias("n"))
-    rare = F.row_number().over(Window.partitionBy(right_id).orderBy(F.desc("n"), "token"))
-    keys = told.join(often, "token", "left").withColumn("k", rare).where(F.col("k") >= least).select(right_id, "token")
-    pairs = asked.join(keys, "token").select(left_id, right_id).distinct().join(b, right_id).join(a, left_id)
-    return pairs.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
-
-
-def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float) -> DataFrame:
-    """(a, b, jaccard): pairs of rows, a < b by key, whose token sets have a similarity above a threshold.
-
-    Such a pair shares more than ``above`` times the size of either set, so it meets on the tokens of each row that are
-    left when as many of the most frequent ones are put aside, less one; equal sizes bound the rest.
+    told = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b"))
+    told = told.select(right_id, F.explode("_b").alias("token"))
+    asked = left.select(left_id, F.explode(T.overlap_tokens(F.col(left_text))).alias("token"))
+    sampled = left.sample(SAMPLE, seed=1).select(F.explode(T.overlap_tokens(F.col(left_text))).alias("token"))
+    often = sampled.groupBy("token").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(right_id).orderBy(F.desc_nulls_last("n"), F.length("token"), "token")
+    ranked = told.join(often, "token", "left").select(right_id, "token", F.row_number().over(order).alias("k"))
+    keys = ranked.where(F.col("k") >= least).select(right_id, "token")
+    pairs = asked.join(keys, "token").select(left_id, right_id).distinct()
+    a = left.join(pairs.select(left_id).distinct(), left_id, "left_semi").select(left_id, T.overlap_tokens(F.col(left_text)).alias("_a"))
+    b = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b"))
+    met = pairs.join(b, right_id).join(a, left_id)
+    return met.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
+def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float, within: str | None = None) -> DataFrame:
+    """(a, b, jaccard): pairs of rows, a < b by key, whose token sets have a similarity above a threshold; with ``within``, pairs of
+    equal values of that column only.
+
+    Such a pair shares more than ``above`` times the size of either set, so the first tokens of both sets, as many as may be
+    missing and one more, have one in common, whatever the order. Long tokens come first, as they are the rarer ones, and
+    no count of tokens is needed. Equal sizes bound the rest, and rows of a pair alone are compared whole.
     """
-    sets = rows.select(key, F.col(tokens).alias("_t"), F.size(tokens).alias("_n"))
-    told = sets.select(key, "_n", F.explode_outer("_t").alias("token")).where("token IS NOT NULL")
-    often = told.groupBy("token").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc("token")))
-    keys = told.join(often, "token").withColumn("k", place).where(F.col("k") > F.floor(above * F.col("_n"))).select(key, "_n", "token")
-    a, b = keys.alias("x"), keys.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col(f"x.{key}") < F.col(f"y.{key}")) & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
-    pairs = a.join(b, met).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
-    left, right = (sets.select(F.col(key).alias(x), F.col("_t").alias(f"_{x}")) for x in "ab")
+    sets = rows.select(key, F.col(tokens).alias("_t"), *([F.col(within).alias("_w")] if within else [])).where(F.size("_t") > 0)
+    first = F.array_sort(F.transform("_t", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    size = F.size("_t")
+    kept = size - F.floor(above * size).cast("int")  # more than floor(above * size) tokens are shared
+    group = [F.col("_w")] if within else []
+    keys = sets.select(F.col(key).alias("_key"), *group, size.alias("_n"), F.explode(F.slice(first, F.lit(1), kept)).alias("f"))
+    keys = keys.select("_key", *group, "_n", F.col("f.t").alias("token"))
+    x, y = keys.alias("x"), keys.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._key") < F.col("y._key")) & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
+    if within:
+        met = met & (F.col("x._w") == F.col("y._w"))
+    pairs = x.join(y, met).select(F.col("x._key").alias("a"), F.col("y._key").alias("b")).distinct()
+    named = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
+    whole = sets.select(key, "_t").join(named, key, "left_semi")
+    left, right = (whole.select(F.col(key).alias(n), F.col("_t").alias(f"_{n}")) for n in "ab")
     found = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
     return found.where(F.col("jaccard") > above)
 

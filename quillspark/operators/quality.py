@@ -1,19 +1,33 @@
 """Deterministic review of report sections: citations, numbers, claims, style, and the gates over their counts.
 
 Sections are rows (section_id, content_markdown); packs are rows of facts: ``pages`` (section_id, source_id, page),
-``numbers`` (section_id, value) and ``statements`` (section_id, statement).
+``numbers`` (section_id, value) and ``statements`` (section_id, statement). Claims are rows (section_id, statement, claim_type,
+verification_status), as ``report.claims`` finds them.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import shared_dir
+from .joins import jaccard_pairs
 from .ordering import first_per_key
 
 MAX_REVISIONS = 3
-ISSUE = "section_id string, issue_type string, severity string, description string"
+# What to do about an issue, by its type.
+ADVICE = {
+    "CITATION_MISMATCH": "Pack에 있는 source/page로 인용을 고치거나 해당 문장을 삭제",
+    "UNSUPPORTED_CLAIM": "Evidence Pack 근거를 붙이거나 주장을 삭제/약화",
+    "NUMERIC_MISMATCH": "Evidence Pack 수치만 사용하거나 해당 문장 삭제",
+    "PROMOTIONAL_LANGUAGE": "객관적 서술로 재작성",
+    "DUPLICATE_PARAGRAPH": "중복 문단 통합",
+}
+ANALYSIS_MARK = "【분석】"
 #: Allowed stage moves, fixed values. Work can pause or fail at any stage, but for an exported project.
 TRANSITIONS = {
     "CREATED": ("INGESTING", "FAILED"),
@@ -36,7 +50,11 @@ TRANSITIONS = {
 
 
 def issue(rows: DataFrame, kind: str, severity: str, description: Column) -> DataFrame:
-    return rows.select("section_id", F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), description.alias("description"))
+    """Issue rows (section_id, issue_type, severity, description, recommendation, status); they start OPEN."""
+    return rows.select(
+        "section_id", F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), description.alias("description"),
+        F.lit(ADVICE[kind]).alias("recommendation"), F.lit("OPEN").alias("status"),
+    )
 
 
 def paragraph_rows(sections: DataFrame) -> DataFrame:
@@ -63,11 +81,18 @@ def numeric_mismatches(sections: DataFrame, numbers: DataFrame, statements: Data
     return issue(said, "NUMERIC_MISMATCH", "CRITICAL", F.concat("needle", F.lit("%")))
 
 
-def unsupported_claims(sections: DataFrame) -> DataFrame:
-    """Paragraphs with a major claim and no citation."""
-    rows = paragraph_rows(sections)
-    bare = rows.where(T.is_major_claim(F.col("paragraph")) & (F.size(T.citations(F.col("paragraph"))) == 0))
-    return issue(bare, "UNSUPPORTED_CLAIM", "CRITICAL", T.clip(F.col("paragraph"), 120))
+def unsupported_claims(sections: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Major claims that nothing holds up, analysis aside; and paragraphs with a percent value and no citation."""
+    rows = paragraph_rows(sections).where(~F.col("paragraph").contains(ANALYSIS_MARK) & ~F.col("paragraph").startswith("<!--"))
+    measured = F.col("paragraph").rlike(r"\d+(?:\.\d+)?\s*(?:%|퍼센트)")
+    bare = rows.where(measured & (F.size(T.citations(F.col("paragraph"))) == 0))
+    found = issue(bare, "UNSUPPORTED_CLAIM", "CRITICAL", T.clip(F.col("paragraph"), 100))
+    if claims is None:
+        return found
+    open_ = (F.col("verification_status") == "UNVERIFIED") | (F.col("claim_type") == "UNSUPPORTED")
+    said = claims.where((F.col("claim_type") != "ANALYSIS") & F.coalesce(open_, F.lit(False)) & T.is_major_claim(F.coalesce("statement", F.lit(""))))
+    said = said.join(sections.select("section_id"), "section_id", "left_semi")
+    return issue(said, "UNSUPPORTED_CLAIM", "CRITICAL", F.substring("statement", 1, 120)).unionByName(found)
 
 
 def promotional_language(sections: DataFrame) -> DataFrame:
@@ -75,20 +100,36 @@ def promotional_language(sections: DataFrame) -> DataFrame:
     return issue(rows, "PROMOTIONAL_LANGUAGE", "MAJOR", F.col("phrase"))
 
 
+def _repeated(sections: DataFrame, least: int, above: float) -> tuple[DataFrame, DataFrame]:
+    """Long paragraphs, and those of them that a later one of their section repeats."""
+    rows = paragraph_rows(sections).where(F.length("paragraph") > least).withColumn("tokens", T.overlap_tokens(F.col("paragraph")))
+    pairs = jaccard_pairs(rows.withColumn("at", F.struct("section_id", "pos")), "at", "tokens", above, within="section_id")
+    first = pairs.select(F.col("a.section_id").alias("section_id"), F.col("a.pos").alias("pos")).distinct()
+    return rows, rows.join(first, ["section_id", "pos"], "left_semi")
+
+
 def duplicate_ratio(sections: DataFrame, least: int = 40, above: float = 0.85) -> DataFrame:
     """(section_id, ratio): share of paragraphs over 40 characters that a later one repeats."""
-    rows = paragraph_rows(sections).where(F.length("paragraph") > least).withColumn("tokens", T.overlap_tokens(F.col("paragraph")))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.section_id") == F.col("b.section_id")) & (F.col("a.pos") < F.col("b.pos")) & (T.jaccard(F.col("a.tokens"), F.col("b.tokens")) > above), "left_semi")
-    dups = met.groupBy("section_id").agg(F.count("*").alias("dups"))
+    rows, again = _repeated(sections, least, above)
+    dups = again.groupBy("section_id").agg(F.count("*").alias("dups"))
     totals = rows.groupBy("section_id").agg(F.count("*").alias("total"))
     out = sections.select("section_id").join(totals, "section_id", "left").join(dups, "section_id", "left")
     return out.select("section_id", F.coalesce(F.col("dups") / F.col("total"), F.lit(0.0)).alias("ratio"))
 
 
-def technical_review(sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame) -> DataFrame:
-    """(section_id, unsupported, citation_mismatch, numeric_mismatch, critical, decision)."""
-    found = citation_mismatches(sections, pages).unionByName(numeric_mismatches(sections, numbers, statements)).unionByName(unsupported_claims(sections))
+def duplicate_paragraphs(sections: DataFrame, least: int = 40, above: float = 0.85) -> DataFrame:
+    return issue(_repeated(sections, least, above)[1], "DUPLICATE_PARAGRAPH", "MINOR", T.clip(F.col("paragraph"), 60))
+
+
+def technical_issues(sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    found = citation_mismatches(sections, pages).unionByName(numeric_mismatches(sections, numbers, statements))
+    return found.unionByName(unsupported_claims(sections, claims))
+
+
+def technical_review(sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """(section_id, unsupported, citation_mismatch, numeric_mismatch, critical, coverage, decision); coverage is the verified share of
+    the claims."""
+    found = technical_issues(sections, pages, numbers, statements, claims)
     per = found.groupBy("section_id").agg(
         F.count_if(F.col("issue_type") == "UNSUPPORTED_CLAIM").alias("unsupported"),
         F.count_if(F.col("issue_type") == "CITATION_MISMATCH").alias("citation_mismatch"),
@@ -96,6 +137,11 @@ def technical_review(sections: DataFrame, pages: DataFrame, numbers: DataFrame,
         F.count_if(F.col("severity") == "CRITICAL").alias("critical"),
     )
     out = sections.select("section_id").join(per, "section_id", "left").na.fill(0)
+    if claims is None:
+        out = out.withColumn("coverage", F.lit(0.0))
+    else:
+        held = claims.groupBy("section_id").agg(F.avg((F.col("verification_status") == "VERIFIED").cast("int")).alias("coverage"))
+        out = out.join(held, "section_id", "left").na.fill(0.0, ["coverage"])
     return out.withColumn("decision", F.when(F.col("critical") > 0, "REVISE").otherwise("PASS"))
 
 
@@ -180,21 +226,40 @@ def revise(sections: DataFrame, issues: DataFrame, pack_text: DataFrame) -> Data
     return rows.withColumn("revision_count", F.col("revision_count") + 1).drop("_text", "_nums", "_cites", "pack_text")
 
 
-def review_loop(sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame, pack_text: DataFrame, max_revisions: int = MAX_REVISIONS) -> DataFrame:
-    """Review and revise all sections together, at most ``max_revisions`` rounds; only failing sections change.
+def gate_counts(sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Both reviews of all sections, as the counts that the gate looks at."""
+    technical = technical_review(sections, pages, numbers, statements, claims).withColumnRenamed("critical", "critical_t").withColumnRenamed("decision", "technical")
+    editorial = editorial_review(sections).select("section_id", "promotional", "ratio", F.col("decision").alias("editorial"))
+    # Editorial issues are MAJOR at most; figures are judged where they are drawn.
+    return technical.join(editorial, "section_id").withColumns({"critical_e": F.lit(0), "unrendered": F.lit(0)})
+
+
+def review_loop(
+    sections: DataFrame, pages: DataFrame, numbers: DataFrame, statements: DataFrame, pack_text: DataFrame, max_revisions: int = MAX_REVISIONS,
+    find_claims: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Review, gate and revise all sections together; only those that the gate stops change, and each at most until its
+    revision count is ``max_revisions``.
 
-    Lineage is cut with checkpoint() after each round. The result has status PASSED or MANUAL_REVIEW.
+    ``find_claims`` makes the claims of sections anew in each round. Every round is written to the shared folder, which cuts
+    the lineage and survives lost executors. The result has status PASSED or MANUAL_REVIEW.
     """
-    for _ in range(max_revisions):
-        verdict = technical_review(sections, pages, numbers, statements)
-        failing = verdict.where("decision = 'REVISE'").select("section_id")
-        if failing.isEmpty():
+    folder = f"{shared_dir(sections.sparkSession)}/review-{uuid.uuid4().hex}"
+    done, open_, spark = None, sections.drop("status"), sections.sparkSession
+    for turn in range(max_revisions + 1):
+        counts = gate_counts(open_, pages, numbers, statements, find_claims(open_) if find_claims else None)
+        judged = open_.join(counts, "section_id").withColumn("revision", F.col("revision_count"))
+        status = F.when(passes_gate(), "PASSED").when(needs_manual_review(max_revisions, ("technical", "editorial")), "MANUAL_REVIEW")
+        judged.withColumn("status", status).select(*open_.columns, "status").write.parquet(f"{folder}/{turn}")
+        rows = spark.read.parquet(f"{folder}/{turn}")
+        ended = rows.where("status IS NOT NULL")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = rows.where("status IS NULL").drop("status")
+        if open_.isEmpty():
             break
-        issues = citation_mismatches(sections, pages).unionByName(numeric_mismatches(sections, numbers, statements))
-        revised = revise(sections.join(failing, "section_id", "left_semi"), issues, pack_text)
-        sections = revised.unionByName(sections.join(failing, "section_id", "left_anti")).checkpoint()
-    verdict = technical_review(sections, pages, numbers, statements).select("section_id", F.when(F.col("decision") == "PASS", "PASSED").otherwise("MANUAL_REVIEW").alias("status"))
-    return sections.drop("status").join(verdict, "section_id")
+        issues = citation_mismatches(open_, pages).unionByName(numeric_mismatches(open_, numbers, statements))
+        open_ = revise(open_, issues, pack_text)
+    return done
 
 
 def issues_once(issues: DataFrame) -> DataFrame:

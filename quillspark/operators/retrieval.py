@@ -22,12 +22,17 @@ def in_sources(df: DataFrame, sources: list | None, column: str = "source_id") -
     return df.where(F.col(column).isin(sources)) if sources else df.where(F.lit(False))
 
 
-def matches_all(text: Column, query: str) -> Column:
-    """Every white-space token of the query occurs; a token with punctuation inside is a phrase."""
+def phrases_of(query: str) -> list[list[str]]:
+    """The words of each white-space token of a query; a token with punctuation inside has several and is a phrase."""
     import regex
 
-    phrases = [regex.findall(T.SEARCH_TOKEN, word.lower()) for word in query.replace('"', " ").split()]
-    phrases = [p for p in phrases if p]
+    found = (regex.findall(T.SEARCH_TOKEN, word.lower()) for word in query.replace('"', " ").split())
+    return [p for p in found if p]
+
+
+def matches_all(text: Column, query: str) -> Column:
+    """Every white-space token of the query occurs; a token with punctuation inside is a phrase."""
+    phrases = phrases_of(query)
     if not phrases:
         return F.lit(False)
     # A token ends where no letter or digit follows; the search stops at the first place of each phrase.
@@ -120,21 +125,27 @@ def document_vector_scores(blocks: DataFrame, query: str, limit: int = VECTOR_LI
 
 
 def hybrid_search(blocks: DataFrame, query: str, sources: list | None = None, limit: int = MERGED_LIMIT, vector: bool = True) -> DataFrame:
-    """Keyword and vector hits, merged.
+    """Keyword and vector hits of blocks that no index holds, merged. ``vector=False`` is the keyword-only mode."""
+    words = keyword_search(blocks, query, sources).select("block_id", "source_id", "page", "text", "score", "rank")
+    if not vector:
+        return merge_hits(words, None, limit)
+    scoped = in_sources(blocks, sources)
+    near = scoped.join(F.broadcast(document_vector_scores(scoped, query)), "block_id")  # at most twenty rows
+    return merge_hits(words, near.select("block_id", "source_id", "page", "text", "cosine"), limit)
+
+
+def merge_hits(words: DataFrame, near: DataFrame | None, limit: int = MERGED_LIMIT) -> DataFrame:
+    """Keyword hits (block_id, source_id, page, text, score, rank) and vector hits (..., cosine), at most twenty of each.
 
     A vector hit equal to an earlier row on (source, page, first 80 characters) lifts that row to
-    max(score, cosine + 0.5) and makes it ``hybrid``; other vector hits score their cosine. ``vector=False`` is the
-    keyword-only mode.
+    max(score, cosine + 0.5) and makes it ``hybrid``; other vector hits score their cosine.
     """
-    key = [F.col("source_id"), F.col("page"), F.substring("text", 1, KEY_CHARS).alias("head")]
-    words = keyword_search(blocks, query, sources).select("block_id", *key, "score", F.col("rank").alias("seq"), F.lit("keyword").alias("origin"))
-    if not vector:
+    key = ["source_id", "page", F.substring("text", 1, KEY_CHARS).alias("head")]
+    words = words.select("block_id", *key, "score", F.col("rank").alias("seq"), F.lit("keyword").alias("origin"))
+    if near is None:
         return words.orderBy(F.desc("score"), "seq").limit(limit)
-    scoped = in_sources(blocks, sources)
-    near = document_vector_scores(scoped, query)
-    # Both legs hold at most twenty rows from here on, and each is computed once.
-    near = near.withColumn("seq", F.lit(KEYWORD_LIMIT) + F.row_number().over(Window.orderBy(F.desc("cosine"), "block_id")))
-    near = scoped.drop("seq").join(F.broadcast(near), "block_id").select("block_id", *key, "cosine", "seq")
+    place = F.lit(KEYWORD_LIMIT) + F.row_number().over(Window.orderBy(F.desc("cosine"), "block_id"))
+    near = near.select("block_id", *key, "cosine", place.alias("seq"))
     rows = words.unionByName(near.withColumn("origin", F.lit("vector")), allowMissingColumns=True)
     same = Window.partitionBy("source_id", "page", "head")
     rows = rows.withColumns({
@@ -151,9 +162,6 @@ def hybrid_search(blocks: DataFrame, query: str, sources: list | None = None, li
     return rows.orderBy(F.desc("score"), "seq").limit(limit)
 
 
-_STRIP = " \t\n\x0b\f\r"
-
-
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

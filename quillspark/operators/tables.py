@@ -1,11 +1,11 @@
-"""Table maintenance without MERGE: the new state of a table as a DataFrame, and Parquet tables that take it."""
+"""Table maintenance without MERGE: the new state of a table as a DataFrame; ``sources.versioned`` keeps such states."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import latest_per_key
+from .ordering import first_per_key, latest_per_key
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -23,10 +23,13 @@ def replace_groups(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str], must_exist: DataFrame | None = None, on: str | None = None) -> DataFrame:
-    """Adds rows of new keys, each once; with ``must_exist``, only those whose ``on`` it knows."""
+    """Adds rows of new keys, each once; with ``must_exist``, only those whose ``on`` it knows. Of rows with one key the first by
+    the other values stays."""
     if must_exist is not None:
         rows = rows.join(must_exist.select(on).distinct(), on, "left_semi")
-    return base.unionByName(rows.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"))
+    rest = [F.col(c) for c in rows.columns if c not in keys]
+    once = first_per_key(rows, keys, rest) if rest else rows.distinct()
+    return base.unionByName(once.join(base.select(*keys), keys, "left_anti"))
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str], null_is_value: bool = False) -> DataFrame:
@@ -48,42 +51,3 @@ def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key
     """Parents without those of the keys in ``gone``, and children without those of deleted parents."""
     dead = parents.join(gone.select(key).distinct(), key, "left_semi").select(link).distinct()
     return parents.join(dead, link, "left_anti"), children.join(dead, link, "left_anti")
-
-
-class ParquetTables:
-    """Named Parquet tables under one folder. Each write goes to a new version; a pointer file names the current one,
-    so that no plan reads and overwrites the same files."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def versions(self, name: str) -> list[int]:
-        fs, path = self._fs(f"{self.root}/{name}")
-        if not fs.exists(path):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in found if n.startswith("v") and fs.exists(self._fs(f"{self.root}/{name}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in done)
-
-    def read(self, name: str) -> DataFrame:
-        found = self.versions(name)
-        if not found:
-            raise ValueError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{found[-1]}")
-
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
-        version = (self.versions(name) or [0])[-1] + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{version}")
-        return self.read(name)
-
-    def upsert(self, name: str, changes: DataFrame, keys: list[str]) -> DataFrame:
-        return self.write(name, upsert(self.read(name), changes, keys) if self.versions(name) else changes)
-
-    def append(self, name: str, rows: DataFrame) -> DataFrame:
-        return self.write(name, self.read(name).unionByName(rows) if self.versions(name) else rows)

@@ -75,17 +75,6 @@ def quality_gate(spark, sf_dir):
     return rows.select("doc_id", "unsupported", "critical_e", quality.passes_gate().alias("passed"), manual.alias("manual"))
 
 
-def impact_decision(spark, sf_dir):
-    """Documents as sections against benchmark items as chunks of new sources."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sections = docs.select(
-        F.col("doc_id").alias("section_id"), "text", (F.col("doc_id") % 97 == 0).alias("replaces"),
-        F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0).alias("metric_hits"), F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0).alias("unsupported"),
-    )
-    found = editions.impact(sections, items.select(F.col("item_id").alias("chunk_id"), "text"), least=9)
-    return found.select("section_id", "chunk_hits", F.round("score", 4).alias("score"), "decision")
-
-
 def html_page_blocks(spark, sf_dir):
     """Paragraph blocks of raw pages by pattern: count and characters per page."""
     pages = table(spark, sf_dir, "pages")
@@ -197,7 +186,7 @@ def overlap_matrix(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     page_type_counts, text_pages, label_coverage, unlabelled, edition_diff, latest_turn, context_window, sequence_next, quality_gate,
-    impact_decision, html_page_blocks, upsert_pages, replace_source, partial_update, insert_links, delete_cascade, claim_ledger,
+    html_page_blocks, upsert_pages, replace_source, partial_update, insert_links, delete_cascade, claim_ledger,
     near_number_gaps, fallback_lookup, budget_digest, upper_median, percent_facts, first_substantial_line, priority_digest, overlap_matrix,
 )}
 
@@ -230,14 +219,6 @@ ORACLE_SQL = {
         WITH c AS (SELECT doc_id, regexp_matches(text, '[0-9]|{_STRONG}')::BIGINT AS unsupported,
             (len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40)) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40))))::BIGINT AS critical_e FROM documents)
         SELECT *, unsupported = 0 AND critical_e = 0 AS passed, (doc_id % 5 >= 3 AND NOT (unsupported = 0 AND critical_e = 0)) OR doc_id % 7 = 0 AS manual FROM c""",
-    "impact_decision": f"""
-        WITH d AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents), b AS (SELECT item_id, unnest({_TOK}) AS t FROM benchmark),
-        s AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (t) GROUP BY ALL),
-        h AS (SELECT doc_id, count(*) FILTER (shared >= 9) AS chunk_hits, least(max(shared) / 10.0, 1.0) AS score FROM s GROUP BY doc_id)
-        SELECT doc_id AS section_id, coalesce(chunk_hits, 0)::BIGINT AS chunk_hits, round(coalesce(score, 0)::DOUBLE, 4) AS score,
-            CASE WHEN doc_id % 97 = 0 THEN 'FULL_REWRITE' WHEN doc_id % 11 = 0 THEN 'PARTIAL_REWRITE' WHEN coalesce(chunk_hits, 0) >= 2 OR coalesce(score, 0) >= 0.35 THEN 'PARTIAL_REWRITE'
-            WHEN doc_id % 13 = 0 THEN 'LIGHT_EDIT' WHEN coalesce(score, 0) >= 0.15 OR coalesce(chunk_hits, 0) = 1 THEN 'UPDATE_CITATION' ELSE 'KEEP' END AS decision
-        FROM documents LEFT JOIN h USING (doc_id)""",
     "html_page_blocks": """
         WITH p AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '<p>([^<]*)', 1), lambda x: trim(x, ' ') <> '') AS k FROM pages)
         SELECT page_id, len(k)::BIGINT AS n_blocks, length(array_to_string(k, ''))::BIGINT AS n_chars FROM p""",

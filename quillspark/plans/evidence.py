@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import editions, evidence, metrics, quality
@@ -44,17 +45,25 @@ def choose_evidence(spark, sf_dir):
     return evidence.choose(items, choices).select("section_id", "item_id", F.col("pos").cast("long").alias("pos"))
 
 
+#: Stages that orders stand for, by their key.
+STAGES = (
+    "CREATED", "INGESTING", "ANALYZING", "PLANNING", "WAITING_FOR_OUTLINE_APPROVAL", "PRODUCING", "REVIEWING", "REVISING", "FINALIZING",
+    "READY_FOR_EXPORT", "EXPORTED", "PAUSED", "FAILED",
+)
+
+
 def illegal_moves(spark, sf_dir):
-    """Every move between two stages that is not allowed."""
-    stages = spark.createDataFrame([(s,) for s in quality.TRANSITIONS], "stage string")
-    moves = stages.select(F.col("stage").alias("from_stage")).crossJoin(F.broadcast(stages.select(F.col("stage").alias("to_stage"))))  # 13 rows each
-    return quality.illegal_moves(moves).select("from_stage", "to_stage")
+    """Orders as stages of their customers' projects: moves from one to the next that are not allowed, counted."""
+    stage = F.get(F.array(*map(F.lit, STAGES)), (F.col("o_orderkey") % 13).cast("int"))
+    before = F.lag(stage).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    moves = table(spark, sf_dir, "orders").select(before.alias("from_stage"), stage.alias("to_stage")).where("from_stage IS NOT NULL")
+    return quality.illegal_moves(moves).groupBy("from_stage", "to_stage").agg(F.count("*").alias("n"))
 
 
 def complete_sections(spark, sf_dir):
     """Documents as sections of a resumed run: which states and bodies count as finished."""
     states = F.array(*map(F.lit, ("writing", "PASSED", "REVISING", "Failed", "DRAFT", "pending", "MANUAL_REVIEW")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(states, (F.col("doc_id") % 8).cast("int")).alias("status"), F.substring("text", 1, 60).alias("content_markdown"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(states, (F.col("doc_id") % 8).cast("int")).alias("status"), F.col("text").alias("content_markdown"))
     return docs.select("doc_id", editions.is_complete().alias("complete"))
 
 
@@ -75,36 +84,39 @@ def evidence_blocks(spark, sf_dir):
 
 
 def metric_facts(spark, sf_dir):
-    """Facts of literal pages."""
-    pages = [
-        ("a", 1, "1. 시간당생산량\n효과\n기존대비8% 증가\n2. Claim 건수\n기존대비60% 감소\n"), ("b", 1, "납기준수율 +24% 향상\n재공재고 -33% 감소"),
-        ("c", 1, "상시 인원\n2019\n371명\n311명\n매출 규모\n1,931억원\n1,762억원\n1,633억원"), ("d", 1, None), ("e", 1, "1. 생산량\n8% 증가"),
-    ]
-    facts = metrics.metric_facts(spark.createDataFrame(pages, "source_id string, page_number int, text string"))
+    """Orders as pages of a report: a titled change, with its method on odd keys, and on the next page a labelled amount."""
+    titles, ways = ("시간당생산량", "납기준수율", "재공재고", "클레임 건수"), ("증가", "감소", "향상")
+    key = F.col("o_orderkey")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (key % len(words)).cast("int"))
+    method = F.when(key % 2 == 1, F.lit("측정방법: 월간 집계\n")).otherwise("")
+    change = F.concat(F.lit("1. "), pick(titles), F.lit("\n효과\n기존 대비 "), (key % 90 + 1).cast("string"), F.lit("% "), pick(ways), F.lit("\n"), method)
+    amount = F.concat(F.lit("상시 인원\n"), F.format_number(key, 0), F.lit("명"))
+    pages = table(spark, sf_dir, "orders").select(key.alias("source_id"), F.posexplode(F.array(change, amount)).alias("page_number", "text"))
+    facts = metrics.metric_facts(pages)
     value = F.coalesce("change_value", "result_value")
-    return facts.select("source_id", F.col("seq").cast("long").alias("seq"), "name", value.alias("value"), "change_unit", "direction", "confidence", "verification_status")
+    return facts.select(F.col("source_id").cast("long").alias("o_orderkey"), F.col("page_number").cast("long").alias("page"), "name", value.alias("value"), "change_unit", "direction", "confidence", "verification_status")
 
 
 def page_lines(spark, sf_dir):
-    """Recognised lines of literal pages that the page's texts do not hold."""
-    texts = [("s", 1, "기존 대비 8% 향상"), ("s", 1, "Production result table"), ("s", 2, "")]
-    said = ["기존대비8%향상", "production", "abc", "x", "새로운 줄입니다", "새로운줄 입니다!", "Prodvction resu1t tabel", "short"]
-    lines = [("s", p, k, t) for p in (1, 2) for k, t in enumerate(said)]
-    old = spark.createDataFrame(texts, "source_id string, page int, text string")
-    return evidence.new_lines(spark.createDataFrame(lines, "source_id string, page int, seq int, text string"), old).select("page", "seq", "text")
+    """Turns as pages: of five recognised lines of each, those that the turn's text and the lines before do not hold."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("page"), "text").where("text IS NOT NULL")
+    fresh = F.concat(F.lit("Qqzzkk 가나 "), F.col("page").cast("string"))
+    said = F.array(F.upper("text"), F.replace("text", F.lit(" "), F.lit("")), fresh, F.replace(F.lower(fresh), F.lit(" "), F.lit("--")), F.lit("x"))
+    lines = turns.select("source_id", "page", F.posexplode(said).alias("seq", "text"))
+    found = evidence.new_lines(lines, turns)
+    return found.select(F.col("source_id").alias("conv_id"), F.col("page").alias("turn"), F.col("seq").cast("long").alias("seq"), "text")
 
 
 def graph_pages(spark, sf_dir):
     """Conversations as pages, turns as blocks, orders' lines as drawings."""
     turns = table(spark, sf_dir, "conversations")
     kinds = F.array(*map(F.lit, ("TEXT", "OCR", "TEXT", "TABLE", "TEXT")))
-    text = F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))
     # Five conversations make a page.
     page = F.floor(F.col("conv_id") / 5)
-    blocks = turns.select(F.lit("c").alias("source_id"), page.alias("page"), F.get(kinds, F.col("turn") % 5).alias("block_type"), text.alias("text"))
+    blocks = turns.select(F.lit("c").alias("source_id"), page.alias("page"), F.get(kinds, F.col("turn") % 5).alias("block_type"), "text")
     kind = F.get(F.array(*map(F.lit, ("DIAGRAM", "MIXED", "TEXT", "CHART"))), F.col("page") % 4)
     pages = blocks.select("source_id", "page").distinct().withColumn("page_type", kind)
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = table(spark, sf_dir, "lineitem")
     drawings = lines.select(F.lit("c").alias("source_id"), F.floor(F.col("l_orderkey") / 2).alias("page"), F.when(F.col("l_linenumber") != 2, "line").otherwise("rect").alias("kind"))
     return evidence.holds_graph(pages, blocks, drawings).select("page", "page_type", "holds_graph")
 
@@ -117,9 +129,9 @@ def unrendered_visuals(spark, sf_dir):
 
 
 def titles(spark, sf_dir):
-    """First 60 characters of documents as titles, and whether their first word looks technical."""
+    """Documents' texts as titles, and whether their first word looks technical."""
     docs = table(spark, sf_dir, "documents")
-    title = evidence.short_title(F.substring("text", 1, 60), F.lit("untitled"))
+    title = evidence.short_title(F.col("text"), F.lit("untitled"))
     word = F.substring_index(F.coalesce("text", F.lit("")), " ", 1)
     return docs.select("doc_id", title.alias("title"), evidence.looks_technical(word).alias("technical"))
 
@@ -152,17 +164,15 @@ _SECTIONS = """
     ),
     asked AS (SELECT *, regexp_extract_all(lower(title || ' ' || objective), '[a-z0-9]+|[가-힣]{2,}') AS toks FROM sections)
 """
-_ALLOWED = ", ".join(f"('{a}', '{b}')" for a, to in quality.TRANSITIONS.items() for b in to)
-_STAGES = ", ".join(f"('{s}')" for s in quality.TRANSITIONS)
 
 ORACLE_SQL = {
     "graph_pages": """
-        WITH b AS (SELECT conv_id // 5 AS page, ['TEXT', 'OCR', 'TEXT', 'TABLE', 'TEXT'][turn % 5 + 1] AS kind, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 12) ELSE text END AS t FROM conversations),
+        WITH b AS (SELECT conv_id // 5 AS page, ['TEXT', 'OCR', 'TEXT', 'TABLE', 'TEXT'][turn % 5 + 1] AS kind, text AS t FROM conversations),
         h AS (SELECT *, trim(string_split(t, chr(10))[1], ' ') AS head FROM b),
         c AS (SELECT page, ['DIAGRAM', 'MIXED', 'TEXT', 'CHART'][page % 4 + 1] AS page_type,
             count_if(kind IN ('TEXT', 'OCR') AND trim(coalesce(t, ''), ' ') <> '') AS texts, count_if(kind = 'TABLE') AS tables,
             count_if(kind IN ('TEXT', 'OCR') AND trim(coalesce(t, ''), ' ') <> '' AND length(head) BETWEEN 2 AND 22 AND NOT contains(head, '|')) AS short FROM h GROUP BY page),
-        d AS (SELECT l_orderkey // 2 AS page, count_if(l_linenumber <> 2) AS lines FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+        d AS (SELECT l_orderkey // 2 AS page, count_if(l_linenumber <> 2) AS lines FROM lineitem GROUP BY 1)
         SELECT page::BIGINT AS page, page_type, page_type <> 'TEXT' AND texts >= 5 AND tables < 5
             AND (coalesce(lines, 0) >= 6 OR short >= 10 OR (page_type = 'DIAGRAM' AND short >= 6 AND coalesce(lines, 0) >= 2)) AS holds_graph
         FROM c LEFT JOIN d USING (page)""",
@@ -170,7 +180,7 @@ ORACLE_SQL = {
         WITH f AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 32)
         SELECT o_custkey AS section_id, count(*)::BIGINT AS unrendered FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM f) GROUP BY 1""",
     "titles": """
-        WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(substr(text, 1, 60), ''), '\\s+', ' ', 'g'), ' ') AS t, string_split(coalesce(text, ''), ' ')[1] AS w FROM documents)
+        WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS t, string_split(coalesce(text, ''), ' ')[1] AS w FROM documents)
         SELECT doc_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 37) || '...' WHEN t = '' THEN 'untitled' ELSE t END AS title,
             (regexp_matches(w, '[A-Za-z]') AND length(w) <= 24) OR regexp_matches(w, '시스템|클라우드|서버|네트워크|데이터|공정|모델|센서') AS technical FROM d""",
     "last_two_orders": """
@@ -210,11 +220,28 @@ ORACLE_SQL = {
             CASE WHEN by_keep AND kept THEN row_number() OVER (PARTITION BY s_nationkey, kept ORDER BY id) END AS keep_at FROM whole WHERE stays OR everything)
         SELECT s_nationkey AS section_id, id AS item_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY
             rank_at NULLS LAST, keep_at NULLS LAST, s_suppkey)::BIGINT AS pos FROM places""",
-    "illegal_moves": f"""
-        WITH s(stage) AS (VALUES {_STAGES})
-        SELECT a.stage AS from_stage, b.stage AS to_stage FROM s a, s b WHERE (a.stage, b.stage) NOT IN (VALUES {_ALLOWED})""",
+    "illegal_moves": """
+        WITH allowed(a, b) AS (VALUES
+            ('CREATED', 'INGESTING'), ('CREATED', 'FAILED'),
+            ('INGESTING', 'ANALYZING'), ('INGESTING', 'PAUSED'), ('INGESTING', 'FAILED'),
+            ('ANALYZING', 'PLANNING'), ('ANALYZING', 'PAUSED'), ('ANALYZING', 'FAILED'),
+            ('PLANNING', 'WAITING_FOR_OUTLINE_APPROVAL'), ('PLANNING', 'PAUSED'), ('PLANNING', 'FAILED'),
+            ('WAITING_FOR_OUTLINE_APPROVAL', 'PRODUCING'), ('WAITING_FOR_OUTLINE_APPROVAL', 'PLANNING'), ('WAITING_FOR_OUTLINE_APPROVAL', 'PAUSED'), ('WAITING_FOR_OUTLINE_APPROVAL', 'FAILED'),
+            ('PRODUCING', 'REVIEWING'), ('PRODUCING', 'PAUSED'), ('PRODUCING', 'FAILED'),
+            ('REVIEWING', 'REVISING'), ('REVIEWING', 'FINALIZING'), ('REVIEWING', 'PRODUCING'), ('REVIEWING', 'PAUSED'), ('REVIEWING', 'FAILED'),
+            ('REVISING', 'REVIEWING'), ('REVISING', 'PAUSED'), ('REVISING', 'FAILED'),
+            ('FINALIZING', 'READY_FOR_EXPORT'), ('FINALIZING', 'PAUSED'), ('FINALIZING', 'FAILED'),
+            ('READY_FOR_EXPORT', 'EXPORTED'), ('READY_FOR_EXPORT', 'PRODUCING'), ('READY_FOR_EXPORT', 'INGESTING'), ('READY_FOR_EXPORT', 'PAUSED'), ('READY_FOR_EXPORT', 'FAILED'),
+            ('EXPORTED', 'INGESTING'), ('EXPORTED', 'ANALYZING'), ('EXPORTED', 'PRODUCING'),
+            ('PAUSED', 'INGESTING'), ('PAUSED', 'ANALYZING'), ('PAUSED', 'PLANNING'), ('PAUSED', 'WAITING_FOR_OUTLINE_APPROVAL'), ('PAUSED', 'PRODUCING'), ('PAUSED', 'REVIEWING'), ('PAUSED', 'REVISING'), ('PAUSED', 'FINALIZING'), ('PAUSED', 'READY_FOR_EXPORT'), ('PAUSED', 'FAILED'),
+            ('FAILED', 'INGESTING'), ('FAILED', 'ANALYZING'), ('FAILED', 'PLANNING'), ('FAILED', 'PRODUCING')
+        ),
+        named AS (SELECT *, ['CREATED', 'INGESTING', 'ANALYZING', 'PLANNING', 'WAITING_FOR_OUTLINE_APPROVAL', 'PRODUCING', 'REVIEWING', 'REVISING', 'FINALIZING',
+            'READY_FOR_EXPORT', 'EXPORTED', 'PAUSED', 'FAILED'][o_orderkey % 13 + 1] AS stage FROM orders),
+        moves AS (SELECT lag(stage) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, stage AS b FROM named)
+        SELECT a AS from_stage, b AS to_stage, count(*)::BIGINT AS n FROM moves WHERE a IS NOT NULL AND (a, b) NOT IN (SELECT (a, b) FROM allowed) GROUP BY ALL""",
     "complete_sections": """
-        WITH d AS (SELECT doc_id, ['WRITING', 'PASSED', 'REVISING', 'FAILED', 'DRAFT', 'PENDING', 'MANUAL_REVIEW'][doc_id % 8 + 1] AS status, substr(text, 1, 60) AS body FROM documents)
+        WITH d AS (SELECT doc_id, ['WRITING', 'PASSED', 'REVISING', 'FAILED', 'DRAFT', 'PENDING', 'MANUAL_REVIEW'][doc_id % 8 + 1] AS status, text AS body FROM documents)
         SELECT doc_id, coalesce(status, '') NOT IN ('RESEARCHING', 'WRITING', 'REVISING', 'PENDING', 'FAILED')
             AND length(regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g')) >= 40 AS complete FROM d""",
     "edition_outcomes": """
@@ -225,14 +252,10 @@ ORACLE_SQL = {
             bool_or(turn = 1) OVER (PARTITION BY conv_id) AS has_one FROM conversations)
         SELECT DISTINCT conv_id AS evidence_id, block_id FROM b WHERE CASE WHEN conv_id % 3 = 0 AND has_one THEN turn = 1 ELSE k <= 3 END""",
     "metric_facts": """
-        SELECT * FROM (VALUES
-            ('a', 0::BIGINT, '시간당생산량', 8.0::DOUBLE, '%', 'INCREASE', 0.93::DOUBLE, 'REQUIRES_VISUAL_CHECK'), ('a', 1, 'Claim 건수', 60.0, '%', 'DECREASE', 0.93, 'REQUIRES_VISUAL_CHECK'),
-            ('b', 0, '납기준수율', 24.0, '%', 'INCREASE', 0.85, 'REQUIRES_VISUAL_CHECK'), ('b', 1, '재공재고', 33.0, '%', 'DECREASE', 0.85, 'REQUIRES_VISUAL_CHECK'),
-            ('c', 0, '상시 인원', 371.0, '명', NULL, 0.84, 'VERIFIED'), ('c', 1, '상시 인원', 311.0, '명', NULL, 0.84, 'VERIFIED'),
-            ('c', 2, '매출 규모', 1931.0, '억원', NULL, 0.84, 'VERIFIED'), ('c', 3, '매출 규모', 1762.0, '억원', NULL, 0.84, 'VERIFIED'), ('c', 4, '매출 규모', 1633.0, '억원', NULL, 0.84, 'VERIFIED'),
-            ('e', 0, '생산량', 8.0, '%', 'INCREASE', 0.85, 'REQUIRES_VISUAL_CHECK')
-        ) AS t(source_id, seq, name, value, change_unit, direction, confidence, verification_status)""",
+        SELECT o_orderkey, 0::BIGINT AS page, ['시간당생산량', '납기준수율', '재공재고', '클레임 건수'][o_orderkey % 4 + 1] AS name, (o_orderkey % 90 + 1)::DOUBLE AS value, '%' AS change_unit,
+            CASE WHEN o_orderkey % 3 = 1 THEN 'DECREASE' ELSE 'INCREASE' END AS direction, CASE WHEN o_orderkey % 2 = 1 THEN 0.96 ELSE 0.93 END::DOUBLE AS confidence,
+            CASE WHEN o_orderkey % 2 = 1 THEN 'VERIFIED' ELSE 'REQUIRES_VISUAL_CHECK' END AS verification_status FROM orders
+        UNION ALL SELECT o_orderkey, 1, '상시 인원', o_orderkey::DOUBLE, '명', NULL, 0.84, 'VERIFIED' FROM orders""",
     "page_lines": """
-        SELECT * FROM (VALUES (1, 2, 'abc'), (1, 4, '새로운 줄입니다'), (1, 7, 'short'), (2, 0, '기존대비8%향상'), (2, 1, 'production'), (2, 2, 'abc'),
-            (2, 4, '새로운 줄입니다'), (2, 6, 'Prodvction resu1t tabel'), (2, 7, 'short')) AS t(page, seq, text)""",
+        SELECT conv_id, turn, 2::BIGINT AS seq, 'Qqzzkk 가나 ' || turn AS text FROM conversations WHERE text IS NOT NULL""",
 }

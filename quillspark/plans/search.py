@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins, retrieval
 from ..operators.ordering import first_per_key, top
+from .index import blocks, hybrid, index, table
 
 QUERY = "the that with"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("source_id"), F.lit(1).alias("page"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("block_id"), "text")
-
-
 def keyword_search(spark, sf_dir):
-    """First 20 documents with all terms, in document order."""
-    return retrieval.keyword_search(blocks(spark, sf_dir), QUERY).select("source_id", "block_id", F.col("rank").cast("long").alias("rank"), "score")
+    """First 20 documents with all terms, in document order, from postings."""
+    return index(spark, sf_dir)[0].search(QUERY).select("source_id", "block_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def keyword_phrase(spark, sf_dir):
     """A token with punctuation is a phrase; only two sources."""
-    found = retrieval.keyword_search(blocks(spark, sf_dir), "of-the and", ["src1", "src2"])
-    return found.select("source_id", "block_id", "score")
+    return index(spark, sf_dir)[0].search("of-the and", ["src1", "src2"]).select("source_id", "block_id", "score")
 
 
 def like_fallback(spark, sf_dir):
@@ -59,8 +49,8 @@ def hash_embed(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    """Keyword and vector hits of one query, merged."""
-    found = retrieval.hybrid_search(blocks(spark, sf_dir), QUERY)
+    """Keyword and vector hits of one query, merged; postings and stored vectors are read, and the query alone is embedded."""
+    found = hybrid(*index(spark, sf_dir), QUERY)
     return found.select("source_id", "block_id", F.round("score", 5).alias("score"), "origin")
 
 
@@ -92,15 +82,10 @@ def dup_paragraph_pairs(spark, sf_dir):
     """Paragraphs (lines over 40 characters) of a document, each with its first later one of Jaccard above 0.85."""
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") > 40)
-    lines = lines.withColumn("tokens", T.overlap_tokens(F.col("line"))).where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
-    posted = lines.select("doc_id", "pos", "n", F.explode("tokens").alias("token"))
-    a, b = posted.alias("a"), posted.alias("b")
-    # Sizes bound the similarity, so only lines of like size meet.
-    fit = (F.col("a.pos") < F.col("b.pos")) & (F.least("a.n", "b.n") > 0.85 * F.greatest("a.n", "b.n"))
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.token") == F.col("b.token")) & fit)
-    pairs = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.pos").alias("pos"), F.col("b.pos").alias("twin"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("both"))
-    pairs = pairs.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) > 0.85)
-    return pairs.groupBy("doc_id", "pos").agg(F.min("twin").alias("twin")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("twin").cast("long").alias("twin"))
+    lines = lines.select("doc_id", F.struct("doc_id", "pos").alias("at"), T.overlap_tokens(F.col("line")).alias("tokens"))
+    pairs = joins.jaccard_pairs(lines, "at", "tokens", 0.85, within="doc_id")
+    first = pairs.groupBy("a").agg(F.min("b.pos").alias("twin"))
+    return first.select("a.doc_id", F.col("a.pos").cast("long").alias("pos"), F.col("twin").cast("long").alias("twin"))
 
 
 def benchmark_overlap(spark, sf_dir):

@@ -1,9 +1,9 @@
 """Readers: files of mixed formats to page and block rows.
 
-Text, Markdown and CSV go through Spark's own readers. Office formats are zip archives of XML; each file is decoded in
-the task that holds it (``binaryFile`` and ``mapInPandas``), a file at a time. A file that cannot be decoded gives one
-row with ``error`` set, not a failed job. PDF, HWP (OLE) and OCR need decoders that are not bundled: register a function
-bytes -> list of pages in ``DECODERS``.
+``read_text`` reads text and Markdown with Spark's own reader. ``read_files`` takes all formats: each file is decoded in the
+task that holds it (``binaryFile`` and ``mapInPandas``), a file at a time. A file that cannot be decoded gives one row with
+``error`` set, not a failed job. PDF, HWP (OLE) and OCR need decoders that are not bundled: register a function
+(bytes, name) -> list of pages in ``DECODERS``.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Supported extensions and their types.
 MIME = {
@@ -33,8 +35,14 @@ MIME = {
     "hwpx": "application/hwp+zip",
 }
 PAGE_CHARS = 3000
-HEAD_ROWS, TAIL_ROWS, MAX_ROWS = 150, 30, 200
-BLOCKS = "path string, page int, seq int, block_type string, text string, error string"
+HEAD_ROWS, TAIL_ROWS = 150, 30
+WIDTH, HEIGHT = 612.0, 792.0  # of a page that has no size, in points
+POINTS = 72.0 / 914400.0  # per unit of an office drawing
+BLOCKS = (
+    "path string, page int, seq int, block_type string, text string, x0 double, y0 double, x1 double, y1 double, confidence double, "
+    "width double, height double, image_count int, drawing_count int, "
+    "paths array<struct<x0:double,y0:double,x1:double,y1:double,items:array<struct<op:string,points:array<struct<x:double,y:double>>>>>>, error string"
+)
 
 
 def extension(path: Column) -> Column:
@@ -93,25 +101,49 @@ def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("path", (F.col("page") + 1).alias("page"), F.lit(0).alias("seq"), F.lit("TEXT").alias("block_type"), "text", F.lit(None).cast("string").alias("error"))
 
 
-def cap_rows(rows: list[str]) -> list[str]:
-    """Head and tail of a long sheet, with a line that says what is left out (what the data model keeps of a sheet)."""
-    if len(rows) <= MAX_ROWS:
+Box = tuple[float, float, float, float]
+
+
+@dataclass
+class Page:
+    """Blocks (block_type, text, box, confidence) of a page; a box of None is the whole page. ``paths`` are its drawings as dicts
+    in the form of the column of that name."""
+
+    blocks: list[tuple[str, str, Box | None, float]] = field(default_factory=list)
+    width: float = WIDTH
+    height: float = HEIGHT
+    images: int = 0
+    drawings: int = 0
+    paths: list[dict] | None = None
+
+    def add(self, kind: str, text: str, box: Box | None = None, confidence: float = 1.0) -> None:
+        self.blocks.append((kind, text, box, confidence))
+
+
+def cap_rows(rows: list[str], most: int | None) -> list[str]:
+    """All rows; with ``most``, head and tail of a sheet that has more, and a line that says how many rows are left out."""
+    if most is None or len(rows) <= most:
         return rows
     return [*rows[:HEAD_ROWS], f"... ({len(rows) - HEAD_ROWS - TAIL_ROWS} rows omitted) ...", *rows[-TAIL_ROWS:]]
 
 
-Page = list[tuple[str, str]]  # (block_type, text)
+def _sheet(title: str, rows: list[list[str]], most: int | None = None) -> Page:
+    page, lines = Page(), cap_rows([" | ".join(r) for r in rows], most)
+    if title:
+        page.add("TEXT", title, (36.0, 36.0, WIDTH - 36.0, 60.0))
+    if lines:
+        page.add("TABLE", "\n".join(lines), (36.0, 70.0, WIDTH - 36.0, HEIGHT - 36.0))
+    return page
 
 
-def _sheet(title: str, rows: list[list[str]]) -> Page:
-    lines = cap_rows([" | ".join(r) for r in rows])
-    return ([("TEXT", title)] if title else []) + ([("TABLE", "\n".join(lines))] if lines else [])
+def _texts(texts: list[str]) -> list[Page]:
+    return [Page([("TEXT", text, None, 1.0)]) for text in texts]
 
 
-def decode_csv(data: bytes, name: str) -> list[Page]:
+def decode_csv(data: bytes, name: str, most: int | None = None) -> list[Page]:
     import csv
 
-    return [_sheet(name, list(csv.reader(io.StringIO(data.decode("utf-8", "replace"), newline=""))))]
+    return [_sheet(name, list(csv.reader(io.StringIO(data.decode("utf-8", "replace"), newline=""))), most)]
 
 
 def _tag(element: ElementTree.Element) -> str:
@@ -126,7 +158,7 @@ def _said(root: ElementTree.Element) -> str:
     return "".join(e.text or "" for e in _all(root, "t")).strip()
 
 
-def decode_xlsx(data: bytes, name: str) -> list[Page]:
+def decode_xlsx(data: bytes, name: str, most: int | None = None) -> list[Page]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         have = set(z.namelist())
         shared = []
@@ -157,7 +189,7 @@ def decode_xlsx(data: bytes, name: str) -> list[Page]:
                     cells += [""] * (max(at, len(cells) + 1) - 1 - len(cells)) + [(value or "").strip()]
                 if any(cells):
                     rows.append(cells)
-            pages.append(_sheet(sheet.get("name") or "", rows))
+            pages.append(_sheet(sheet.get("name") or "", rows, most))
         return pages or [_sheet("empty", [])]
 
 
@@ -181,26 +213,54 @@ def decode_docx(data: bytes, name: str) -> list[Page]:
     for row in (r for t in _all(root, "tbl") for r in _all(t, "tr")):
         if cells := [said for c in _all(row, "tc") if (said := _said(c))]:
             parts.append(" | ".join(cells))
-    return [[("TEXT", text)] for text in pack_text(parts)]
+    return _texts(pack_text(parts))
+
+
+def _box(shape: ElementTree.Element, width: float, height: float) -> Box:
+    """Place of a shape in points; the whole page where the file does not say (a place may come from the layout)."""
+    for frame in _all(shape, "xfrm"):
+        off, ext = next(_all(frame, "off"), None), next(_all(frame, "ext"), None)
+        if off is not None and ext is not None:
+            x, y = float(off.get("x")) * POINTS, float(off.get("y")) * POINTS
+            return x, y, min(x + float(ext.get("cx")) * POINTS, width), min(y + float(ext.get("cy")) * POINTS, height)
+    return 0.0, 0.0, width, height
+
+
+def _is_drawing(shape: ElementTree.Element) -> bool:
+    """A line, group, free form or drawn form; text boxes and placeholders are none."""
+    kind = _tag(shape)
+    if kind in ("cxnSp", "grpSp"):
+        return True
+    inside = {_tag(e) for e in shape.iter()}
+    box = any(e.get("txBox") in ("1", "true") for e in _all(shape, "cNvSpPr"))
+    return kind == "sp" and not box and "ph" not in inside and bool(inside & {"prstGeom", "custGeom"})
 
 
 def decode_pptx(data: bytes, name: str) -> list[Page]:
+    """A page per slide: shapes and tables with their boxes, pictures and drawings of the top level counted, then the notes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        names = set(z.namelist())
+        width, height = 720.0, 540.0
+        if "ppt/presentation.xml" in names:
+            for size in _all(ElementTree.fromstring(z.read("ppt/presentation.xml")), "sldSz"):
+                width, height = float(size.get("cx")) * POINTS, float(size.get("cy")) * POINTS
         pages = []
-        for k, path in slides:
+        for k, path in sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))):
             root = ElementTree.fromstring(z.read(path))
-            page: Page = []
+            page = Page(width=width, height=height)
+            for tree in _all(root, "spTree"):
+                page.images += sum(_tag(shape) == "pic" for shape in tree)
+                page.drawings += sum(_is_drawing(shape) for shape in tree)
             for shape in root.iter():
                 if _tag(shape) == "sp":
-                    lines = [said for p in _all(shape, "p") if (said := _said(p))]
-                    page += [("TEXT", "\n".join(lines))] if lines else []
-                elif _tag(shape) == "tbl":
-                    rows = [" | ".join(_said(c) for c in _all(r, "tc")) for r in _all(shape, "tr")]
-                    page += [("TABLE", "\n".join(rows))] if rows else []
+                    if lines := [said for p in _all(shape, "p") if (said := _said(p))]:
+                        page.add("TEXT", "\n".join(lines), _box(shape, width, height))
+                elif _tag(shape) == "graphicFrame":
+                    for t in _all(shape, "tbl"):
+                        page.add("TABLE", "\n".join(" | ".join(_said(c) for c in _all(r, "tc")) for r in _all(t, "tr")), _box(shape, width, height))
             notes = f"ppt/notesSlides/notesSlide{k}.xml"
-            if notes in z.namelist() and (said := _said(ElementTree.fromstring(z.read(notes)))):
-                page.append(("TEXT", said))
+            if notes in names and (said := _said(ElementTree.fromstring(z.read(notes)))):
+                page.add("TEXT", said, (0.0, height - 40.0, width, height), 0.9)
             pages.append(page)
         return pages
 
@@ -215,13 +275,13 @@ def decode_hwpx(data: bytes, name: str) -> list[Page]:
             except ElementTree.ParseError:
                 continue
             parts += [s.strip() for e in root.iter() for s in (e.text, e.tail) if s and s.strip()]
-    return [[("TEXT", text)] for text in pack_text(parts)]
+    return _texts(pack_text(parts))
 
 
 def decode_text(data: bytes, name: str) -> list[Page]:
     text = data.decode("utf-8", "replace")
     fed = [p.strip() for p in text.split("\f") if p.strip()]
-    return [[("TEXT", p)] for p in (fed if len(fed) > 1 else pack_text(text.strip().split("\n\n")))]
+    return _texts(fed if len(fed) > 1 else pack_text(text.strip().split("\n\n")))
 
 
 DECODERS: dict[str, Callable[[bytes, str], list[Page]]] = {
@@ -230,27 +290,43 @@ DECODERS: dict[str, Callable[[bytes, str], list[Page]]] = {
 }
 
 
+def _as_page(page: Page | list) -> Page:
+    """Registered decoders may give bare lists of (block_type, text)."""
+    return page if isinstance(page, Page) else Page([(kind, text, None, 1.0) for kind, text in page])
+
+
 def decode(path: str, data: bytes, decoders: dict[str, Callable[[bytes, str], list[Page]]]) -> list[tuple]:
+    """Rows of BLOCKS. A page without blocks has one row without a type, so that its number and counts are kept."""
     try:
         kind = detect_format(path)
         if kind not in decoders:
             raise ValueError(f"no decoder for {kind} is registered")
         name = re.sub(r"\.[^.]*$", "", path.rpartition("/")[2])
-        pages = decoders[kind](bytes(data), name)
-        return [(path, p, s, t, x, None) for p, blocks in enumerate(pages, 1) for s, (t, x) in enumerate(blocks)]
+        rows = []
+        for p, page in enumerate(map(_as_page, decoders[kind](bytes(data), name)), 1):
+            for s, (block, text, box, confidence) in enumerate(page.blocks or [(None, None, None, None)]):
+                place = box or (0.0, 0.0, page.width, page.height)
+                rows.append((path, p, s, block, text, *place, confidence, page.width, page.height, page.images, page.drawings, page.paths if s == 0 else None, None))
+        return rows
     except Exception as e:  # a broken file is a row, whatever is wrong with it
-        return [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+        return [(path, *[None] * 14, f"{type(e).__name__}: {e}")]
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*", decoders: dict | None = None) -> DataFrame:
-    """Block rows of all files under a path, by their extension."""
+def decode_files(files: DataFrame, decoders: dict | None = None) -> DataFrame:
+    """Block rows of files (path, content), by their extension; the rows of ``binaryFile``, streamed or not, are such."""
     used = {**DECODERS, **(decoders or {})}
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    names = [f.name for f in StructType.fromDDL(BLOCKS)]
+    whole = ("page", "seq", "image_count", "drawing_count")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for p, data in zip(part["path"], part["content"], strict=True):
-                rows = pd.DataFrame(decode(p, data, used), columns=["path", "page", "seq", "block_type", "text", "error"])
-                yield rows.astype({"page": "Int32", "seq": "Int32"})
+                yield pd.DataFrame(decode(p, data, used), columns=names).astype({c: "Int32" for c in whole})
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
+
+
+def read_files(spark: SparkSession, path: str, glob: str = "*", decoders: dict | None = None) -> DataFrame:
+    """Block rows of all files under a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return decode_files(files, decoders)

@@ -92,19 +92,14 @@ def test_office_readers(spark, tmp_path):
     assert {r["text"] for r in by["c.xlsx"]} == {"metrics", "k |  | 3"}
     assert by["d.hwpx"][0]["text"] == "first\n\nsecond"
     sheet = next(r["text"] for r in by["e.csv"] if r["block_type"] == "TABLE").split("\n")
-    assert len(sheet) == 181 and sheet[150] == "... (25 rows omitted) ..."
+    assert len(sheet) == 205
     assert sorted(r["text"] for r in by["f.txt"]) == ["page one", "page two"]
     assert "no decoder" in by["g.pdf"][0]["error"] and "BadZipFile" in by["h.docx"][0]["error"]
     text = readers.read_text(spark, str(tmp_path / "f.txt")).orderBy("page").collect()
     assert [(r["page"], r["text"]) for r in text] == [(1, "page one"), (2, "page two")]
 
 
-def test_table_versions(spark, tmp_path):
-    store = tables.ParquetTables(spark, str(tmp_path))
-    store.append("t", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
-    store.upsert("t", spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string"), ["k"])
-    assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "B"), (3, "c")]
-    assert store.versions("t") == [1, 2]
+def test_changes_of_one_key(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
     twice = spark.createDataFrame([(2, "x", 5), (2, "y", 4), (3, "z", 1)], base.schema)
     assert sorted(map(tuple, tables.upsert(base, twice, ["k"], [F.col("n")]).collect())) == [(1, "a", 1), (2, "x", 5), (3, "z", 1)]
@@ -120,7 +115,6 @@ def test_review_revise_and_gate(spark):
     verdict = {r["section_id"]: r for r in quality.technical_review(sections, pages, numbers, said).collect()}
     assert verdict["S1"]["numeric_mismatch"] == 1 and verdict["S1"]["citation_mismatch"] == 1 and verdict["S1"]["decision"] == "REVISE"
     assert verdict["S2"]["decision"] == "PASS"
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     pack = spark.createDataFrame([("S1", good)], "section_id string, pack_text string")
     done = {r["section_id"]: r for r in quality.review_loop(sections, pages, numbers, said, pack).collect()}
     assert "45%" not in done["S1"]["content_markdown"] and done["S1"]["status"] == "PASSED" and done["S2"]["revision_count"] == 0
@@ -147,9 +141,6 @@ def test_editions(spark):
     assert {r["status"] for r in editions.diff(old, old).collect()} == {"UNCHANGED"}
     nodes = spark.createDataFrame([("1", None), ("2", "1"), ("3", "2"), ("4", None)], "node_id string, parent_id string")
     assert sorted(r["node_id"] for r in editions.without_subtree(nodes, "1").collect()) == ["4"]
-    sections = spark.createDataFrame([("S", "alpha beta gamma", False, 0, 0)], "section_id string, text string, replaces boolean, metric_hits int, unsupported int")
-    none = spark.createDataFrame([], "chunk_id string, text string")
-    assert editions.impact(sections, none).first()["decision"] == "KEEP"
 
 
 def test_joins(spark):
