@@ -141,7 +141,7 @@ def set_status(tables: VersionedTables, name: str, key: str, changes: DataFrame)
 def upsert_assets(tables: VersionedTables, assets: DataFrame) -> DataFrame:
     """Visual assets (section_id, visual_type, title, path, status, seq): the last of each section and type stays. Gives (section_id, total,
     rendered, failed) of what is then there."""
-    tables.upsert("visual_assets", assets, ["section_id", "visual_type"], key="section_id", order=[F.col("seq")])
+    tables.upsert("visual_assets", assets, ["section_id", "visual_type"], key="section_id", order=[F.col(c) for c in ("seq", "title", "path", "status")])
     return asset_counts(tables)
 
 

@@ -101,7 +101,7 @@ def page_lines(spark, sf_dir):
     """Turns as pages: of five recognised lines of each, those that the turn's text and the lines before do not hold."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("page"), "text").where("text IS NOT NULL")
     fresh = F.concat(F.lit("Qqzzkk 가나 "), F.col("page").cast("string"))
-    said = F.array(F.upper("text"), F.replace("text", F.lit(" "), F.lit("")), fresh, F.replace(F.lower(fresh), F.lit(" "), F.lit("--")), F.lit("x"))
+    said = F.array(F.concat(F.lit("- "), "text", F.lit(" -")), F.replace("text", F.lit(" "), F.lit("")), fresh, F.replace(F.lower(fresh), F.lit(" "), F.lit("--")), F.lit("x"))
     lines = turns.select("source_id", "page", F.posexplode(said).alias("seq", "text"))
     found = evidence.new_lines(lines, turns)
     return found.select(F.col("source_id").alias("conv_id"), F.col("page").alias("turn"), F.col("seq").cast("long").alias("seq"), "text")

@@ -70,7 +70,7 @@ def plan_records(spark, sf_dir):
     records.approve(tables, ids.where("key % 2 = 0"), "t1")
     records.update_plans(tables, ids.where("key % 5 = 0").select("plan_id", F.concat(F.lit("new "), "key").alias("title"), null.alias("purpose")))
     count = tables.read("outline_nodes").groupBy("outline_id").agg(F.count("*").alias("n_nodes"), F.max("order").cast("long").alias("last_order"))
-    out = tables.read("report_plans").join(tables.read("outlines"), "plan_id").join(count, "outline_id", "left").na.fill(0, ["n_nodes"])
+    out = tables.read("report_plans").join(tables.read("outlines"), "plan_id").join(count, "outline_id", "left").na.fill(0, ["n_nodes", "last_order"])
     said = payload.field(F.col("payload_json"), "$.title", "string")
     return out.select(F.col("project_id").cast("long").alias("c_custkey"), "title", said.alias("payload_title"), "purpose", "version", "approved", "approved_at", "n_nodes", "last_order")
 
@@ -81,7 +81,7 @@ def review_records(spark, sf_dir):
     grave = F.when(F.col("l_discount") > 0.08, "CRITICAL").when(F.col("l_returnflag") == "R", "MAJOR").otherwise("MINOR")
     item = F.struct(
         F.col("l_linenumber").alias("line"), grave.alias("severity"), F.lit("LINE").alias("issue_type"), F.col("l_linenumber").cast("string").alias("paragraph_id"),
-        F.col("l_shipmode").alias("description"), F.lit("check").alias("recommendation"),
+        F.col("l_returnflag").alias("description"), F.lit("check").alias("recommendation"),
     )
     found = lines.where("l_quantity > 10").groupBy(F.col("l_orderkey").cast("string").alias("section_id")).agg(F.array_sort(F.collect_list(item)).alias("issues"))
     reviews = found.select("section_id", F.lit("technical").alias("reviewer_type"), F.lit("REVISE").alias("decision"), F.lit("{}").alias("payload_json"), F.lit("t0").alias("created_at"), "issues")
@@ -104,15 +104,16 @@ def edition_numbers(spark, sf_dir):
         records.create_editions(tables, rows.where(F.col("o_orderkey") % 2 == rest).drop("o_orderkey"))
     made = tables.read("report_editions")
     parents = made.select(F.col("edition_id").alias("parent_edition_id"), F.col("corpus_snapshot_id").cast("long").alias("parent_orderkey"))
-    return made.join(parents, "parent_edition_id", "left").select(F.col("corpus_snapshot_id").cast("long").alias("o_orderkey"), "edition_number", "parent_orderkey", "status")
+    out = made.join(parents, "parent_edition_id", "left").na.fill(0, ["parent_orderkey"])
+    return out.select(F.col("corpus_snapshot_id").cast("long").alias("o_orderkey"), "edition_number", "parent_orderkey", "status")
 
 
 def asset_counts(spark, sf_dir):
-    """Lines as drawn assets of orders by ship mode, in two writes: what is rendered in the end."""
+    """Lines as drawn assets of orders by their supplier, in two writes: what is rendered in the end."""
     lines = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "N", "RENDERED").when(F.col("l_returnflag") == "R", "FAILED").otherwise("PLANNED")
     rows = lines.select(
-        F.col("l_orderkey").alias("section_id"), F.col("l_shipmode").alias("visual_type"), F.lit("t").alias("title"), F.lit("p").alias("path"), status.alias("status"), F.col("l_linenumber").alias("seq")
+        F.col("l_orderkey").alias("section_id"), (F.col("l_suppkey") % 3).cast("string").alias("visual_type"), F.lit("t").alias("title"), F.lit("p").alias("path"), status.alias("status"), F.col("l_linenumber").alias("seq")
     )
     tables = _tables(spark, "assets")
     records.upsert_assets(tables, rows.where("seq <= 3"))
@@ -160,7 +161,7 @@ def impact_decision(spark, sf_dir):
 def claim_relations(spark, sf_dir):
     """Typed edges from claims to new metrics and texts."""
     _, claims, metrics, chunks = _edition(spark, sf_dir)
-    return impact.relations(claims, metrics, chunks)
+    return impact.relations(claims, metrics, chunks).na.fill(-1, ["metric_id"])
 
 
 def section_run(spark, sf_dir):
@@ -202,7 +203,7 @@ def drawing_primitives(spark, sf_dir):
     op = F.get(F.array(*map(F.lit, ("l", "re", "c"))), (F.col("l_linenumber") % 4).cast("int"))
     points = F.when(op == "c", F.array(at(x1, y1), at(x0, x0), at(y1, y1), at(x0, y0))).otherwise(F.array(at(x0, y0), at(x1, y1)))
     items = F.when(op.isNull(), F.array().cast("array<struct<op:string,points:array<struct<x:double,y:double>>>>")).otherwise(F.array(F.struct(op.alias("op"), points.alias("points"))))
-    path = F.struct(F.col("l_linenumber").alias("n"), F.struct(x0.alias("x0"), y0.alias("y0"), (x1 + 10).alias("x1"), (y1 + 10).alias("y1"), items.alias("items")).alias("p"))
+    path = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(x0.alias("x0"), y0.alias("y0"), (x1 + 10).alias("x1"), (y1 + 10).alias("y1"), items.alias("items")).alias("p"))
     pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.array_sort(F.collect_list(path)).alias("p"))
     found = graphs.primitives(pages.select("source_id", F.lit(1).alias("page"), F.col("p.p").alias("paths")))
     size = F.when(F.col("kind") == "rect", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).otherwise(F.col("px1") - F.col("px0"))
@@ -243,7 +244,7 @@ ORACLE_SQL = {
         FROM p""",
     "plan_records": """
         WITH n AS (SELECT o_custkey, count(*) FILTER (o_custkey % 3 <> 0 OR o_orderstatus = 'F')::BIGINT AS n_nodes,
-            max(o_orderkey) FILTER (o_custkey % 3 <> 0 OR o_orderstatus = 'F') AS last_order FROM orders GROUP BY o_custkey)
+            coalesce(max(o_orderkey) FILTER (o_custkey % 3 <> 0 OR o_orderstatus = 'F'), 0) AS last_order FROM orders GROUP BY o_custkey)
         SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new ' || c_custkey ELSE c_name END AS title, CASE WHEN c_custkey % 5 = 0 THEN 'new ' || c_custkey ELSE c_name END AS payload_title,
             'why' AS purpose, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, c_custkey % 2 = 0 AS approved, CASE WHEN c_custkey % 2 = 0 THEN 't1' END AS approved_at, n_nodes, last_order
         FROM customer JOIN n ON o_custkey = c_custkey""",
@@ -252,16 +253,16 @@ ORACLE_SQL = {
         SELECT l_orderkey, count(*)::BIGINT AS n_issues, count(*) FILTER (l_linenumber % 2 = 1)::BIGINT AS n_open,
             ['CRITICAL', 'MAJOR', 'MINOR'][min(s) FILTER (l_linenumber % 2 = 1)] AS worst_open FROM i GROUP BY l_orderkey""",
     "edition_numbers": """
-        SELECT o_orderkey, row_number() OVER w AS edition_number, lag(o_orderkey) OVER w AS parent_orderkey, 'PRODUCING' AS status FROM orders
+        SELECT o_orderkey, row_number() OVER w AS edition_number, coalesce(lag(o_orderkey) OVER w, 0) AS parent_orderkey, 'PRODUCING' AS status FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderdate::DATE, o_orderkey)""",
     "asset_counts": """
-        WITH l AS (SELECT l_orderkey, l_shipmode, last(l_returnflag ORDER BY l_linenumber) AS f FROM lineitem GROUP BY ALL)
-        SELECT l_orderkey AS section_id, count(*)::BIGINT AS total, count_if(f = 'N')::BIGINT AS rendered, count_if(f = 'R')::BIGINT AS failed FROM l GROUP BY 1""",
+        WITH l AS (SELECT l_orderkey, l_suppkey % 3 AS kind, arg_max(CASE l_returnflag WHEN 'N' THEN 'RENDERED' WHEN 'R' THEN 'FAILED' ELSE 'PLANNED' END, (l_linenumber, CASE l_returnflag WHEN 'N' THEN 3 WHEN 'R' THEN 1 ELSE 2 END)) AS f FROM lineitem GROUP BY ALL)
+        SELECT l_orderkey AS section_id, count(*)::BIGINT AS total, count_if(f = 'RENDERED')::BIGINT AS rendered, count_if(f = 'FAILED')::BIGINT AS failed FROM l GROUP BY 1""",
     "payload_updates": """
         WITH p AS (SELECT o_orderkey, json_object('status', o_orderstatus, 'total', o_totalprice, 'dates', json_object('year', year(o_orderdate), 'mark', '} {')) AS j, o_orderpriority AS note FROM orders),
         q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN json_merge_patch(j, json_object('status', 'X', 'note', note)) ELSE j END AS j FROM p)
         SELECT o_orderkey, j->>'$.status' AS status, j->>'$.note' AS note, (j->>'$.total')::DOUBLE AS total, (j->>'$.dates.year')::BIGINT AS year, j->>'$.dates.mark' AS mark FROM q""",
-    "claim_relations": f"WITH {_EDITION} SELECT section_id, claim_id, relation, metric_id FROM edges",
+    "claim_relations": f"WITH {_EDITION} SELECT section_id, claim_id, relation, coalesce(metric_id, -1) AS metric_id FROM edges",
     "impact_decision": f"""
         WITH {_EDITION},
         src AS (SELECT conv_id AS doc_id, substr(body, 1, 4000) AS text FROM sections WHERE trim(substr(body, 1, 4000), ' ') <> ''
@@ -274,7 +275,7 @@ ORACLE_SQL = {
         weights AS (SELECT doc_id, ('0x' || substr(md5(t), 31, 2))::BIGINT AS dim, sum(CASE WHEN (('0x' || substr(md5(t), 30, 1))::BIGINT & 1) = 1 THEN 1 ELSE -1 END)::BIGINT AS w FROM toks GROUP BY ALL),
         cosines AS (SELECT a.doc_id, round(sum(a.w * coalesce(q.w, 0)) / sqrt(sum(a.w * a.w)::DOUBLE * (SELECT sum(w * w) FROM weights WHERE doc_id = -1)::DOUBLE), 6) AS c
             FROM weights a LEFT JOIN (SELECT * FROM weights WHERE doc_id = -1) q USING (dim) WHERE a.doc_id <> -1 GROUP BY a.doc_id HAVING sum(a.w * a.w) > 0),
-        overlaps AS (
+        shared AS (
             SELECT conv_id, count(*) AS n, max(k) / 10.0 AS best FROM (
                 SELECT conv_id, item_id, len(list_intersect({_TOK.format("s.title || chr(10)")}, {_TOK.format('b.text')})) AS k FROM sections s, benchmark b)
             WHERE k >= 6 GROUP BY conv_id),
@@ -284,7 +285,7 @@ ORACLE_SQL = {
         facts AS (
             SELECT s.conv_id, r.section_id IS NOT NULL AS replaces, h.conv_id IS NOT NULL AS metric_hit, coalesce(o.n, 0) AS chunk_hits,
                 greatest(coalesce(o.best, 0)::DOUBLE, coalesce(c, 0)::DOUBLE) AS score, coalesce(b.n, 0) AS unsupported
-            FROM sections s LEFT JOIN replaced r ON r.section_id = s.conv_id LEFT JOIN hit h ON h.conv_id = s.conv_id LEFT JOIN overlaps o ON o.conv_id = s.conv_id
+            FROM sections s LEFT JOIN replaced r ON r.section_id = s.conv_id LEFT JOIN hit h ON h.conv_id = s.conv_id LEFT JOIN shared o ON o.conv_id = s.conv_id
                 LEFT JOIN cosines ON doc_id = s.conv_id LEFT JOIN bare b ON b.conv_id = s.conv_id
         ),
         rules AS (SELECT * FROM (VALUES (1, 'FULL_REWRITE'), (2, 'PARTIAL_REWRITE'), (3, 'LIGHT_EDIT'), (4, 'UPDATE_CITATION'), (5, 'KEEP')) AS t(rule, decision)),
@@ -302,12 +303,12 @@ ORACLE_SQL = {
             coalesce(string_agg(DISTINCT 'SRC' || o_custkey || ':p.' || (o_orderkey % 7), ',' ORDER BY 'SRC' || o_custkey || ':p.' || (o_orderkey % 7)), '') AS places
         FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') ON o_custkey = c_custkey GROUP BY c_custkey""",
     "drawing_primitives": """
-        WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS op, l_quantity::DOUBLE AS x0, (l_partkey % 50)::DOUBLE AS y0, round(l_discount * 100)::DOUBLE AS w, round(l_tax * 100)::DOUBLE AS h FROM lineitem),
+        WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linenumber % 4 AS op, l_quantity::DOUBLE AS x0, (l_partkey % 50)::DOUBLE AS y0, round(l_discount * 100)::DOUBLE AS w, round(l_tax * 100)::DOUBLE AS h FROM lineitem),
         i AS (
-            SELECT l_orderkey, l_linenumber, 0 AS part, 'line' AS kind, w AS size FROM b WHERE op = 0 AND w + h >= 8
-            UNION ALL SELECT l_orderkey, l_linenumber, 0, 'rect', w * h FROM b WHERE op = 1 AND w * h >= 40
-            UNION ALL SELECT l_orderkey, l_linenumber, 0, 'line', -w FROM b WHERE op = 2
-            UNION ALL SELECT l_orderkey, l_linenumber, 1, 'rect', (w + 10) * (h + 10) FROM b WHERE op <> 1 AND (w + 10) * (h + 10) >= 200
+            SELECT *, 0 AS part, 'line' AS kind, w AS size FROM b WHERE op = 0 AND w + h >= 8
+            UNION ALL SELECT *, 0, 'rect', w * h FROM b WHERE op = 1 AND w * h >= 40
+            UNION ALL SELECT *, 0, 'line', 0 - w FROM b WHERE op = 2
+            UNION ALL SELECT *, 1, 'rect', (w + 10) * (h + 10) FROM b WHERE op <> 1 AND (w + 10) * (h + 10) >= 200
         )
-        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, part) - 1 AS seq, kind, round(size, 4) AS size FROM i""",
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, part) - 1 AS seq, kind, round(size, 4) AS size FROM i""",
 }

@@ -103,20 +103,26 @@ def ingest_batch(
     tables: VersionedTables, postings: Postings, store: VectorStore, files: DataFrame, batch: Batch, decoders: dict | None = None,
     watch: Callable[[str], None] = lambda table: None,
 ) -> None:
-    """All rows of files (path, content) under one batch; ``watch`` is told the name of each table that is written."""
+    """All rows of files (path, content) under one batch; ``watch`` is told the name of each table that is written.
+
+    Decoded files, pages, blocks and chunks are staged, so that each is made once for all the tables that need it.
+    """
     spark = files.sparkSession
     staged = f"{tables.root}/_staged/{batch[0]}-{batch[1]}"
-    decoded(files, decoders).write.mode("overwrite").parquet(staged)
-    rows = spark.read.parquet(staged)
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{staged}/{name}")
+        return spark.read.parquet(f"{staged}/{name}")
+
+    rows = stage("decoded", decoded(files, decoders))
     sources = rows.select("source_id").distinct()
     good = rows.where("error IS NULL")
-    blocks = good.where("block_type IS NOT NULL")
-    pages = page_rows(good)
-    typed = blocks.join(pages.select("source_id", "page", "page_type"), layout.PAGE)
-    usable = typed.where((F.col("block_type") != "IMAGE") & (F.trim("text") != ""))
+    pages = stage("pages", page_rows(good))
+    typed = good.where("block_type IS NOT NULL").join(pages.select("source_id", "page", "page_type"), layout.PAGE)
+    usable = stage("blocks", typed.where((F.col("block_type") != "IMAGE") & (F.trim("text") != "")))
     said = pages.select("source_id", F.col("page").alias("page_number"), F.col("full_text").alias("text"))
     facts, edges = structure_rows(pages, typed)
-    chunks = retrieval.chunk_pages(usable).withColumn("chunk_id", content_id("CHK", "source_id", "page", "chunk_no"))
+    chunks = stage("chunks", retrieval.chunk_pages(usable).withColumn("chunk_id", content_id("CHK", "source_id", "page", "chunk_no")))
     made = {"pages": pages, "blocks": usable.drop("path", "paths", "error"), "metric_facts": metrics.metric_facts(said), "structure_facts": facts, "structure_edges": edges, "chunks": chunks}
     for name, table in made.items():
         tables.replace_keys(name, table, "source_id", batch=batch, keys=sources)
