@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import place
+
 # White space of the word definition, the symbols, and the base limits.
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -59,11 +61,13 @@ def _count_of(text: Column, characters: str) -> Column:
 
 
 def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and the measurements that the rules need (one pass, no shuffle)."""
-    taken = (*MEASURES, "failed")
-    kept = [c for c in docs.columns if c in (id_col, text_col) or c.lower() not in taken]
-    # The other columns ride in one struct, so that no name of theirs meets one of these steps.
-    step = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("rest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """All columns of docs, whatever their names, and the measurements that the rules need (one pass, no shuffle)."""
+    names, taken = docs.columns, (*MEASURES, "failed")
+    at = (place(docs, id_col), place(docs, text_col))
+    kept = [k for k, c in enumerate(names) if k in at or c.lower() not in taken]
+    # Columns go by their places, and ride in one struct, so that no name of theirs meets one of these steps.
+    marks = [f"c{k}" for k in range(len(names))]
+    step = docs.toDF(*marks).select(F.struct(*(marks[k] for k in kept)).alias("rest"), F.coalesce(F.col(marks[at[1]]), F.lit("")).alias("text"))
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, WHITE, "")) > 0)
     step = step.withColumns({"_q_words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), "_q_lines": lines})
@@ -104,7 +108,7 @@ def measure(docs: DataFrame, lexicon: list[str] | None = None, id_col: str = "do
     }
     # A generator, unlike a projection, lets no filter on a measurement copy its expressions further down.
     made = F.inline(F.array(F.struct(*(value.alias(name) for name, value in out.items()))))
-    return step.select(*(F.col("rest").getField(c).alias(c) for c in kept), made)
+    return step.select(*(F.col("rest").getField(marks[k]) for k in kept), made).toDF(*(names[k] for k in kept), *out)
 
 
 def _insults(text: Column, lexicon: list[str]) -> Column:
