@@ -32,6 +32,8 @@ def nodes(blocks: DataFrame, skip: tuple[str, ...] = SKIP_LABELS) -> DataFrame:
     return out.select(*PAGE, "idx", F.concat(F.lit("N"), "idx").alias("node_id"), "label", "x0", "y0", "x1", "y1", "width", "height")
 
 
+# How sure an edge is, and the longest label that names a medium.
+LINE_CONFIDENCE, COLUMN_CONFIDENCE, MEDIUM_CHARS = 0.82, 0.62, 12
 LEAST_LINE, LEAST_RECT, LEAST_SHAPE = 8, 40, 200  # points; square points
 
 
@@ -75,7 +77,7 @@ def _on_page(df: DataFrame) -> DataFrame:
 
 
 def line_edges(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edges (page, seq, src, dst, label) between the nodes nearest to the ends of lines (page, seq, px0, py0, px1, py1)."""
+    """Edges (page, seq, src, dst, label, medium, confidence) between the nodes nearest to the ends of lines (page, seq, px0, py0, px1, py1)."""
     tolerance = F.greatest(F.lit(28.0), F.col("width") * 0.035)
     spots = F.array(
         F.struct(F.lit(0).alias("end"), F.col("px0").alias("px"), F.col("py0").alias("py"), F.lit(1.0).alias("reach")),
@@ -92,22 +94,24 @@ def line_edges(found: DataFrame, lines: DataFrame) -> DataFrame:
     ends = ends.where("src IS NOT NULL AND dst IS NOT NULL AND src != dst")
     names = _on_page(found).select("page", F.col("node_id").alias("mid"), "label")
     out = ends.join(names, ["page", "mid"], "left").withColumn("label", F.when(~F.col("mid").isin(F.col("src"), F.col("dst")), F.col("label")))
-    return joins_first(out.select("page.source_id", "page.page", "seq", "src", "dst", "label"))
+    medium = F.when(F.length("label") <= MEDIUM_CHARS, F.col("label"))
+    return joins_first(out.select("page.source_id", "page.page", "seq", "src", "dst", "label", medium.alias("medium"), F.lit(LINE_CONFIDENCE).alias("confidence")))
 
 
 def column_edges(found: DataFrame) -> DataFrame:
     """Edges between neighbours of a column that are stacked closely."""
+    nothing = F.lit(None).cast("string")
     columned = clusters(found.withColumns({"seq": F.col("idx"), "block_type": F.lit("TEXT"), "text": F.col("label")}), "x")
     w = Window.partitionBy(*PAGE, "cluster").orderBy((F.col("y0") + F.col("y1")) / 2, "idx")
     pairs = columned.withColumns({"dst": F.lead("node_id").over(w), "gap": F.lead("y0").over(w) - F.col("y1")})
     pairs = pairs.where(F.col("dst").isNotNull() & (F.col("gap") <= F.col("width") * 0.15))
-    return pairs.select(*PAGE, (F.lit(1_000_000) + F.col("cluster") * 1000 + F.col("idx")).alias("seq"), F.col("node_id").alias("src"), "dst", F.lit(None).cast("string").alias("label"))
+    return pairs.select(*PAGE, (F.lit(1_000_000) + F.col("cluster") * 1000 + F.col("idx")).alias("seq"), F.col("node_id").alias("src"), "dst", nothing.alias("label"), nothing.alias("medium"), F.lit(COLUMN_CONFIDENCE).alias("confidence"))
 
 
 def joins_first(edges: DataFrame) -> DataFrame:
     """(a, b) and (b, a) of a page are one edge; the first stays."""
     keyed = edges.withColumns({"_a": F.least("src", "dst"), "_b": F.greatest("src", "dst")})
-    return first_per_key(keyed, [*PAGE, "_a", "_b"], [F.col("seq")]).drop("_a", "_b").select("source_id", "page", "seq", "src", "dst", "label")
+    return first_per_key(keyed, [*PAGE, "_a", "_b"], [F.col("seq")]).drop("_a", "_b").select("source_id", "page", "seq", "src", "dst", "label", "medium", "confidence")
 
 
 def groups(found: DataFrame, rects: DataFrame) -> DataFrame:
@@ -123,13 +127,34 @@ def groups(found: DataFrame, rects: DataFrame) -> DataFrame:
     return inside.join(label, ["page", "rect_id"]).select("page.source_id", "page.page", "node_id", "group")
 
 
+BAND_NODES, BAND_NAME = 4, 20  # nodes of a page that has bands, and the longest label that names one
+
+
+def band_groups(found: DataFrame) -> DataFrame:
+    """(page, node_id, group): columns of two nodes or more, on pages of four nodes and two columns or more, named by the topmost
+    label or, where that is long, by their number from the left."""
+    columned = clusters(found.withColumns({"seq": F.col("idx"), "block_type": F.lit("TEXT"), "text": F.col("label")}), "x")
+    bands = columned.groupBy(*PAGE, "cluster").agg(F.count("*").alias("k"), F.min_by("label", F.struct("y0", "idx")).alias("head"))
+    pages = bands.groupBy(*PAGE).agg(F.count("*").alias("bands"), F.sum("k").alias("n")).where((F.col("bands") >= 2) & (F.col("n") >= BAND_NODES))
+    name = F.when(F.length("head") <= BAND_NAME, F.col("head")).otherwise(F.concat(F.lit("열"), (F.col("cluster") + 1).cast("string")))
+    named = bands.where("k >= 2").join(pages.select(*PAGE), PAGE, "left_semi").select(*PAGE, "cluster", name.alias("group"))
+    return columned.join(named, [*PAGE, "cluster"]).select(*PAGE, "node_id", "group")
+
+
+def grouped_nodes(found: DataFrame, rects: DataFrame) -> DataFrame:
+    """(page, node_id, group) by rectangles; by columns on pages where no rectangle holds a node."""
+    boxed = groups(found, rects)
+    rest = found.join(boxed.select(*PAGE).distinct(), PAGE, "left_anti")
+    return boxed.unionByName(band_groups(rest))
+
+
 def graph_facts(found: DataFrame, lines: DataFrame, rects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, edges): per page kind, confidence and status of its graph; pages with under two nodes have none."""
     by_line = line_edges(found, lines)
     counts = by_line.groupBy(*PAGE).agg(F.count("*").alias("n_line"))
     lined = counts.where("n_line >= 2").select(*PAGE)
     edges = joins_first(by_line.unionByName(column_edges(found).join(lined, PAGE, "left_anti")))
-    grouped = groups(found, rects).groupBy(*PAGE).agg(F.sort_array(F.collect_set("group")).alias("groups"))
+    grouped = grouped_nodes(found, rects).groupBy(*PAGE).agg(F.sort_array(F.collect_set("group")).alias("groups"))
     boxes = rects.groupBy(*PAGE).agg(F.count("*").alias("n_rects"))
     facts = found.groupBy(*PAGE).agg(F.count("*").alias("n_nodes"), F.avg(F.length("label")).alias("avg_label")).where("n_nodes >= 2")
     facts = facts.join(counts, PAGE, "left").join(edges.groupBy(*PAGE).agg(F.count("*").alias("n_edges")), PAGE, "left")

@@ -36,6 +36,7 @@ MIME = {
 }
 PAGE_CHARS = 3000
 HEAD_ROWS, TAIL_ROWS = 150, 30
+ROWS_AT_ONCE = 2000
 WIDTH, HEIGHT = 612.0, 792.0  # of a page that has no size, in points
 POINTS = 72.0 / 914400.0  # per unit of an office drawing
 BLOCKS = (
@@ -318,10 +319,19 @@ def decode_files(files: DataFrame, decoders: dict | None = None) -> DataFrame:
     names = [f.name for f in StructType.fromDDL(BLOCKS)]
     whole = ("page", "seq", "image_count", "drawing_count")
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in whole})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            rows: list[tuple] = []
             for p, data in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame(decode(p, data, used), columns=names).astype({c: "Int32" for c in whole})
+                rows += decode(p, data, used)
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
