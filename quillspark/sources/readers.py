@@ -252,13 +252,14 @@ def decode_pptx(data: bytes, name: str) -> list[Page]:
             for tree in _all(root, "spTree"):
                 page.images += sum(_tag(shape) == "pic" for shape in tree)
                 page.drawings += sum(_is_drawing(shape) for shape in tree)
+            places = {id(t): _box(frame, width, height) for frame in _all(root, "graphicFrame") for t in _all(frame, "tbl")}
             for shape in root.iter():
                 if _tag(shape) == "sp":
                     if lines := [said for p in _all(shape, "p") if (said := _said(p))]:
                         page.add("TEXT", "\n".join(lines), _box(shape, width, height))
-                elif _tag(shape) == "graphicFrame":
-                    for t in _all(shape, "tbl"):
-                        page.add("TABLE", "\n".join(" | ".join(_said(c) for c in _all(r, "tc")) for r in _all(t, "tr")), _box(shape, width, height))
+                elif _tag(shape) == "tbl":
+                    rows = [" | ".join(_said(c) for c in _all(r, "tc")) for r in _all(shape, "tr")]
+                    page.add("TABLE", "\n".join(rows), places.get(id(shape)))
             notes = f"ppt/notesSlides/notesSlide{k}.xml"
             if notes in names and (said := _said(ElementTree.fromstring(z.read(notes)))):
                 page.add("TEXT", said, (0.0, height - 40.0, width, height), 0.9)

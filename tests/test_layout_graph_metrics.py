@@ -52,7 +52,8 @@ def test_graphs(spark):
     found = graphs.nodes(blocks(spark, boxes, 700).withColumn("height", F.lit(400.0)))
     facts, edges = graphs.graph_facts(found, lines, rects)
     row = facts.first()
-    assert row["n_nodes"] == 8 and row["kind"] == "PROCESS" and edges.count() == 5
+    assert row["n_nodes"] == 8 and row["kind"] == "ARCHITECTURE" and edges.count() == 5  # three columns make groups
+    assert sorted(row["groups"]) == ["단계0", "단계1", "단계2"]
     boxes = [("서버 구역", (60, 60, 140, 80)), ("웹", (60, 120, 140, 150)), ("앱", (60, 200, 140, 230)), ("외부", (420, 60, 500, 80)), ("사용자", (420, 130, 500, 160))]
     found = graphs.nodes(blocks(spark, [(t if len(t) > 1 else t + "서버", b) for t, b in boxes], 600).withColumn("height", F.lit(300.0)))
     rects = spark.createDataFrame([("s", 1, 0, 40.0, 40.0, 180.0, 260.0), ("s", 1, 1, 400.0, 40.0, 540.0, 200.0)], rects.schema)
