@@ -11,29 +11,36 @@ from ..functions import text as T
 
 WORDS_AT_ONCE = 100_000
 SAMPLE = 0.02  # of the left rows, to tell common words
+TOKENS_AT_ONCE = 500_000  # tokens of all right rows, each a word and an id, that every task may hold
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int, left_text: str = "text", right_text: str = "text") -> DataFrame:
-    """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more.
+    """(left_id, right_id, shared): pairs that share ``least`` distinct tokens or more; ids are those of one row each.
 
-    A pair that shares so many has one among the tokens of the right row that are left when any ``least - 1`` of them are put
-    aside. Those that a sample of the left rows holds most often are put aside, so common words make no pairs. Left rows
-    meet the right ones on the others only, and rows of a pair alone are then compared whole. Any order of tokens gives
-    the same result.
+    Right rows of ``TOKENS_AT_ONCE`` tokens together, which are counted first, go to all tasks: left rows are read once
+    and their pairs are counted where they are read, so that counts alone are shuffled. With more, pairs meet on rare tokens
+    only, and their tokens are joined back and counted. Both ways give the same rows.
     """
-    told = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b"))
-    told = told.select(right_id, F.explode("_b").alias("token"))
+    told = right.select(right_id, F.explode(T.overlap_tokens(F.col(right_text))).alias("token"))
     asked = left.select(left_id, F.explode(T.overlap_tokens(F.col(left_text))).alias("token"))
-    sampled = left.sample(SAMPLE, seed=1).select(F.explode(T.overlap_tokens(F.col(left_text))).alias("token"))
-    often = sampled.groupBy("token").agg(F.count("*").alias("n"))
+    if told.limit(TOKENS_AT_ONCE + 1).count() <= TOKENS_AT_ONCE:
+        met = asked.join(F.broadcast(told), "token")
+    else:
+        often = left.sample(SAMPLE, seed=1).select(F.explode(T.overlap_tokens(F.col(left_text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        pairs = asked.join(_rare_tokens(told, often, right_id, least), "token").select(left_id, right_id).distinct()
+        met = pairs.join(told, right_id).join(asked, [left_id, "token"])
+    return met.groupBy(left_id, right_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def _rare_tokens(told: DataFrame, often: DataFrame, right_id: str, least: int) -> DataFrame:
+    """(right_id, token): the tokens of a row but for the ``least - 1`` that ``often`` (token, n) counts most.
+
+    A pair that shares ``least`` tokens shares one of these, whatever tokens are put aside; with the common ones aside,
+    common words make no pairs.
+    """
     order = Window.partitionBy(right_id).orderBy(F.desc_nulls_last("n"), F.length("token"), "token")
     ranked = told.join(often, "token", "left").select(right_id, "token", F.row_number().over(order).alias("k"))
-    keys = ranked.where(F.col("k") >= least).select(right_id, "token")
-    pairs = asked.join(keys, "token").select(left_id, right_id).distinct()
-    a = left.join(pairs.select(left_id).distinct(), left_id, "left_semi").select(left_id, T.overlap_tokens(F.col(left_text)).alias("_a"))
-    b = right.select(right_id, T.overlap_tokens(F.col(right_text)).alias("_b"))
-    met = pairs.join(b, right_id).join(a, left_id)
-    return met.select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    return ranked.where(F.col("k") >= least).select(right_id, "token")
 
 
 def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float, within: str | None = None) -> DataFrame:
@@ -44,22 +51,20 @@ def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float, within:
     missing and one more, have one in common, whatever the order. Long tokens come first, as they are the rarer ones, and
     no count of tokens is needed. Equal sizes bound the rest, and rows of a pair alone are compared whole.
     """
-    sets = rows.select(key, F.col(tokens).alias("_t"), *([F.col(within).alias("_w")] if within else [])).where(F.size("_t") > 0)
+    sets = rows.select(key, F.col(tokens).alias("_t"), (F.col(within) if within else F.lit(0)).alias("_w"))
+    # The shuffle by key serves the joins below too, so that tokens are made once.
+    sets = sets.where((F.size("_t") > 0) & F.col("_w").isNotNull()).repartition(key)
     first = F.array_sort(F.transform("_t", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
     size = F.size("_t")
     kept = size - F.floor(above * size).cast("int")  # more than floor(above * size) tokens are shared
-    group = [F.col("_w")] if within else []
-    keys = sets.select(F.col(key).alias("_key"), *group, size.alias("_n"), F.explode(F.slice(first, F.lit(1), kept)).alias("f"))
-    keys = keys.select("_key", *group, "_n", F.col("f.t").alias("token"))
+    keys = sets.select(F.col(key).alias("_key"), "_w", size.alias("_n"), F.explode(F.slice(first, F.lit(1), kept)).alias("f"))
+    keys = keys.select("_key", "_w", "_n", F.col("f.t").alias("token"))
     x, y = keys.alias("x"), keys.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._key") < F.col("y._key")) & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
-    if within:
-        met = met & (F.col("x._w") == F.col("y._w"))
-    pairs = x.join(y, met).select(F.col("x._key").alias("a"), F.col("y._key").alias("b")).distinct()
-    named = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-    whole = sets.select(key, "_t").join(named, key, "left_semi")
-    left, right = (whole.select(F.col(key).alias(n), F.col("_t").alias(f"_{n}")) for n in "ab")
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._w") == F.col("y._w")) & (F.col("x._key") < F.col("y._key"))
+    met = met & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
+    pairs = x.join(y, met).select(F.col("x._key").alias("a"), F.col("y._key").alias("b"), "x._w").distinct()
+    left, right = (sets.select(F.col(key).alias(n), F.col("_t").alias(f"_{n}"), "_w") for n in "ab")
+    found = pairs.join(left, ["a", "_w"]).join(right, ["b", "_w"]).select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
     return found.where(F.col("jaccard") > above)
 
 

@@ -21,9 +21,22 @@ PLACE = ["source_id", "page", "seq", "block_id"]
 
 
 def terms_of(blocks: DataFrame) -> DataFrame:
-    """(term, source_id, page, seq, block_id, positions): positions are those of the block's tokens, from 0, ascending."""
-    tokens = blocks.select(*PLACE, F.posexplode(T.search_tokens(F.col("text"))).alias("position", "term"))
-    return tokens.groupBy("term", *PLACE).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """(term, source_id, page, seq, block_id, positions): positions are those of the block's tokens, from 0, ascending.
+
+    A block's tokens are sorted with their positions in its row, so that equal ones lie side by side: nothing is shuffled.
+    Rows that repeat a block give postings of their own.
+    """
+    tokens = F.transform(T.search_tokens(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    rows = blocks.select(*PLACE, F.sort_array(tokens).alias("told"))
+    term = lambda i: F.get("told", i)["term"]
+    first = F.filter(F.sequence(F.lit(0), F.size("told")), lambda i: (i < F.size("told")) & ((i == 0) | (term(i) != term(i - 1))))
+    rows = rows.withColumn("first", first)
+
+    def posting(at: Column, k: Column) -> Column:
+        same = F.slice("told", at + 1, F.coalesce(F.get("first", k + 1), F.size("told")) - at)
+        return F.struct(term(at).alias("term"), same["position"].alias("positions"))
+
+    return rows.select(*PLACE, F.explode(F.transform("first", posting)).alias("p")).select("p.term", *PLACE, "p.positions")
 
 
 class Postings:
@@ -69,7 +82,7 @@ class Postings:
         places = {t: F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))) for t in terms}
         alias = {t: f"p{i}" for i, t in enumerate(terms)}
         # One row per block; of each term the positions in it.
-        rows = held.groupBy(*PLACE).agg(F.count("*").alias("_n"), *(c.alias(alias[t]) for t, c in places.items())).where(F.col("_n") == len(terms))
+        rows = held.groupBy(*PLACE).agg(F.count_distinct("term").alias("_n"), *(c.alias(alias[t]) for t, c in places.items())).where(F.col("_n") == len(terms))
         for phrase in (p for p in phrases if len(p) > 1):
             rows = rows.where(F.size(starts([F.col(alias[t]) for t in phrase])) > 0)
         return rows.select(*PLACE)

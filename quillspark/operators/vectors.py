@@ -89,7 +89,7 @@ class VectorStore:
         known = stored.groupBy("text_hash").agg(F.first("vec").alias("vec"), F.first("norm2").alias("norm2"))
         same = chunks.join(known, "text_hash").select(*CHUNK, "text_hash", "vec", "norm2")
         changed = chunks.join(known.select("text_hash"), "text_hash", "left_anti")
-        self.tables.replace_keys(self.name, same.unionByName(self._embedded(changed)), "source_id", batch=batch)
+        self.tables.replace_keys(self.name, same.unionByName(self._embedded(changed)), "source_id", batch=batch, keys=chunks.select("source_id").distinct())
 
     def clear(self) -> None:
         """Forget all vectors and the manifest's content."""

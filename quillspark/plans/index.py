@@ -31,17 +31,32 @@ def _stamp(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.md5("\n".join([sf_dir, *said]).encode()).hexdigest()
 
 
-def index(spark: SparkSession, sf_dir: str) -> tuple[Postings, VectorStore]:
-    """Postings and vectors of all documents. What is there is not written again; a build that was stopped goes on."""
-    root = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{_stamp(spark, sf_dir)}"
-    tables = VersionedTables(spark, root, buckets=32)
-    postings, store = Postings(tables), VectorStore(tables)
-    head = tables.commit(store.name)
-    if head is None or "build" not in head.batches:
+def _tables(spark: SparkSession, sf_dir: str) -> VersionedTables:
+    return VersionedTables(spark, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{_stamp(spark, sf_dir)}", buckets=32)
+
+
+def _missing(tables: VersionedTables, name: str) -> bool:
+    head = tables.commit(name)
+    return head is None or "build" not in head.batches
+
+
+def postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """Postings of all documents. What is there is not written again; a build that was stopped goes on."""
+    tables = _tables(spark, sf_dir)
+    found = Postings(tables)
+    if _missing(tables, found.valid):
+        found.add(blocks(spark, sf_dir).where("source_id IS NOT NULL AND text IS NOT NULL"), ("build", 0))
+    return found
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> VectorStore:
+    """Vectors of all documents, built as the postings are."""
+    tables = _tables(spark, sf_dir)
+    store = VectorStore(tables)
+    if _missing(tables, store.name):
         rows = blocks(spark, sf_dir).where("source_id IS NOT NULL AND text IS NOT NULL")
-        postings.add(rows, ("build", 0))
         store.upsert(rows.select("source_id", F.col("block_id").alias("chunk_id"), "page", "text"), ("build", 0))
-    return postings, store
+    return store
 
 
 def hybrid(postings: Postings, store: VectorStore, query: str, sources: list | None = None, limit: int = retrieval.MERGED_LIMIT) -> DataFrame:

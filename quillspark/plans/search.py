@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import joins, retrieval
 from ..operators.ordering import first_per_key, top
-from .index import blocks, hybrid, index, table
+from .index import blocks, hybrid, postings, table, vectors
 
 QUERY = "the that with"
 
 
 def keyword_search(spark, sf_dir):
     """First 20 documents with all terms, in document order, from postings."""
-    return index(spark, sf_dir)[0].search(QUERY).select("source_id", "block_id", F.col("rank").cast("long").alias("rank"), "score")
+    return postings(spark, sf_dir).search(QUERY).select("source_id", "block_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def keyword_phrase(spark, sf_dir):
     """A token with punctuation is a phrase; only two sources."""
-    return index(spark, sf_dir)[0].search("of-the and", ["src1", "src2"]).select("source_id", "block_id", "score")
+    return postings(spark, sf_dir).search("of-the and", ["src1", "src2"]).select("source_id", "block_id", "score")
 
 
 def like_fallback(spark, sf_dir):
@@ -50,7 +50,7 @@ def hash_embed(spark, sf_dir):
 
 def hybrid_search(spark, sf_dir):
     """Keyword and vector hits of one query, merged; postings and stored vectors are read, and the query alone is embedded."""
-    found = hybrid(*index(spark, sf_dir), QUERY)
+    found = hybrid(postings(spark, sf_dir), vectors(spark, sf_dir), QUERY)
     return found.select("source_id", "block_id", F.round("score", 5).alias("score"), "origin")
 
 

@@ -172,3 +172,24 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     query = events.write_once(events.once(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.select("event_id").distinct().count()
+
+
+def test_token_overlap_same_either_way(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
+    args = (docs, items, "doc_id", "item_id", 9, "text", "item")
+    counted = {tuple(r) for r in joins.token_overlap(*args).collect()}
+    monkeypatch.setattr(joins, "TOKENS_AT_ONCE", 0)
+    assert counted and {tuple(r) for r in joins.token_overlap(*args).collect()} == counted
+
+
+def test_postings_of_empty_repeated_and_long_blocks(spark):
+    from quillspark.operators.postings import terms_of
+
+    texts = ["", None, "...", "b a B c a", "x", "w " * 5000 + "v"]
+    rows = [("s", 1, i, f"b{i}", t) for i, t in enumerate(texts)] + [("s", 1, 4, "b4", "x")]
+    blocks = spark.createDataFrame(rows, "source_id string, page int, seq int, block_id string, text string")
+    got = sorted((r.block_id, r.term, r.positions) for r in terms_of(blocks).collect())
+    assert got == [
+        ("b3", "a", [1, 4]), ("b3", "b", [0, 2]), ("b3", "c", [3]), ("b4", "x", [0]), ("b4", "x", [0]), ("b5", "v", [5000]), ("b5", "w", list(range(5000))),
+    ]
