@@ -30,11 +30,16 @@ def wants(kind: str, words: tuple[str, ...]) -> Column:
     return out
 
 
-def _overlaps(sections: DataFrame, facts: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(section_id, keys): facts of which a text shares a token with the section."""
-    asked = sections.select("section_id", F.explode(T.overlap_tokens(F.concat_ws(" ", "title", "objective"))).alias("token"))
-    told = facts.select(*keys, F.explode(T.overlap_tokens(F.col(text))).alias("token"))
-    return asked.join(told, "token").select("section_id", *keys).distinct()
+def _overlaps(sections: DataFrame, facts: DataFrame, text: Column, cap: int, order: list[str], key: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(section_id, key): facts that share a token with the section, all that can be among its first ``cap``.
+
+    A fact among the first of a section is among the first of any token that it shares, so ``cap`` facts of a token, by
+    ``order``, are enough: a common word meets no more.
+    """
+    asked = sections.select("section_id", F.explode(T.overlap_tokens(F.concat_ws(" ", "title", "objective"))).alias("_token"))
+    told = facts.withColumn("_token", F.explode(T.overlap_tokens(text)))
+    told = told.withColumn("_k", F.row_number().over(Window.partitionBy("_token", *within).orderBy(*order, key))).where(F.col("_k") <= cap)
+    return asked.join(told.select(key, "_token"), "_token").select("section_id", key).distinct()
 
 
 def _capped(met: DataFrame, facts: DataFrame, cap: int, order: list[str], key: str) -> DataFrame:
@@ -49,7 +54,7 @@ def metric_relevance(sections: DataFrame, facts: DataFrame, order: list[str], ke
     A fact that shares a token with the section counts. A section that asks for metrics takes others too, of more than
     six facts only the sure ones. Of those no more than the first eight can count, so that these alone meet every section.
     """
-    shared = _overlaps(sections, facts, "name", [key])
+    shared = _overlaps(sections, facts, F.col("name"), METRIC_CAP, order, key)
     sure = facts.crossJoin(F.broadcast(facts.agg(F.count("*").alias("_n"))))  # one row
     sure = sure.where((F.col("_n") <= FEW_METRICS) | (F.coalesce("confidence", F.lit(0.0)) >= SURE))
     first = sure.orderBy(*order, key).limit(METRIC_CAP).select(key)
@@ -60,8 +65,8 @@ def metric_relevance(sections: DataFrame, facts: DataFrame, order: list[str], ke
 def structure_relevance(sections: DataFrame, facts: DataFrame, order: list[str], key: str = "fact_id") -> DataFrame:
     """Facts (fact_id, fact_kind, title, labels array<string>) of every section, the first four of each kind by ``order``."""
     facts = facts.withColumn("fact_kind", F.upper("fact_kind"))
-    named = facts.withColumn("_said", F.concat_ws(" ", "title", F.slice("labels", 1, 8)))
-    shared = _overlaps(sections, named, "_said", [key])
+    said = F.concat_ws(" ", "title", F.slice("labels", 1, 8))
+    shared = _overlaps(sections, facts, said, STRUCTURE_CAP, order, key, ("fact_kind",))
     out = []
     for kind, words in (("PROCESS", PROCESS_WORDS), ("ARCHITECTURE", ARCHITECTURE_WORDS)):
         mine = facts.where(F.col("fact_kind") == kind)
@@ -72,6 +77,69 @@ def structure_relevance(sections: DataFrame, facts: DataFrame, order: list[str],
     return out[0].unionByName(out[1])
 
 
+# What a pack says about itself.
+LACKS = {"METRIC": "정량 지표 근거가 부족함", "ARCHITECTURE": "아키텍처 근거가 부족함", "PROCESS": "프로세스 근거가 부족함"}
+LACKS_ALL = "관련 원문 근거를 충분히 찾지 못함"
+NO_CLAIMS = "Evidence Pack에 없는 세부 사실은 단정하지 말 것"
+UNLINKED_ARCHITECTURE, UNLINKED_PROCESS = "구성도: 노드 그룹은 확인했으나 연결선 미검증", "흐름도: 단계 목록은 있으나 화살표 연결 미검증"
+PACK_CHARS = 400
+
+
+def section_packs(
+    sections: DataFrame, hits: DataFrame, metrics: DataFrame, structures: DataFrame,
+    metric_order: list[str] | None = None, structure_order: list[str] | None = None,
+) -> DataFrame:
+    """One row per section (section_id, title, objective, required): its evidence, what is missing and what limits it.
+
+    ``hits`` (section_id, seq, source_id, page, text, evidence_type) are merged hits, ten of a section or so; blank ones and
+    ``[IMAGE]`` are left out, statements are clipped. Definitions stand apart from what supports. ``metrics`` (metric_id,
+    name, confidence) and ``structures`` (fact_id, fact_kind, title, labels, page, n_edges) are all facts: of these the relevant
+    ones go in, at most eight and four of a kind. A type that the section requires and nothing gives is missing, and so is
+    evidence of any kind where there is none. Structures without edges are limits, architectures first. Sections without
+    any hit or fact have empty lists.
+    """
+    item = F.struct("seq", "source_id", "page", T.clip(F.trim("text"), PACK_CHARS).alias("statement"), F.col("evidence_type").alias("type"))
+    usable = hits.where((F.trim("text") != "") & (F.trim("text") != "[IMAGE]"))
+    defines = F.coalesce(F.col("evidence_type") == "DEFINITION", F.lit(False))
+    cited = usable.groupBy("section_id").agg(
+        F.array_sort(F.collect_list(F.when(defines, item))).alias("definitions"), F.array_sort(F.collect_list(F.when(~defines, item))).alias("supporting_facts")
+    )
+    metric = F.struct("pos", "metric_id", "name", "confidence")
+    counted = metric_relevance(sections, metrics, metric_order or []).groupBy("section_id").agg(F.array_sort(F.collect_list(metric)).alias("metrics"))
+    fact = F.struct("pos", "fact_id", "title", "page", "n_edges")
+    kinds = (("PROCESS", "process_facts"), ("ARCHITECTURE", "architecture_facts"))
+    drawn = structure_relevance(sections, structures, structure_order or []).groupBy("section_id").agg(
+        *(F.array_sort(F.collect_list(F.when(F.col("fact_kind") == kind, fact))).alias(name) for kind, name in kinds)
+    )
+    rows = sections.join(cited, "section_id", "left").join(counted, "section_id", "left").join(drawn, "section_id", "left")
+    none = F.array().cast("array<string>")
+    lists = ("definitions", "supporting_facts", "metrics", "process_facts", "architecture_facts")
+    rows = rows.withColumns({c: F.coalesce(c, F.from_json(F.lit("[]"), rows.schema[c].dataType)) for c in lists})
+
+    def lacks(kind: str, found: Column) -> Column:
+        asked = F.exists(F.coalesce("required", none), lambda t: F.upper(t) == kind)
+        return F.when(F.coalesce(asked, F.lit(False)) & ~found, F.lit(LACKS[kind]))
+
+    def holds(name: str, kind: str | None = None) -> Column:
+        some = F.size(name) > 0
+        return some if kind is None else some | F.coalesce(F.exists("supporting_facts", lambda e: e["type"] == kind), F.lit(False))
+
+    nothing = ~(holds("supporting_facts") | holds("metrics") | holds("process_facts") | holds("architecture_facts"))
+    missing = F.array_compact(F.array(
+        lacks("METRIC", holds("metrics")), lacks("ARCHITECTURE", holds("architecture_facts", "ARCHITECTURE")),
+        lacks("PROCESS", holds("process_facts", "PROCESS")), F.when(nothing, F.lit(LACKS_ALL)),
+    ))
+
+    def unlinked(name: str, said: str) -> Column:
+        bare = F.filter(name, lambda f: F.coalesce(f["n_edges"], F.lit(0)) == 0)
+        return F.transform(bare, lambda f: F.concat(F.lit("p"), F.coalesce(f["page"].cast("string"), F.lit("0")), F.lit(f" {said}")))
+
+    rows = rows.withColumn("missing_evidence", missing)
+    general = F.when(F.size("missing_evidence") > 0, F.array(F.lit(NO_CLAIMS))).otherwise(none)
+    limits = F.concat(general, unlinked("architecture_facts", UNLINKED_ARCHITECTURE), unlinked("process_facts", UNLINKED_PROCESS))
+    return rows.select("section_id", *lists, "missing_evidence", limits.alias("limitations"))
+
+
 def choose(items: DataFrame, choices: DataFrame) -> DataFrame:
     """Items (section_id, item_id, pos) by the ids of a choice (section_id, keep_ids, drop_ids, ranking), renumbered.
 

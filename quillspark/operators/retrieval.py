@@ -200,13 +200,13 @@ def chunk_pages(blocks: DataFrame, max_chars: int = 1200, overlap: int = 150) ->
     return chunks.select("source_id", "page", "chunk_no", "c.text", "c.block_ids")
 
 
-#: Ordered keyword cases of evidence types; a table, so that a domain can bring its own.
+#: Ordered keyword cases of evidence types, fixed values; a table, so that a domain can bring its own.
 EVIDENCE_CASES: list[tuple[str, tuple[str, ...]]] = [
-    ("METRIC", ("%", "지표", "metric", "kpi", "증가", "감소")),
-    ("ARCHITECTURE", ("아키텍처", "architecture", "구성도", "시스템 구성")),
-    ("PROCESS", ("프로세스", "process", "흐름", "절차", "flow")),
-    ("PROBLEM", ("문제", "problem", "issue", "한계")),
-    ("DEFINITION", ("정의", "definition", "개념")),
+    ("METRIC", ("%", "증가", "감소", "향상", "지표")),
+    ("ARCHITECTURE", ("구성", "아키텍처", "vpn", "클라우드", "노드", "연결")),
+    ("PROCESS", ("절차", "프로세스", "흐름", "단계", "주문", "출하")),
+    ("PROBLEM", ("문제", "한계", "누락", "미연계", "노후")),
+    ("DEFINITION", ("정의", "이란", "의미", "측정방법")),
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import editions, evidence, metrics, quality
+from ..operators import editions, evidence, metrics, quality, retrieval
 from .search import table
 
 
@@ -30,6 +30,32 @@ def structure_relevance(spark, sf_dir):
     return evidence.structure_relevance(_sections(spark, sf_dir), facts, []).select("section_id", "fact_kind", "fact_id", F.col("pos").cast("long").alias("pos"))
 
 
+def section_packs(spark, sf_dir):
+    """Whole packs: documents as hits of 26 sections, the last without any; parts as metrics and structures, some without edges."""
+    docs, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
+    nations = _sections(spark, sf_dir)
+    last = nations.where("section_id = 0").select(F.lit(25).alias("section_id"), F.lit("전체 개요").alias("title"), F.lit("").alias("objective"), F.array(F.lit("metric"), F.lit("architecture")).alias("required"))
+    sections = nations.unionByName(last)
+    found = docs.select((F.col("doc_id") % 25).cast("int").alias("section_id"), (F.col("doc_id") % 2).alias("qpos"), F.col("doc_id").alias("rank"), F.col("source").alias("source_id"), F.lit(1).alias("page"), "text")
+    merged = retrieval.merge_queries(found)
+    kind = retrieval.evidence_type(F.col("title"), F.col("text"), F.transform("required", lambda t: F.upper(t)))
+    hits = merged.join(sections.select("section_id", "title", "required"), "section_id").withColumn("evidence_type", kind)
+    measured = part.select(F.col("p_partkey").alias("metric_id"), F.col("p_name").alias("name"), (F.col("p_size") / 50).alias("confidence"))
+    shape = F.when(F.col("p_partkey") % 2 == 0, "process").otherwise("architecture")
+    drawn = part.select(
+        F.col("p_partkey").alias("fact_id"), shape.alias("fact_kind"), F.col("p_type").alias("title"), F.split("p_name", " ").alias("labels"),
+        F.col("p_size").alias("page"), (F.col("p_partkey") % 3).alias("n_edges"),
+    )
+    packs = evidence.section_packs(sections, hits, measured, drawn)
+    ids = lambda c, key: F.concat_ws(",", F.transform(c, lambda e: e[key].cast("string")))
+    return packs.select(
+        "section_id", F.size("definitions").cast("long").alias("n_definitions"), F.concat_ws(",", "supporting_facts.type").alias("types"),
+        F.aggregate("supporting_facts", F.lit(0).cast("long"), lambda n, e: n + F.length(e["statement"])).alias("n_chars"),
+        ids("metrics", "metric_id").alias("metrics"), ids("process_facts", "fact_id").alias("processes"), ids("architecture_facts", "fact_id").alias("architectures"),
+        F.concat_ws("|", "missing_evidence").alias("missing"), F.concat_ws("|", "limitations").alias("limitations"),
+    )
+
+
 def choose_evidence(spark, sf_dir):
     """Suppliers of a nation as items: some nations keep, drop or rank by ids, one drops all, one names unknown ids."""
     s = table(spark, sf_dir, "supplier")
@@ -154,7 +180,7 @@ def pack_indexes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_pages, unrendered_visuals, titles, last_two_orders, pack_indexes, metric_relevance, structure_relevance, choose_evidence, illegal_moves, complete_sections, edition_outcomes, evidence_blocks, metric_facts, page_lines,
+    graph_pages, unrendered_visuals, titles, last_two_orders, pack_indexes, metric_relevance, structure_relevance, section_packs, choose_evidence, illegal_moves, complete_sections, edition_outcomes, evidence_blocks, metric_facts, page_lines,
 )}
 
 _SECTIONS = """
@@ -207,6 +233,64 @@ ORACLE_SQL = {
                 OR list_contains(required, fact_kind) OR contains(title, CASE fact_kind WHEN 'PROCESS' THEN '업무' ELSE '시스템' END)
         )
         SELECT section_id, fact_kind, p_partkey AS fact_id, pos::BIGINT AS pos FROM met WHERE pos <= 4""",
+    "section_packs": """
+        WITH sections AS (
+            SELECT n_nationkey AS section_id, ['cold widget', 'small gear', 'large bolt 지표', '업무 red nut', '시스템 steel pipe'][n_nationkey % 5 + 1] AS title,
+                n_name AS objective, CASE WHEN n_nationkey % 3 = 0 THEN ['METRIC', 'PROCESS'] ELSE ['QUALITATIVE'] END AS required FROM nation
+            UNION ALL SELECT 25, '전체 개요', '', ['METRIC', 'ARCHITECTURE']
+        ),
+        asked AS (SELECT *, regexp_extract_all(lower(title || ' ' || objective), '[a-z0-9]+|[가-힣]{2,}') AS toks FROM sections),
+        once AS (
+            SELECT doc_id % 25 AS section_id, doc_id % 2 AS qpos, doc_id, text FROM documents
+            QUALIFY row_number() OVER (PARTITION BY doc_id % 25, source, substr(text, 1, 60) ORDER BY doc_id % 2, doc_id) = 1
+        ),
+        ten AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY qpos, doc_id) AS seq FROM once QUALIFY seq <= 10),
+        hits AS (
+            SELECT section_id, seq, lower(title || chr(10) || text) AS said, required[1] AS own,
+                trim(regexp_replace(trim(text, ' '), '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ') AS flat
+            FROM ten JOIN sections USING (section_id) WHERE trim(text, ' ') NOT IN ('', '[IMAGE]')
+        ),
+        typed AS (
+            SELECT section_id, seq, least(length(flat), 400) AS size, CASE
+                WHEN regexp_matches(said, '%|증가|감소|향상|지표') THEN 'METRIC' WHEN regexp_matches(said, '구성|아키텍처|vpn|클라우드|노드|연결') THEN 'ARCHITECTURE'
+                WHEN regexp_matches(said, '절차|프로세스|흐름|단계|주문|출하') THEN 'PROCESS' WHEN regexp_matches(said, '문제|한계|누락|미연계|노후') THEN 'PROBLEM'
+                WHEN regexp_matches(said, '정의|이란|의미|측정방법') THEN 'DEFINITION' ELSE own END AS kind FROM hits
+        ),
+        cited AS (
+            SELECT section_id, count_if(kind = 'DEFINITION') AS n_definitions, sum(size) FILTER (kind <> 'DEFINITION') AS n_chars,
+                string_agg(kind, ',' ORDER BY seq) FILTER (kind <> 'DEFINITION') AS types FROM typed GROUP BY section_id
+        ),
+        met AS (
+            SELECT section_id, p_partkey FROM asked, part
+            WHERE len(list_intersect(toks, regexp_extract_all(lower(p_name), '[a-z0-9]+|[가-힣]{2,}'))) > 0
+                OR ((list_contains(required, 'METRIC') OR contains(title, '지표')) AND (p_size / 50 >= 0.7 OR (SELECT count(*) FROM part) <= 6))
+            QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY p_partkey) <= 8
+        ),
+        counted AS (SELECT section_id, string_agg(p_partkey, ',' ORDER BY p_partkey) AS metrics FROM met GROUP BY section_id),
+        facts AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'PROCESS' ELSE 'ARCHITECTURE' END AS fact_kind FROM part),
+        shown AS (
+            SELECT section_id, fact_kind, p_partkey, 'p' || p_size || CASE fact_kind WHEN 'PROCESS' THEN ' 흐름도: 단계 목록은 있으나 화살표 연결 미검증'
+                ELSE ' 구성도: 노드 그룹은 확인했으나 연결선 미검증' END AS note FROM asked, facts
+            WHERE len(list_intersect(toks, regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+|[가-힣]{2,}'))) > 0
+                OR list_contains(required, fact_kind) OR contains(title, CASE fact_kind WHEN 'PROCESS' THEN '업무' ELSE '시스템' END)
+            QUALIFY row_number() OVER (PARTITION BY section_id, fact_kind ORDER BY p_partkey) <= 4
+        ),
+        drawn AS (
+            SELECT section_id, string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (fact_kind = 'PROCESS') AS processes,
+                string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (fact_kind = 'ARCHITECTURE') AS architectures,
+                string_agg(note, '|' ORDER BY fact_kind, p_partkey) FILTER (p_partkey % 3 = 0) AS notes FROM shown GROUP BY section_id
+        ),
+        packs AS (SELECT * FROM sections LEFT JOIN cited USING (section_id) LEFT JOIN counted USING (section_id) LEFT JOIN drawn USING (section_id)),
+        judged AS (
+            SELECT *, concat_ws('|',
+                CASE WHEN list_contains(required, 'METRIC') AND metrics IS NULL THEN '정량 지표 근거가 부족함' END,
+                CASE WHEN list_contains(required, 'ARCHITECTURE') AND architectures IS NULL AND NOT contains(coalesce(types, ''), 'ARCHITECTURE') THEN '아키텍처 근거가 부족함' END,
+                CASE WHEN list_contains(required, 'PROCESS') AND processes IS NULL AND NOT contains(coalesce(types, ''), 'PROCESS') THEN '프로세스 근거가 부족함' END,
+                CASE WHEN coalesce(types, metrics, processes, architectures) IS NULL THEN '관련 원문 근거를 충분히 찾지 못함' END) AS missing FROM packs
+        )
+        SELECT section_id::INTEGER AS section_id, coalesce(n_definitions, 0)::BIGINT AS n_definitions, coalesce(types, '') AS types, coalesce(n_chars, 0)::BIGINT AS n_chars,
+            coalesce(metrics, '') AS metrics, coalesce(processes, '') AS processes, coalesce(architectures, '') AS architectures, missing,
+            concat_ws('|', CASE WHEN missing <> '' THEN 'Evidence Pack에 없는 세부 사실은 단정하지 말 것' END, notes) AS limitations FROM judged""",
     "choose_evidence": """
         WITH s AS (SELECT *, s_nationkey % 5 AS k, s_suppkey::VARCHAR AS id FROM supplier),
         marked AS (

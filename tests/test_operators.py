@@ -193,3 +193,22 @@ def test_postings_of_empty_repeated_and_long_blocks(spark):
     assert got == [
         ("b3", "a", [1, 4]), ("b3", "b", [0, 2]), ("b3", "c", [3]), ("b4", "x", [0]), ("b4", "x", [0]), ("b5", "v", [5000]), ("b5", "w", list(range(5000))),
     ]
+
+
+def test_packs_of_sections_without_evidence(spark):
+    from quillspark.operators import evidence
+
+    sections = spark.createDataFrame(
+        [(1, "납기", "목표", ["metric", "Architecture"]), (2, "x", "y", None), (3, "q", "r", ["PROCESS"])], "section_id int, title string, objective string, required array<string>"
+    )
+    hits = spark.createDataFrame(
+        [(2, 1, "s", 1, " [IMAGE] ", "METRIC"), (2, 2, "s", 1, "a  b" + "c" * 500, "PROBLEM"), (2, 3, "s", 2, "이란", "DEFINITION"), (3, 1, "s", 1, "흐름", "PROCESS"), (1, 1, "s", 1, None, "METRIC")],
+        "section_id int, seq int, source_id string, page int, text string, evidence_type string",
+    )
+    metrics = spark.createDataFrame([], "metric_id int, name string, confidence double")
+    facts = spark.createDataFrame([(7, "Process", "y z", ["n"], 4, 0)], "fact_id int, fact_kind string, title string, labels array<string>, page int, n_edges int")
+    got = {r.section_id: r for r in evidence.section_packs(sections, hits, metrics, facts).collect()}
+    assert got[1].missing_evidence == [evidence.LACKS["METRIC"], evidence.LACKS["ARCHITECTURE"], evidence.LACKS_ALL] and got[1].limitations == [evidence.NO_CLAIMS]
+    assert [len(e.statement) for e in got[2].supporting_facts] == [400] and [e.statement for e in got[2].definitions] == ["이란"]
+    assert got[2].missing_evidence == [] and got[2].limitations == ["p4 " + evidence.UNLINKED_PROCESS] and [f.fact_id for f in got[2].process_facts] == [7]
+    assert got[3].missing_evidence == [] and got[3].metrics == [] and [f.fact_id for f in got[3].process_facts] == [7]
