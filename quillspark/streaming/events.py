@@ -39,9 +39,13 @@ def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def session_rows(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Batch form of sessions with windows: each event with the number of its user's session."""
+    """Batch form of sessions with windows: each event with the number of its user's session.
+
+    Times are rounded to whole seconds, halves to the even one.
+    """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    apart = F.col("ts").cast("timestamp").cast("long") - F.lag("ts").over(w).cast("timestamp").cast("long")
+    seconds = lambda ts: F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+    apart = seconds(F.col("ts")) - seconds(F.lag("ts").over(w))
     new = F.when(apart.isNull() | (apart >= gap_minutes * 60), 1).otherwise(0)
     return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
 
