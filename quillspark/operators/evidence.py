@@ -146,19 +146,22 @@ def choose(items: DataFrame, choices: DataFrame) -> DataFrame:
     Dropped ids go; with kept ids only these stay. Ranked ids come first, then kept ones in their order, then the others.
     Ids that the section lacks mean nothing. A choice that leaves nothing, and no choice, leave the items as they are.
     """
-    none = F.array().cast("array<string>")
-    rows = items.join(choices.select("section_id", "keep_ids", "drop_ids", "ranking"), "section_id", "left")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("keep_ids", "drop_ids", "ranking")})
+    marks = None
+    for c in ("keep_ids", "drop_ids", "ranking"):
+        told = choices.select("section_id", F.posexplode(c).alias("at", "item_id"), F.lit(c).alias("list"))
+        marks = told if marks is None else marks.unionByName(told)
+    # The first place of an id in each list, so that items meet their own marks and no list is searched.
+    place = lambda c: F.min(F.when(F.col("list") == c, F.col("at")))
+    marks = marks.groupBy("section_id", "item_id").agg(place("keep_ids").alias("_keep"), place("drop_ids").alias("_drop"), place("ranking").alias("_rank"))
+    rows = items.join(marks, ["section_id", "item_id"], "left")
     same = Window.partitionBy("section_id")
-    known = F.collect_set("item_id").over(same)
-    keep = F.filter("keep_ids", lambda i: F.array_contains("known", i) & ~F.array_contains("drop_ids", i))
-    rows = rows.withColumn("known", known).withColumn("keep_ids", keep)
-    stays = F.when(F.size("keep_ids") > 0, F.array_contains("keep_ids", F.col("item_id"))).otherwise(~F.array_contains("drop_ids", F.col("item_id")))
-    rows = rows.withColumn("stays", stays).withColumn("whole", ~F.max("stays").over(same))
-    place = lambda ids: F.nullif(F.array_position(ids, F.col("item_id")), F.lit(0))
-    order = [F.when(~F.col("whole"), place(c)).asc_nulls_last() for c in ("ranking", "keep_ids")]
+    free = F.col("_drop").isNull()
+    rows = rows.withColumn("_keep", F.when(free, F.col("_keep")))
+    rows = rows.withColumn("_stays", F.when(F.count("_keep").over(same) > 0, F.col("_keep").isNotNull()).otherwise(free))
+    rows = rows.withColumn("_whole", ~F.max("_stays").over(same))
+    order = [F.when(~F.col("_whole"), F.col(c)).asc_nulls_last() for c in ("_rank", "_keep")]
     number = F.row_number().over(same.orderBy(*order, "pos"))
-    return rows.where("stays OR whole").withColumn("pos", number).select(*items.columns)
+    return rows.where("_stays OR _whole").withColumn("pos", number).select(*items.columns)
 
 
 def merge_missing(first: Column, second: Column) -> Column:

@@ -6,6 +6,7 @@ import random
 import duckdb
 
 from quillspark.llm import line_dedup
+from quillspark.operators import evidence
 from quillspark.plans import extras
 from quillspark.streaming import events as ev
 
@@ -34,3 +35,16 @@ def test_line_dedup_compares_every_link_of_long_lines(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(word() if k % 5 == 2 else w for k, w in enumerate(words)))]
     gone = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
     assert gone == set(range(1, 600, 2))
+
+
+def test_choices_search_no_lists(spark):
+    """Ids meet their items in a join; a null among the ids means nothing."""
+    items = spark.createDataFrame([(s, str(i), i) for s in (1, 2, 3, 4) for i in range(4)], "section_id int, item_id string, pos int")
+    picks = [(1, ["2", "9", "1"], ["1", None], ["2", "0"]), (2, [], ["0", None], ["3", "1", "3"]), (3, ["7"], ["0", "1", "2", "3"], ["3"])]
+    chosen = evidence.choose(items, spark.createDataFrame(picks, "section_id int, keep_ids array<string>, drop_ids array<string>, ranking array<string>"))
+    got = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["section_id"], r["pos"])):
+        got.setdefault(r["section_id"], []).append(r["item_id"])
+    assert got == {1: ["2"], 2: ["3", "1", "2"], 3: ["0", "1", "2", "3"], 4: ["0", "1", "2", "3"]}
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "array_position" not in plan
