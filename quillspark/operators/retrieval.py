@@ -14,6 +14,8 @@ from .ordering import rank_score
 
 KEYWORD_LIMIT, VECTOR_LIMIT, MERGED_LIMIT = 20, 20, 24
 KEY_CHARS = 80
+#: Rows of a block of vectors, and the size from which numbers are compared one by one.
+BLOCK_ROWS, HUGE = 4096, 1e100
 
 
 def in_sources(df: DataFrame, sources: list | None, column: str = "source_id") -> DataFrame:
@@ -94,11 +96,97 @@ def vector_topk(index: DataFrame, query: list[float], k: int = VECTOR_LIMIT, id_
     return scored.orderBy(F.desc("cosine"), F.asc(id_col)).limit(k)
 
 
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (id, vec) as blocks of about BLOCK_ROWS: (size, ids, data), the ids of one vector length in order and their vectors."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            sizes = pc.list_value_length(batch.column("vec"))
+            for size in pc.unique(sizes).to_pylist():
+                mine = batch.filter(pc.equal(sizes, size))
+                data = np.asarray(mine.column("vec").flatten(), dtype="float64").tobytes()
+                ids = pa.array([mine.column("id").to_pylist()], pa.list_(batch.schema.field("id").type))
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), ids, pa.array([data], pa.binary())], ["size", "ids", "data"])
+
+    return rows.repartition(max(1, -(-n // BLOCK_ROWS))).mapInArrow(pack, f"size int, ids array<{kind}>, data binary")
+
+
+def nearest_in_block(asked, known, k: int):
+    """Three arrays: the places of queries and rows, k rows or fewer of each query, and their dot products.
+
+    A matrix product chooses what can be among the k; these products are then summed in order, as SQL does, and of equal ones
+    the first rows stay.
+    """
+    import numpy as np
+
+    k = min(k, len(known))
+    # Far beyond what the order of the sums can change.
+    slack = 1e-10 * np.sqrt((asked * asked).sum(axis=1)) * np.sqrt((known * known).sum(axis=1).max())
+    out = []
+    for at in range(0, len(asked), 256):
+        rough = asked[at : at + 256] @ known.T
+        least = np.partition(rough, -k, axis=1)[:, -k] - slack[at : at + 256]
+        q, i = np.nonzero(rough >= least[:, None])
+        exact = np.zeros(len(q))
+        for d in range(asked.shape[1]):
+            exact += asked[at + q, d] * known[i, d]
+        order = np.lexsort((i, -exact, q))
+        q, i, exact = q[order], i[order], exact[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((at + q[first], i[first], exact[first]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
 def vector_topk_many(index: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """The k nearest rows of each row of ``queries`` (query_id, query_vec); queries are a stated, broadcast set."""
-    scored = index.crossJoin(F.broadcast(queries)).select("query_id", id_col, T.dot(F.col(vec_col), F.col("query_vec")).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k nearest rows of each row of ``queries`` (query_id, query_vec), ties by id; every row is compared with every query.
+
+    Of equal vectors the first k ids can count. Blocks of rows meet blocks of queries in matrix products, and each pair of blocks
+    leaves k rows of a query. Rows whose numbers or id are missing or not finite are compared one by one.
+    """
+    known = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("query_vec").cast("array<double>").alias("vec"))
+    good = F.forall("vec", lambda x: F.abs(x) < HUGE) & (F.size("vec") > 0) & F.col("id").isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    copies = Window.partitionBy("vec").orderBy("id")
+    plain = known.where(good).withColumn("_k", F.row_number().over(copies)).where(F.col("_k") <= k).drop("_k")
+    left = _blocks(plain, index.count()).select(*(F.col(c).alias(f"i_{c}") for c in ("size", "ids", "data")))
+    right = _blocks(asked.where(good), queries.count()).select(*(F.col(c).alias(f"q_{c}") for c in ("size", "ids", "data")))
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, known)]
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            fields = [batch.schema.field(c).type.value_type for c in ("q_ids", "i_ids")]
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                q_ids, i_ids = row["q_ids"].values, row["i_ids"].values
+                size, other = row["q_size"].as_py(), row["i_size"].as_py()
+                if size == other:
+                    vectors = [np.frombuffer(row[c].as_py(), dtype="float64").reshape(-1, size) for c in ("q_data", "i_data")]
+                    q, i, cosine = nearest_in_block(*vectors, k)
+                else:
+                    few = min(k, len(i_ids))  # vectors of other lengths count as 0
+                    q, i = np.repeat(np.arange(len(q_ids)), few), np.tile(np.arange(few), len(q_ids))
+                    cosine = np.zeros(len(q))
+                parts = [q_ids.take(pa.array(q)).cast(fields[0]), i_ids.take(pa.array(i)).cast(fields[1]), pa.array(cosine)]
+                yield pa.RecordBatch.from_arrays(parts, ["query_id", "id", "cosine"])
+
+    scored = left.crossJoin(right).mapInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, cosine double")
+    odd = ~good
+    a, b = known.select(F.col("id"), "vec", odd.alias("odd")), asked.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), odd.alias("asked_odd"))
+    pairs = a.where("odd").crossJoin(b).unionByName(a.where("NOT odd").crossJoin(b.where("asked_odd")))
+    scored = scored.unionByName(pairs.select("query_id", "id", T.dot(F.col("vec"), F.col("query_vec")).alias("cosine")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc("id"))
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("id").alias(id_col), "cosine", "rank")
 
 
 def check_dimensions(index: DataFrame, vec_col: str = "vec") -> int:

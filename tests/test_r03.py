@@ -4,9 +4,11 @@ import datetime
 import random
 
 import duckdb
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup
-from quillspark.operators import evidence
+from quillspark.operators import evidence, retrieval
 from quillspark.plans import extras
 from quillspark.streaming import events as ev
 
@@ -48,3 +50,20 @@ def test_choices_search_no_lists(spark):
     assert got == {1: ["2"], 2: ["3", "1", "2"], 3: ["0", "1", "2", "3"], 4: ["0", "1", "2", "3"]}
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan and "array_position" not in plan
+
+
+def test_nearest_of_many_meet_in_blocks(spark, monkeypatch):
+    """Ties, copies, other lengths, missing and infinite numbers: as one by one, and without a row for each pair."""
+    draw = random.Random(7)
+    rows = [(i, [float(draw.randint(-3, 3)) for _ in range(4)]) for i in range(300)]
+    rows += [(300 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(50)]
+    rows += [(350, None), (351, []), (352, [1.0, 2.0]), (353, [1.0, None, 2.0, 3.0]), (354, [float("inf"), 0.0, 1.0, 1.0]), (355, [float("nan")] * 4), (None, [9.0] * 4)]
+    index = spark.createDataFrame(rows, "id int, vec array<float>")
+    asked = index.where("id % 5 = 0 OR id > 340").selectExpr("id AS query_id", "vec AS query_vec")
+    dot = lambda v: retrieval.T.dot(v, F.col("query_vec")).alias("cosine")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    want = index.crossJoin(asked).select("query_id", "id", dot(F.col("vec"))).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 100)
+    got = retrieval.vector_topk_many(index, asked, 3, "id", "vec")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert "data" in got._jdf.queryExecution().optimizedPlan().toString()
