@@ -59,15 +59,44 @@ def like_search(blocks: DataFrame, query: str, sources: list | None = None, limi
     return found.orderBy("source_id", "page", "seq", "block_id").limit(limit)
 
 
-def token_weights(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, dim, weight): integer weights of the hashed embedding before normalisation; zeros are left out."""
-    # Heads and tokens are columns of their own and the generator is an outer one, so that each is computed once.
+def token_codes(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, codes): the codes of a text's tokens, as many as there are tokens."""
+    # Heads and tokens are columns of their own, so that each is computed once.
     rows = docs.select(*keys, F.col(text).alias("text"), T.embedding_head(F.col(text)).alias("head"))
     rows = rows.select(*keys, T.embedding_tokens(F.col("text"), F.col("head")).alias("tokens"))
-    rows = rows.select(*keys, F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
-    rows = rows.select(*keys, T.token_code(F.col("token")).alias("code"))
-    rows = rows.select(*keys, T.code_dimension(F.col("code")).alias("dim"), T.code_sign(F.col("code")).alias("sign"))
-    return rows.groupBy(*keys, "dim").agg(F.sum("sign").cast("long").alias("weight")).where("weight != 0")
+    return rows.select(*keys, F.transform("tokens", T.token_code).alias("codes"))
+
+
+def code_sums(codes):
+    """Signed counts of an Arrow array of code lists: a row per list, a column per dimension."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = np.asarray(codes.flatten(), dtype="int64")
+    row = np.repeat(np.arange(len(codes)), np.asarray(pc.list_value_length(codes).fill_null(0)))
+    sign = np.where(flat & T.VECTOR_DIMS, 1.0, -1.0)
+    return np.bincount(row * T.VECTOR_DIMS + (flat & (T.VECTOR_DIMS - 1)), sign, len(codes) * T.VECTOR_DIMS).astype("int64").reshape(-1, T.VECTOR_DIMS)
+
+
+def token_weights(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, dim, weight): integer weights of the hashed embedding before normalisation; zeros are left out.
+
+    A document is one row, with the codes of its tokens, until its sums are known; rows that repeat a key are one document.
+    """
+    rows = token_codes(docs, keys, text).groupBy(*keys).agg(F.flatten(F.collect_list("codes")).alias("codes"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            weights = code_sums(batch.column("codes"))
+            row, dim = np.nonzero(weights)
+            taken = [batch.column(k).take(pa.array(row)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(dim.astype("int32")), pa.array(weights[row, dim])], [*keys, "dim", "weight"])
+
+    return rows.mapInArrow(sums, f"{kinds}, dim int, weight bigint")
 
 
 def hash_embedding(docs: DataFrame, name: str = "vec", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.versioned import Batch, VersionedTables
-from .retrieval import VECTOR_LIMIT, in_sources, token_weights
+from .retrieval import VECTOR_LIMIT, code_sums, in_sources, token_codes
 
 CHUNK = ["source_id", "chunk_id", "page", "text"]
 
@@ -31,13 +31,19 @@ class Embedder:
 
 
 def _hash_vectors(texts: DataFrame) -> DataFrame:
-    """Integer weights of the hashed embedding, as floats; scaling to unit length is left to the cosine."""
-    weights = token_weights(texts, ["text_hash"]).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("w"))
-    dims = F.sequence(F.lit(0), F.lit(T.VECTOR_DIMS - 1))
-    zero = F.lit(0).cast("long")
-    dense = F.transform(dims, lambda k: F.coalesce(F.try_element_at("w", k), zero).cast("float"))
-    none = F.array_repeat(F.lit(0.0).cast("float"), T.VECTOR_DIMS)
-    return texts.select("text_hash").join(weights.select("text_hash", dense.alias("vec")), "text_hash", "left").withColumn("vec", F.coalesce("vec", none))
+    """Integer weights of the hashed embedding, as floats, without a shuffle; scaling to unit length is left to the cosine."""
+
+    def dense(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = code_sums(batch.column("codes")).astype("float32")
+            ends = pa.array(np.arange(len(sums) + 1, dtype="int32") * T.VECTOR_DIMS)
+            vec = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), vec], ["text_hash", "vec"])
+
+    return token_codes(texts, ["text_hash"]).mapInArrow(dense, "text_hash string, vec array<float>")
 
 
 HASH = Embedder("hash-256", T.VECTOR_DIMS, _hash_vectors)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup
-from quillspark.operators import evidence, retrieval
+from quillspark.operators import evidence, retrieval, vectors
 from quillspark.plans import extras
 from quillspark.streaming import events as ev
 
@@ -67,3 +67,18 @@ def test_nearest_of_many_meet_in_blocks(spark, monkeypatch):
     got = retrieval.vector_topk_many(index, asked, 3, "id", "vec")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
     assert "data" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_token_weights_are_summed_in_their_row(spark):
+    """A document stays one row until its sums are known, and vectors are made without a shuffle."""
+    texts = ["cold widget cold 지표 x", "", None, "a-b c 12 " * 50]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tokens = docs.select("doc_id", F.explode(retrieval.T.embedding_tokens(F.col("text"), retrieval.T.embedding_head(F.col("text")))).alias("t"))
+    coded = tokens.select("doc_id", retrieval.T.token_code(F.col("t")).alias("c"))
+    want = coded.groupBy("doc_id", retrieval.T.code_dimension(F.col("c")).alias("dim")).agg(F.sum(retrieval.T.code_sign(F.col("c"))).alias("weight")).where("weight != 0")
+    got = retrieval.token_weights(docs, ["doc_id"])
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == want.count()
+    assert "dim#" not in "".join(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line)
+    made = vectors.HASH.embed(docs.select(F.coalesce("text", F.lit("none")).alias("text_hash"), "text"))
+    assert made.count() == 4 and all(len(r["vec"]) == 256 for r in made.collect())
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
