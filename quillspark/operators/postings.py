@@ -1,6 +1,7 @@
 """An inverted index over text blocks: a posting per term and block, with the term's positions, in versioned tables.
 
-Postings lie in hash buckets of the term and carry the batch that wrote them; the table ``sources`` names the batch of each
+Postings lie in hash buckets of the term, those of one block and bucket in one row, which is made where the block is read
+and written without a shuffle. They carry the batch that wrote them; the table ``sources`` names the batch of each
 source that is valid. A source that comes again is indexed under a new batch, and its old postings count no more from
 then on; ``compact`` drops them. A query reads the buckets of its own terms only, and never a text.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.versioned import Batch, VersionedTables
+from ..sources.versioned import Batch, VersionedTables, key_bucket
 from .ordering import rank_score
 from .retrieval import KEYWORD_LIMIT, in_sources, phrases_of
 
@@ -39,6 +40,36 @@ def terms_of(blocks: DataFrame) -> DataFrame:
     return rows.select(*PLACE, F.explode(F.transform("first", posting)).alias("p")).select("p.term", *PLACE, "p.positions")
 
 
+def packs_of(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(source_id, page, seq, block_id, terms, positions): the postings of ``terms_of``, those of a block and bucket in one row.
+
+    Tokens are sorted by bucket first, so that a row is a slice of a block's postings.
+    """
+    tokens = F.transform(T.search_tokens(F.col("text")), lambda t, i: F.struct(key_bucket(t, buckets).alias("bucket"), t.alias("term"), i.alias("position")))
+    rows = blocks.select(*PLACE, F.sort_array(tokens).alias("told"))
+
+    def firsts(told: str, field: str) -> Column:
+        """Where another value of a field starts."""
+        value = lambda i: F.get(told, i)[field]
+        return F.filter(F.sequence(F.lit(0), F.size(told)), lambda i: (i < F.size(told)) & ((i == 0) | (value(i) != value(i - 1))))
+
+    def part(told: str, at: Column, k: Column) -> Column:
+        return F.slice(told, at + 1, F.coalesce(F.get("first", k + 1), F.size(told)) - at)
+
+    def posting(at: Column, k: Column) -> Column:
+        token = F.get("told", at)
+        return F.struct(token["bucket"].alias("bucket"), token["term"].alias("term"), part("told", at, k)["position"].alias("positions"))
+
+    def pack(at: Column, k: Column) -> Column:
+        mine = part("held", at, k)
+        return F.struct(mine["term"].alias("terms"), mine["positions"].alias("positions"))
+
+    # Lambdas ask for whole elements: a field of a column of structs would be made again for each of them.
+    rows = rows.withColumn("first", firsts("told", "term")).select(*PLACE, F.transform("first", posting).alias("held"))
+    rows = rows.withColumn("first", firsts("held", "bucket")).select(*PLACE, F.explode(F.transform("first", pack)).alias("p"))
+    return rows.select("p.terms", *PLACE, "p.positions")
+
+
 class Postings:
     """The index ``name`` in some versioned tables."""
 
@@ -52,7 +83,8 @@ class Postings:
         batch that is repeated after a failure is written once.
         """
         label = F.lit(f"{batch[0]}:{batch[1]}")
-        self.tables.append(self.name, terms_of(blocks).withColumn("batch", label), key="term", batch=batch)
+        packs = lambda buckets: packs_of(blocks, buckets).withColumn("batch", label)
+        self.tables.append(self.name, packs, key="terms", batch=batch, shuffled=False)
         # The number of blocks is kept, so that nothing else need be read to know how much is indexed.
         counts = blocks.groupBy("source_id").agg(F.countDistinct("block_id").alias("n_blocks")).withColumn("batch", label)
         self.tables.upsert(self.valid, counts, ["source_id"], batch=batch, known=blocks.select("source_id").distinct())
@@ -69,8 +101,10 @@ class Postings:
         return self.tables.read(self.valid).select("source_id", "batch")
 
     def of(self, terms: list[str]) -> DataFrame:
-        """Valid postings of some terms, from their buckets."""
-        return self.tables.read_keys(self.name, terms).join(self._sources(), ["source_id", "batch"], "left_semi")
+        """Valid postings (term, source_id, page, seq, block_id, positions, batch) of some terms, from their buckets."""
+        packs = self.tables.read_keys(self.name, terms).join(self._sources(), ["source_id", "batch"], "left_semi")
+        asked = F.filter(F.arrays_zip("terms", "positions"), lambda p: p["terms"].isin(terms) if terms else F.lit(False))
+        return packs.select(F.explode(asked).alias("p"), *PLACE, "batch").select(F.col("p.terms").alias("term"), *PLACE, "p.positions", "batch")
 
     def matches(self, query: str, sources: list | None = None) -> DataFrame:
         """Places of the blocks that hold every token of the query; tokens with punctuation inside are phrases."""

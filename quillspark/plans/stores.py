@@ -33,11 +33,11 @@ def ingest_conversations(spark, sf_dir):
     postings, store = Postings(tables), VectorStore(tables)
     ingest_batch(tables, postings, store, files, ("query", 0))
 
-    def counted(name, column):
-        return tables.read(name).groupBy("source_id").agg(F.count("*").alias(column))
+    def counted(name, column, count=F.count("*")):
+        return tables.read(name).groupBy("source_id").agg(count.alias(column))
 
     out = tables.read("sources").select("source_id", "status", F.col("page_count").alias("n_pages"))
-    parts = [counted("blocks", "n_blocks"), counted("chunks", "n_chunks"), counted(postings.name, "n_postings"), counted(store.name, "n_vectors")]
+    parts = [counted("blocks", "n_blocks"), counted("chunks", "n_chunks"), counted(postings.name, "n_postings", F.sum(F.size("terms"))), counted(store.name, "n_vectors")]
     for part in parts:
         out = out.join(part, "source_id", "left")
     out = out.na.fill(0)

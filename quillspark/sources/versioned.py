@@ -6,7 +6,8 @@ exists, whoever wrote it; the loser takes the new state and tries again. Folders
 as it did when it was new, and rows of a writer that died are in no version.
 
 A table with a key column is laid out in hash buckets of the key. Replacing or merging rows rewrites the buckets that
-hold their keys, no others, and two writers collide only where they touch the same bucket.
+hold their keys, no others, and two writers collide only where they touch the same bucket. A key column may hold lists
+of keys that share a bucket (``key_bucket``); such a row belongs to all keys of its list.
 
 A stream names its batches (writer, number): the log remembers the last number of each writer, and a batch that is there
 already is not written again.
@@ -25,7 +26,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.ordering import latest_per_key
 
@@ -61,6 +62,10 @@ def _nullable(schema):
     return {k: True if k in free else x if k == "metadata" else _nullable(x) for k, x in schema.items()}
 
 
+def key_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
 class VersionedTables:
     """Named tables under one folder."""
 
@@ -149,32 +154,36 @@ class VersionedTables:
         if found.key is None:
             raise ValueError(f"table {name} has no key")
         kind = StructType.fromJson(found.schema)[found.key].dataType
-        asked = self.spark.createDataFrame([(k,) for k in keys], StructType().add(found.key, kind))
+        lists = isinstance(kind, ArrayType)
+        asked = self.spark.createDataFrame([(k,) for k in keys], StructType().add(found.key, kind.elementType if lists else kind))
         wanted = self._touched(asked, found.key, found.buckets)
         rows = self._rows(found, {b: p for b, p in found.folders.items() if b in wanted})
-        return rows.where(F.col(found.key).isin(list(keys)) if keys else F.lit(False))
+        if not keys:
+            return rows.where(F.lit(False))
+        return rows.where(F.exists(found.key, lambda k: k.isin(list(keys))) if lists else F.col(found.key).isin(list(keys)))
 
     def history(self, name: str) -> list[Commit]:
         return [self.commit(name, v) for v in self.versions(name)]
 
     # writing
 
-    def _bucket(self, key: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    def _bucket(self, rows: DataFrame, key: str, buckets: int) -> Column:
+        lists = isinstance(rows.schema[key].dataType, ArrayType)
+        return key_bucket(F.get(key, F.lit(0)) if lists else F.col(key), buckets)
 
     def _touched(self, rows: DataFrame, key: str, buckets: int) -> set[str]:
         """Buckets of the rows: at most ``buckets`` of them come to the driver."""
-        return {str(r[0]) for r in rows.select(self._bucket(key, buckets)).distinct().collect()}
+        return {str(r[0]) for r in rows.select(self._bucket(rows, key, buckets)).distinct().collect()}
 
-    def _put(self, name: str, rows: DataFrame, key: str | None, buckets: int) -> dict[str, list[str]]:
-        """Write rows to a new folder; the folder of each bucket."""
+    def _put(self, name: str, rows: DataFrame, key: str | None, buckets: int, shuffled: bool = True) -> dict[str, list[str]]:
+        """Write rows to a new folder; the folder of each bucket. Rows that are not shuffled leave a file per task and bucket."""
         folder = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
         if key is None:
             rows.write.parquet(folder)
             return {"0": [folder]}
-        keyed = rows.withColumn(BUCKET, self._bucket(key, buckets))
+        keyed = rows.withColumn(BUCKET, self._bucket(rows, key, buckets))
         # Large buckets are split over files, small tasks are joined.
-        keyed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        (keyed.hint("rebalance", BUCKET) if shuffled else keyed).write.partitionBy(BUCKET).parquet(folder)
         fs, path = self._path(folder)
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
         return {n.partition("=")[2]: [f"{folder}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
@@ -226,13 +235,17 @@ class VersionedTables:
             raise ValueError(f"columns {rows.columns} are not those of the table, {schema.names}")
         return rows.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
-    def append(self, name: str, rows: DataFrame, key: str | None = None, batch: Batch | None = None, notes: dict[str, str] | None = None) -> int:
-        """Add rows; appends of several writers all go in, in some order. The first write fixes the key."""
+    def append(
+        self, name: str, rows: DataFrame | Callable[[int], DataFrame], key: str | None = None, batch: Batch | None = None,
+        notes: dict[str, str] | None = None, shuffled: bool = True,
+    ) -> int:
+        """Add rows; appends of several writers all go in, in some order. The first write fixes the key. ``rows`` may be made
+        from the number of buckets. Where each task has much for every bucket, they need not be ``shuffled`` by bucket."""
 
         def write(head: Commit | None):
-            fitted = self._fit(rows, head)
             own_key, buckets = (head.key, head.buckets) if head else (key, self.buckets)
-            return self._put(name, fitted, own_key, buckets), set(), fitted.schema
+            fitted = self._fit(rows(buckets) if callable(rows) else rows, head)
+            return self._put(name, fitted, own_key, buckets, shuffled), set(), fitted.schema
 
         return self._change(name, "append", write, key, batch, notes)
 
