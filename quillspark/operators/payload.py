@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def is_object(text: Column) -> Column:
-    """The whole text is one JSON object (the parser itself takes what follows an object for granted)."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    alone = F.get(balanced_objects(text), F.lit(0)) == F.trim(text)
-    return F.coalesce(F.startswith(kind, F.lit("OBJECT")) & alone, F.lit(False))
+    """The whole text is one JSON object.
+
+    The parser stops where its value ends and takes what follows for granted, so the text is read as a list's item and as a
+    field's value: what may follow an object in the one, ``]`` or ``, value``, is wrong in the other, ``}`` or ``, "name":``.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    shape = F.startswith(F.trim(text), F.lit("{")) & F.endswith(F.trim(text), F.lit("}"))
+    return F.coalesce(shape & item.isNotNull() & value.isNotNull(), F.lit(False))
 
 
 def balanced_objects(text: Column) -> Column:

@@ -125,7 +125,7 @@ def payload_updates(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     made = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.struct(F.year("o_orderdate").alias("year"), F.lit("} {").alias("mark")).alias("dates")))
     text = F.when(F.col("o_orderkey") % 3 == 0, made).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Here it is:\n"), made, F.lit("\ndone"))).otherwise(F.concat(made, F.lit(" and {no json}")))
-    rows = orders.select("o_orderkey", "o_orderpriority", payload.recover_object(text).alias("p"))
+    rows = orders.select("o_orderkey", "o_orderpriority", text.alias("t")).select("o_orderkey", "o_orderpriority", payload.recover_object(F.col("t")).alias("p"))
     odd = F.col("o_orderkey") % 2 == 1
     rows = rows.withColumn("p", payload.with_fields(F.col("p"), {"status": F.when(odd, "X"), "note": F.when(odd, F.col("o_orderpriority"))}))
     read = {"status": "string", "note": "string", "total": "double"}
