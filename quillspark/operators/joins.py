@@ -49,22 +49,26 @@ def jaccard_pairs(rows: DataFrame, key: str, tokens: str, above: float, within:
 
     Such a pair shares more than ``above`` times the size of either set, so the first tokens of both sets, as many as may be
     missing and one more, have one in common, whatever the order. Long tokens come first, as they are the rarer ones, and
-    no count of tokens is needed. Equal sizes bound the rest, and rows of a pair alone are compared whole.
+    no count of tokens is needed. Equal sizes bound the rest, and rows of a pair alone are compared whole. First tokens meet as
+    64-bit hashes: one that two tokens share only adds a comparison.
     """
     sets = rows.select(key, F.col(tokens).alias("_t"), (F.col(within) if within else F.lit(0)).alias("_w"))
-    # The shuffle by key serves the joins below too, so that tokens are made once.
-    sets = sets.where((F.size("_t") > 0) & F.col("_w").isNotNull()).repartition(key)
-    first = F.array_sort(F.transform("_t", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    # The shuffle is the one that both joins below need, so that tokens are made and moved once.
+    sets = sets.where((F.size("_t") > 0) & F.col("_w").isNotNull()).repartition(*([key, "_w"] if within else [key]))
+    first = F.sort_array(F.transform("_t", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
     size = F.size("_t")
     kept = size - F.floor(above * size).cast("int")  # more than floor(above * size) tokens are shared
     keys = sets.select(F.col(key).alias("_key"), "_w", size.alias("_n"), F.explode(F.slice(first, F.lit(1), kept)).alias("f"))
-    keys = keys.select("_key", "_w", "_n", F.col("f.t").alias("token"))
+    keys = keys.select("_key", "_w", "_n", F.xxhash64("_w", "f.t").alias("token"))
     x, y = keys.alias("x"), keys.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._w") == F.col("y._w")) & (F.col("x._key") < F.col("y._key"))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._key") < F.col("y._key")) & F.expr("x._w <=> y._w")
     met = met & (F.least("x._n", "y._n") > above * F.greatest("x._n", "y._n"))
     pairs = x.join(y, met).select(F.col("x._key").alias("a"), F.col("y._key").alias("b"), "x._w").distinct()
     left, right = (sets.select(F.col(key).alias(n), F.col("_t").alias(f"_{n}"), "_w") for n in "ab")
-    found = pairs.join(left, ["a", "_w"]).join(right, ["b", "_w"]).select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
+    met_by = lambda n: [n, "_w"] if within else [n]
+    if not within:
+        pairs, left, right = pairs.drop("_w"), left.drop("_w"), right.drop("_w")
+    found = pairs.join(left, met_by("a")).join(right, met_by("b")).select("a", "b", T.jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
     return found.where(F.col("jaccard") > above)
 
 
