@@ -75,8 +75,8 @@ def save_reviews(tables: VersionedTables, reviews: DataFrame) -> None:
 
 def resolve_issues(tables: VersionedTables, issue_ids: DataFrame) -> None:
     """Mark issues (issue_id, section_id) RESOLVED; the section says which buckets hold them. Unknown ids mean nothing."""
-    rows = tables.read("review_issues").join(issue_ids.select("issue_id").distinct(), "issue_id", "left_semi")
-    tables.upsert("review_issues", rows.withColumn("status", F.lit("RESOLVED")), ["section_id", "issue_id"], key="section_id")
+    keys = [c for c in ("section_id", "issue_id") if c in issue_ids.columns]
+    tables.set_values("review_issues", issue_ids.select(*keys), {"status": F.lit("RESOLVED")})
 
 
 def open_issues(tables: VersionedTables) -> DataFrame:

@@ -87,7 +87,7 @@ def review_records(spark, sf_dir):
     reviews = found.select("section_id", F.lit("technical").alias("reviewer_type"), F.lit("REVISE").alias("decision"), F.lit("{}").alias("payload_json"), F.lit("t0").alias("created_at"), "issues")
     tables = _tables(spark, "reviews")
     records.save_reviews(tables, reviews)
-    records.resolve_issues(tables, tables.read("review_issues").where("cast(paragraph_id as int) % 2 = 0").select("issue_id"))
+    records.resolve_issues(tables, tables.read("review_issues").where("cast(paragraph_id as int) % 2 = 0").select("section_id", "issue_id"))
     worst = records.open_issues(tables).where("nth = 1").select("section_id", F.col("severity").alias("worst_open"))
     every = tables.read("review_issues").groupBy("section_id").agg(F.count("*").alias("n_issues"), F.count_if(F.col("status") == "OPEN").alias("n_open"))
     return every.join(worst, "section_id", "left").select(F.col("section_id").cast("long").alias("l_orderkey"), "n_issues", "n_open", "worst_open")

@@ -311,6 +311,23 @@ class VersionedTables:
 
         return self._rewrite(name, "upsert", rows, key, merge, batch, known)
 
+    def set_values(self, name: str, keys: DataFrame, values: dict[str, Column], batch: Batch | None = None) -> int:
+        """Set columns of all rows whose values of the columns of ``keys`` are in it. Rows are joined once and stay as many as they are;
+        where ``keys`` lacks the table's key, its buckets are looked up first."""
+
+        def write(head: Commit | None):
+            if head is None or head.key is None:
+                raise ValueError(f"no table {name} with a key")
+            hit = keys.distinct()
+            told = hit if head.key in keys.columns else self._rows(head, head.folders).join(hit, keys.columns, "left_semi")
+            touched = self._touched(told, head.key, head.buckets)
+            old = self._rows(head, {b: p for b, p in head.folders.items() if b in touched})
+            met = old.join(hit.withColumn("_hit", F.lit(True)), keys.columns, "left")
+            new = met.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).select(old.columns)
+            return self._put(name, self._fit(new, head), head.key, head.buckets), touched, StructType.fromJson(head.schema)
+
+        return self._change(name, "set", write, None, batch, None)
+
     def delete_keys(self, name: str, gone: DataFrame, batch: Batch | None = None) -> int:
         """Delete all rows of the keys in the one column of ``gone``."""
 
